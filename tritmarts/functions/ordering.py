@@ -35,21 +35,21 @@ def with_neighbour(df: DataFrame, key: Sequence[str], segment: str, order: Seque
 
 
 def running_totals(df: DataFrame, levels: Sequence[str], order: Sequence[Column],
-                   measures: Sequence[str], suffix: str = "_cum") -> DataFrame:
-    """Inclusive running sums of ``measures`` in the order levels..., order...
+                   measures: Sequence[str], key: Sequence[str] = (), suffix: str = "_cum") -> DataFrame:
+    """Inclusive running sums of ``measures`` per ``key`` in the order levels..., order...
 
-    ``levels`` are non-null columns from coarse to fine.  Only the finest
+    ``levels`` and ``key`` are non-null columns from coarse to fine.  Only the finest
     segment is windowed row by row; coarser levels contribute per-segment
     offsets, so no task sees more than one segment plus one row per sibling.
     """
-    deepest = (Window.partitionBy(*levels).orderBy(*order)
+    deepest = (Window.partitionBy(*key, *levels).orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = df
     for m in measures:
         out = out.withColumn(f"{m}{suffix}", F.sum(m).over(deepest))
     for depth in range(len(levels)):
-        keys = list(levels[: depth + 1])
-        siblings = (Window.partitionBy(*levels[:depth]).orderBy(levels[depth])
+        keys = [*key, *levels[: depth + 1]]
+        siblings = (Window.partitionBy(*key, *levels[:depth]).orderBy(levels[depth])
                     .rowsBetween(Window.unboundedPreceding, -1))
         offsets = (df.groupBy(*keys).agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
                    .select(*keys, *[F.coalesce(F.sum(f"_t_{m}").over(siblings), F.lit(0))

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from tritmarts.plans import catalog_marts  # noqa: F401
+from tritmarts.plans import catalog_marts, catalog_ranking  # noqa: F401
 from tritmarts.plans.registry import ORACLES, QUERIES  # noqa: F401

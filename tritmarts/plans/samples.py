@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tritmarts import fixed_values as fv
 from tritmarts.operators.marts import channel_dimension, fact_channel_day, with_twins
+from tritmarts.sources.literal import inline_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,7 +103,7 @@ def contract(spark: SparkSession) -> DataFrame:
         fv.GUARD: {fv.ARMED: fv.NORM, fv.DISARMED: fv.DISABLED},
     }
     rows = [(kind, raw, cls) for kind, pairs in by_type.items() for raw, cls in pairs.items()]
-    return spark.createDataFrame(rows, "sensor_type string, raw_value string, cls string")
+    return inline_table(spark, rows, ["sensor_type", "raw_value", "cls"])
 
 
 def dim(spark: SparkSession, sf_dir: str) -> DataFrame:
