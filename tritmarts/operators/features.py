@@ -28,34 +28,38 @@ def dense_series(y: DataFrame, fact: DataFrame, first: str | None = None,
                       ("n_ev", "n_fault", "n_undefined", "was_active", "trit_day")]))
 
 
-def _trailing(rows: int):
-    return Window.partitionBy("channel_id").orderBy("d").rowsBetween(1 - rows, 0)
+def _by_day():
+    return Window.partitionBy("channel_id").orderBy("d")
 
 
 def rolling_sums(dense: DataFrame) -> DataFrame:
-    """Trailing sums over 7, 30 and 90 grid rows, the current day included."""
-    week, month, quarter = _trailing(7), _trailing(30), _trailing(90)
+    """Trailing sums over 7, 30 and 90 grid rows, the current day included.
 
-    def flag(cond: Column) -> Column:
-        return F.sum(cond.cast("bigint"))
-
-    return (dense
-            .withColumn("ev_7d", F.sum("n_ev").over(week))
-            .withColumn("active_days_7d", F.sum("was_active").over(week))
-            .withColumn("fault_ev_7d", F.sum("n_fault").over(week))
-            .withColumn("undefined_ev_7d", F.sum("n_undefined").over(week))
-            .withColumn("dev_days_7d", flag(F.col("trit_day") == 1).over(week))
-            .withColumn("unknown_days_7d", flag(F.col("was_active") == 0).over(week))
-            .withColumn("fault_days_30d", flag(F.col("n_fault") > 0).over(month))
-            .withColumn("ev_90d", F.sum("n_ev").over(quarter))
-            .withColumn("fault_90d", F.sum("n_fault").over(quarter))
-            .withColumn("active_days_90d", F.sum("was_active").over(quarter)))
+    Spark re-adds a sliding frame for every row, so each sum is the difference
+    of two running totals: one incremental pass and a lag, whatever the width.
+    """
+    counted = {
+        "ev": F.col("n_ev"), "active": F.col("was_active"), "fault": F.col("n_fault"),
+        "undefined": F.col("n_undefined"), "dev": F.when(F.col("trit_day") == 1, 1).otherwise(0),
+        "quiet": F.when(F.col("was_active") == 0, 1).otherwise(0),
+        "fault_days": F.when(F.col("n_fault") > 0, 1).otherwise(0),
+    }
+    windows = {
+        "ev_7d": ("ev", 7), "active_days_7d": ("active", 7), "fault_ev_7d": ("fault", 7),
+        "undefined_ev_7d": ("undefined", 7), "dev_days_7d": ("dev", 7), "unknown_days_7d": ("quiet", 7),
+        "fault_days_30d": ("fault_days", 30), "ev_90d": ("ev", 90), "fault_90d": ("fault", 90),
+        "active_days_90d": ("active", 90),
+    }
+    so_far = _by_day().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = dense.select("*", *[F.sum(c.cast("bigint")).over(so_far).alias(f"_{n}") for n, c in counted.items()])
+    return totals.select(*dense.columns, *[
+        (F.col(f"_{n}") - F.coalesce(F.lag(f"_{n}", rows).over(_by_day()), F.lit(0))).alias(out)
+        for out, (n, rows) in windows.items()])
 
 
 def streaks(series: DataFrame) -> DataFrame:
     """Days of silence and days since the last fault (never: 9999)."""
-    so_far = (Window.partitionBy("channel_id").orderBy("d")
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    so_far = _by_day().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     spoke = F.max(F.when(F.col("was_active") == 1, F.col("d"))).over(so_far)
     broke = F.max(F.when(F.col("n_fault") > 0, F.col("d"))).over(so_far)
     return (series

@@ -176,22 +176,25 @@ DIM_COLS = """channel_id, system, sensor_type, sensor_name, tag, object_id, tag_
 
 @query("e1_dim_channel", with_parts(f"SELECT {DIM_COLS} FROM q_dim"))
 def e1(spark, sf):
-    return tidy(samples.dim(spark, sf))
+    return tidy(marts.channel_dimension(samples.channels(spark, sf), samples.objects(spark, sf)))
 
 
 @query("e2_twin_groups", with_parts("SELECT channel_id, twin_count, twin_group FROM q_dim"))
 def e2(spark, sf):
-    return tidy(samples.dim_twins(spark, sf).select("channel_id", "twin_count", "twin_group"))
+    plain = marts.channel_dimension(samples.channels(spark, sf), samples.objects(spark, sf))
+    return tidy(marts.with_twins(plain).select("channel_id", "twin_count", "twin_group"))
 
 
 @query("e3_fact_channel_day", with_parts(f"SELECT {FACT_COLS} FROM q_fact"))
 def e3(spark, sf):
-    return tidy(samples.fact(spark, sf))
+    return tidy(marts.fact_channel_day(samples.journal(spark, sf), samples.channels(spark, sf),
+                                       samples.contract(spark)))
 
 
 @query("e3_fact_channel_day_long", with_parts(f"SELECT {FACT_COLS} FROM q_fact_long"))
 def e3_long(spark, sf):
-    return tidy(samples.fact_long(spark, sf))
+    return tidy(marts.fact_channel_day(samples.journal_long(spark, sf), samples.channels_long(spark, sf),
+                                       samples.contract(spark)))
 
 
 @query("e4_fact_object_day", with_parts("""

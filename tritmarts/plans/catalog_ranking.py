@@ -9,6 +9,7 @@ from tritmarts.operators import controls, domains, explain, features, labels, ma
 from tritmarts.plans import samples
 from tritmarts.plans.oracle_parts import part, with_parts
 from tritmarts.plans.registry import query, tidy
+from tritmarts.plans.store import stored
 from tritmarts.settings import Labelling, Modelling
 
 CFG = Labelling(sweep_min_channels=4, sweep_min_share=0.2,
@@ -21,25 +22,56 @@ FIT = Modelling(train_from="1997-01-01", train_to="1999-12-31", test_from="2000-
 
 
 class World:
-    """The long sample and what is derived from it, built lazily per query."""
+    """The long sample and the marts derived from it, each written on first use."""
 
     def __init__(self, spark, sf, cfg: Labelling = CFG):
-        self.dim = samples.dim_long(spark, sf)
-        self.fact = samples.fact_long(spark, sf)
-        self.profile = marts.channel_profile(self.fact)
-        self.domains = domains.logical_domains(self.dim, list_ids=False)
-        self.sweeps = labels.sweep_days(self.fact, self.dim, cfg)
-        self.grid = labels.grid(self.dim, self.profile, cfg)
-        self.labels = labels.labels(self.grid, self.fact, self.dim, self.sweeps, cfg)
+        self.spark, self.sf, self.cfg = spark, sf, cfg
 
-    def features(self, first=None, last=None):
-        return features.feature_matrix(self.labels, self.fact, self.dim, self.profile, self.domains, first, last)
+    def _stored(self, name, build):
+        return stored(self.spark, self.sf, name, build)
+
+    @property
+    def dim(self):
+        return samples.dim_long(self.spark, self.sf)
+
+    @property
+    def fact(self):
+        return samples.fact_long(self.spark, self.sf)
+
+    @property
+    def profile(self):
+        return self._stored("profile_long", lambda: marts.channel_profile(self.fact))
+
+    @property
+    def domains(self):
+        return self._stored("domains_long", lambda: domains.logical_domains(self.dim, list_ids=False))
+
+    @property
+    def sweeps(self):
+        return self._stored("sweeps_long", lambda: labels.sweep_days(self.fact, self.dim, self.cfg))
+
+    @property
+    def grid(self):
+        return labels.grid(self.dim, self.profile, self.cfg)
+
+    @property
+    def labels(self):
+        return self._stored(f"labels_{self.cfg.horizon_hours}", lambda: labels.labels(
+            self.grid, self.fact, self.dim, self.sweeps, self.cfg))
+
+    @property
+    def features(self):
+        return self._stored(f"features_{self.cfg.horizon_hours}", lambda: features.feature_matrix(
+            self.labels, self.fact, self.dim, self.profile, self.domains))
 
     def scored(self):
         """Labels with a fixed arithmetic score that has many ties."""
-        day = F.datediff("d", F.lit("1995-01-01").cast("date"))
-        s = F.pmod(F.col("channel_id") * 7919 + day * 104729, F.lit(1009)) / 1009.0
-        return self.labels.withColumn("score", s)
+        return self.labels.withColumn("score", fixed_score())
+
+
+def fixed_score():
+    day = F.datediff("d", F.lit("1995-01-01").cast("date"))
+    return F.pmod(F.col("channel_id") * 7919 + day * 104729, F.lit(1009)) / 1009.0
 
 
 # ---- oracle parts -----------------------------------------------------------
@@ -153,7 +185,8 @@ ROUNDED = ", ".join(f"round({n} + 1e-9, 6) AS {n}" for n in fv.FEATURE_NAMES)
 @query("l1_sweep_days", with_parts("""
 SELECT tag_base, d, n_failed, n_total, round(share_failed + 1e-9, 6) AS share_failed FROM q_sweeps"""))
 def l1(spark, sf):
-    return tidy(World(spark, sf).sweeps)
+    w = World(spark, sf)
+    return tidy(labels.sweep_days(w.fact, w.dim, CFG))
 
 
 @query("l2_calendar", with_parts("""
@@ -175,12 +208,14 @@ def l4(spark, sf):
 
 @query("l5_labels_24h", with_parts("SELECT channel_id, d, y FROM q_labels"))
 def l5(spark, sf):
-    return tidy(World(spark, sf).labels)
+    w = World(spark, sf)
+    return tidy(labels.labels(w.grid, w.fact, w.dim, w.sweeps, CFG))
 
 
 @query("l5_labels_72h", with_parts(labels_sql(3)))
 def l5_72(spark, sf):
-    return tidy(World(spark, sf, CFG72).labels)
+    w = World(spark, sf)
+    return tidy(labels.labels(w.grid, w.fact, w.dim, w.sweeps, CFG72))
 
 
 @query("l6_label_balance", with_parts("""
@@ -232,7 +267,8 @@ def f5(spark, sf):
 
 @query("f6_feature_matrix", with_parts(f"SELECT channel_id, d, y, {ROUNDED} FROM q_features"))
 def f6(spark, sf):
-    return tidy(World(spark, sf).features())
+    w = World(spark, sf)
+    return tidy(features.feature_matrix(w.labels, w.fact, w.dim, w.profile, w.domains))
 
 
 @query("f7_supported_evidence", with_parts("""
@@ -243,7 +279,7 @@ WHERE ok GROUP BY feature"""))
 def f7(spark, sf):
     keep = list(fv.MIN_SUPPORT)
     sources = [s for s, _ in fv.MIN_SUPPORT.values()]
-    rows = World(spark, sf).features()
+    rows = World(spark, sf).features
     cells = features.long_form(rows, ["channel_id", "d", *sources], keep)
     ok = features.is_supported(F.col("feature"), {s: F.col(s) for s in sources})
     return cells.filter(ok).groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
@@ -275,7 +311,7 @@ GROUP BY feature, phrase"""))
 def f8(spark, sf):
     names = ["days_since_fault", "silence_days", "active_days_7d", "domain_size", "channel_age_days",
              "fault_ev_7d", "base_failed_share_7d", "is_weekend"]
-    cells = features.long_form(World(spark, sf).features(), [], names)
+    cells = features.long_form(World(spark, sf).features, [], names)
     return (cells.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
             .withColumn("phrase", features.phrase(F.col("feature"), F.col("value")))
             .groupBy("feature", "phrase").agg(F.sum("n").alias("n")))
@@ -317,7 +353,7 @@ SELECT target, precision >= target AS achieved, round(precision + 1e-9, 6) AS pr
        round(score + 1e-9, 6) AS threshold
 FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY precision >= target DESC,
                CASE WHEN precision >= target THEN recall ELSE precision END DESC, score) AS rn
-      FROM (SELECT unnest([0.02, 0.99]) AS target, tp / taken AS precision, tp / (SELECT sum(y) FROM q_scored) AS recall, score
+      FROM (SELECT unnest([0.02, 0.99])::DOUBLE AS target, tp / taken AS precision, tp / (SELECT sum(y) FROM q_scored) AS recall, score
             FROM ({CURVE})))
 WHERE rn = 1"""))
 def m7(spark, sf):
@@ -366,14 +402,14 @@ WHERE f.d BETWEEN DATE '1997-01-01' AND DATE '2001-12-31'
 
 @query("m1_temporal_split", with_parts("SELECT * FROM q_split"))
 def m1(spark, sf):
-    rows = ranker.temporal_split(World(spark, sf).features(), FIT)
+    rows = ranker.temporal_split(World(spark, sf).features, FIT)
     return tidy(rows.select("channel_id", "d", "y", "part"))
 
 
 @query("m2_prepared_matrix", with_parts("SELECT channel_id, d, y, " + ", ".join(
     f"round(coalesce({n}, -1) + 1e-9, 6) AS {n}" for n in fv.FEATURE_NAMES) + " FROM q_features"))
 def m2(spark, sf):
-    return tidy(ranker.prepare(World(spark, sf).features()))
+    return tidy(ranker.prepare(World(spark, sf).features))
 
 
 # ---- quality controls over a fixed score ------------------------------------
@@ -399,9 +435,7 @@ UNION ALL SELECT 'all', * FROM q_strata
 
 def _strata_rows(spark, sf):
     w = World(spark, sf)
-    day = F.datediff("d", F.lit("1995-01-01").cast("date"))
-    s = F.pmod(F.col("channel_id") * 7919 + day * 104729, F.lit(1009)) / 1009.0
-    rows = w.features().select("channel_id", "d", "y", "fault_ev_7d").withColumn("score", s)
+    rows = w.features.select("channel_id", "d", "y", "fault_ev_7d").withColumn("score", fixed_score())
     return controls.with_own_fault(rows, controls.own_fault_window(w.fact, w.dim, w.sweeps))
 
 
@@ -443,7 +477,7 @@ def q10_split(spark, sf):
 @query("q14_busiest_failure_day", with_parts("""
 SELECT d, CAST(sum(y) AS BIGINT) AS failures FROM q_features GROUP BY d ORDER BY 2 DESC, 1 DESC LIMIT 1"""))
 def q14(spark, sf):
-    return tidy(controls.busiest_failure_day(World(spark, sf).features()))
+    return tidy(controls.busiest_failure_day(World(spark, sf).features))
 
 
 # ---- the trained model: row counts and invariants, no SQL oracle ------------
@@ -455,7 +489,7 @@ def _fitted(spark, sf):
     """One trained forest and linear model per sample, shared by the queries."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _FITTED:
-        rows = ranker.prepare(ranker.temporal_split(World(spark, sf).features(), FIT))
+        rows = ranker.prepare(ranker.temporal_split(World(spark, sf).features, FIT))
         train = rows.filter("part = 'train'").persist()
         _FITTED[key] = (ranker.train_forest(train, FIT), ranker.train_linear(train))
         train.unpersist()
@@ -463,7 +497,7 @@ def _fitted(spark, sf):
 
 
 def _test_rows(spark, sf):
-    rows = World(spark, sf).features()
+    rows = World(spark, sf).features
     return rows.filter(F.col("d").between(F.lit(FIT.test_from).cast("date"), F.lit(FIT.test_to).cast("date")))
 
 
@@ -511,7 +545,7 @@ def ranker_sweep(spark, sf, hours=(24, 72, 168, 336)):
     out = None
     for h in hours:
         world = World(spark, sf, Labelling(**{**CFG.__dict__, "horizon_hours": h}))
-        rows = ranker.prepare(ranker.temporal_split(world.features("1997-01-01", "2001-12-31"), cfg)).persist()
+        rows = ranker.prepare(ranker.temporal_split(world.features, cfg)).persist()
         model = ranker.train_forest(rows.filter("part = 'train'"), cfg)
         test = ranker.score(model, rows.filter("part = 'test'"))
         cut = scores.threshold_for_precision(test, cfg.target_precision)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tritmarts import fixed_values as fv
 from tritmarts.operators.marts import channel_dimension, fact_channel_day, with_twins
+from tritmarts.plans.store import stored
 from tritmarts.sources.literal import inline_table
 
 
@@ -107,15 +108,14 @@ def contract(spark: SparkSession) -> DataFrame:
 
 
 def dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return channel_dimension(channels(spark, sf_dir), objects(spark, sf_dir))
-
-
-def dim_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_twins(dim(spark, sf_dir))
+    """Channel dimension with twins."""
+    return stored(spark, sf_dir, "dim", lambda: with_twins(
+        channel_dimension(channels(spark, sf_dir), objects(spark, sf_dir))))
 
 
 def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fact_channel_day(journal(spark, sf_dir), channels(spark, sf_dir), contract(spark))
+    return stored(spark, sf_dir, "fact", lambda: fact_channel_day(
+        journal(spark, sf_dir), channels(spark, sf_dir), contract(spark)))
 
 
 # ---- long history: line items of the supplier channels ----------------------
@@ -151,8 +151,10 @@ def channels_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dim_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_twins(channel_dimension(channels_long(spark, sf_dir), objects(spark, sf_dir)))
+    return stored(spark, sf_dir, "dim_long", lambda: with_twins(
+        channel_dimension(channels_long(spark, sf_dir), objects(spark, sf_dir))))
 
 
 def fact_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fact_channel_day(journal_long(spark, sf_dir), channels_long(spark, sf_dir), contract(spark))
+    return stored(spark, sf_dir, "fact_long", lambda: fact_channel_day(
+        journal_long(spark, sf_dir), channels_long(spark, sf_dir), contract(spark)))
