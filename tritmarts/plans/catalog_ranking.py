@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tritmarts import fixed_values as fv
 from tritmarts.operators import controls, domains, explain, features, labels, marts, ranker, scores
-from tritmarts.plans import samples
+from tritmarts.plans import catalog_marts, samples  # noqa: F401  catalog_marts holds shared oracle parts
 from tritmarts.plans.oracle_parts import part, with_parts
 from tritmarts.plans.registry import query, tidy
 from tritmarts.plans.store import stored

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tritmarts.operators import calendar, domains, fire, intrusion, pumps, thermal, verdicts
-from tritmarts.plans import samples
+from tritmarts.plans import catalog_marts, samples  # noqa: F401  catalog_marts holds shared oracle parts
 from tritmarts.plans.oracle_parts import part, with_parts
 from tritmarts.plans.registry import query, tidy
 from tritmarts.plans.store import stored
 from tritmarts.settings import Guarding, Pumping, Smoke
 
 PUMPING = Pumping(z_threshold=1.0, min_starts=1, min_excess=0, min_ratio=1.2, network_hot_min=3)
-SMOKE = Smoke(sweep_share=0.02, sweep_min_pickets=2, window_minutes=240)
+SMOKE = Smoke(sweep_share=0.06, sweep_min_pickets=2, window_minutes=240)
 GUARDING = Guarding(stuck_min_switches=45, max_hours=4.0)
 CAL = ("2023-12-01", "2026-12-31")
 
@@ -221,7 +221,7 @@ def p6(spark, sf):
 
 part("q_smoke", """
 SELECT e.channel_id, e.d, e.t_sec, object_id, picket, e.tag_base, sensor_name, n_fired, n_pickets, n_smoke_total,
-       n_fired / n_smoke_total AS base_share, n_fired / n_smoke_total >= 0.02 AND n_pickets >= 2 AS is_sweep
+       n_fired / n_smoke_total AS base_share, n_fired / n_smoke_total >= 0.06 AND n_pickets >= 2 AS is_sweep
 FROM (SELECT * FROM q_journal JOIN q_dim USING (channel_id)
       WHERE sensor_type = 'Датчик дыма' AND raw_value = 'Обнаружен дым') e
 JOIN (SELECT tag_base, d, count(DISTINCT channel_id) AS n_fired, count(DISTINCT picket) AS n_pickets
