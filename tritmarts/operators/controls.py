@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tritmarts import fixed_values as fv
+from tritmarts.functions.attach import with_row
 from tritmarts.operators.marts import failures
 
 
@@ -72,12 +73,10 @@ def incident_metrics(truth: DataFrame, fact: DataFrame, dim: DataFrame, smoke: D
     lost = (events.join(sweep, "d", "left_semi").groupBy("scenario")
             .agg(F.count(F.lit(1)).alias("events_in_dropped_days")))
     base = events.groupBy("scenario").agg(F.count(F.lit(1)).alias("events"))
-    dropped = (raw.join(sweep, "d", "left_semi").agg(F.count(F.lit(1)).alias("triggers_dropped"))
-               .withColumn("_k", F.lit(1))
-               .join(sweep.agg(F.count(F.lit(1)).alias("sweep_days")).withColumn("_k", F.lit(1)), "_k"))
-    out = (base.join(caught, "scenario", "left").join(false, "scenario", "left").join(lost, "scenario", "left")
-           .withColumn("_k", F.lit(1)).join(dropped, "_k").drop("_k"))
-    out = out.na.fill(0, ["detected", "confirmed", "false_alarms", "false_confirmed", "events_in_dropped_days"])
+    dropped = with_row(raw.join(sweep, "d", "left_semi").agg(F.count(F.lit(1)).alias("triggers_dropped")),
+                       sweep.agg(F.count(F.lit(1)).alias("sweep_days")))
+    out = base.join(caught, "scenario", "left").join(false, "scenario", "left").join(lost, "scenario", "left")
+    out = with_row(out, dropped).na.fill(0, ["detected", "confirmed", "false_alarms", "false_confirmed", "events_in_dropped_days"])
 
     def part(a: str, whole: Column) -> Column:
         return F.coalesce(F.col(a) / F.nullif(whole, F.lit(0)), F.lit(0.0))

@@ -10,7 +10,9 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tritmarts import fixed_values as fv
+from tritmarts.functions.attach import with_row
 from tritmarts.settings import Modelling
+from tritmarts.sources.literal import inline_table
 
 BUCKETS = 1_000_000
 
@@ -34,12 +36,12 @@ def temporal_split(features: DataFrame, cfg: Modelling = Modelling()) -> DataFra
     train, test = _between(cfg.train_from, cfg.train_to), _between(cfg.test_from, cfg.test_to)
     pos, neg = F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)
     rate = F.least(pos * cfg.negatives_per_positive, neg) / F.nullif(neg, F.lit(0))
-    limit = features.filter(train).agg(F.floor(rate * BUCKETS).alias("_limit")).withColumn("_k", F.lit("train"))
+    limit = features.filter(train).agg(F.floor(rate * BUCKETS).alias("_limit"))
     part = F.when(train, F.lit("train")).when(test, F.lit("test"))
     rows = features.withColumn("part", part).filter(F.col("part").isNotNull())
-    return (rows.join(limit, rows["part"] == limit["_k"], "left")
+    return (with_row(rows, limit)
             .filter((F.col("part") == "test") | (F.col("y") == 1) | (sample_bucket() < F.col("_limit")))
-            .drop("_limit", "_k"))
+            .drop("_limit"))
 
 
 def prepare(features: DataFrame, missing: float = Modelling.missing) -> DataFrame:
@@ -62,8 +64,7 @@ def assemble(prepared: DataFrame) -> DataFrame:
 def balanced(train: DataFrame) -> DataFrame:
     """Class weights n / (2 * n_class) as column ``weight``."""
     counts = train.groupBy("y").agg(F.count(F.lit(1)).alias("_c"))
-    total = counts.agg(F.sum("_c").alias("_n")).withColumn("_k", F.lit(1))
-    weights = (counts.withColumn("_k", F.lit(1)).join(total, "_k")
+    weights = (with_row(counts, counts.agg(F.sum("_c").alias("_n")))
                .select("y", (F.col("_n") / (2.0 * F.col("_c"))).alias("weight")))
     return train.join(F.broadcast(weights), "y")  # one row per class
 
@@ -94,6 +95,5 @@ def score(model, prepared: DataFrame) -> DataFrame:
 
 def feature_importance(model: RandomForestClassificationModel, like: DataFrame) -> DataFrame:
     """Global importance per feature; ``like`` only lends its session."""
-    from tritmarts.sources.literal import inline_table
     rows = [(n, float(v)) for n, v in zip(fv.FEATURE_NAMES, model.featureImportances.toArray())]
     return inline_table(like.sparkSession, rows, ["feature", "importance"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tritmarts import fixed_values as fv
+from tritmarts.functions.attach import with_row
 
 
 def _blind() -> Column:
@@ -79,8 +80,8 @@ def visible_counts(verdicts: DataFrame, users: DataFrame, assignments: DataFrame
     per_object = verdicts.groupBy("object_id").agg(F.count(F.lit(1)).alias("n"))
     own = (assignments.select("user_id", "object_id").distinct().join(per_object, "object_id", "left")
            .groupBy("user_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("own")))
-    total = per_object.agg(F.sum("n").alias("total")).withColumn("_k", F.lit(1))
-    rows = users.select("user_id", "is_global", F.lit(1).alias("_k")).join(total, "_k").join(own, "user_id", "left")
+    rows = with_row(users.select("user_id", "is_global"), per_object.agg(F.sum("n").alias("total")))
+    rows = rows.join(own, "user_id", "left")
     free = F.col("is_global") | F.col("own").isNull()
     return rows.select("user_id", F.when(free, F.col("total")).otherwise(F.col("own")).alias("visible"))
 

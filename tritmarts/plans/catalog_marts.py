@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tritmarts import fixed_values as fv
 from tritmarts.functions import trits
+from tritmarts.functions.attach import with_row
 from tritmarts.functions.numbers import measured, to_number
 from tritmarts.operators import contract, domains, marts
 from tritmarts.plans import samples
 from tritmarts.plans.oracle_parts import part, with_parts
-from tritmarts.plans.registry import query, r6, tidy
+from tritmarts.plans.registry import query, tidy
 
 FACT_COLS = """channel_id, d, n_ev, n_alarm, trit_day, n_norm, n_trigger, n_fault, n_disabled,
  n_undefined, n_garbage, n_numeric, round(num_avg + 1e-9, 6) AS num_avg, round(num_min + 1e-9, 6) AS num_min,
@@ -142,8 +142,7 @@ FROM (SELECT channel_id, max(d) AS last_d, (datediff('day', min(d), max(d)) + 1.
       FROM q_fact GROUP BY channel_id), (SELECT max(d) AS e FROM q_fact)"""))
 def c10(spark, sf):
     fact = samples.fact(spark, sf)
-    last = fact.agg(F.max("d").alias("end_day")).withColumn("_k", F.lit(1))
-    prof = marts.channel_profile(fact).withColumn("_k", F.lit(1)).join(last, "_k")
+    prof = with_row(marts.channel_profile(fact), fact.agg(F.max("d").alias("end_day")))
     age = (F.datediff("end_day", "last_day") * 24).cast("double")
     step = F.col("mean_gap_days") * 24.0
     return tidy(prof.select("channel_id", age.alias("age_h"), step.alias("interval_h"),
