@@ -28,10 +28,10 @@ def epoch_second(day: Column, second_of_day: Column) -> Column:
 
 
 def clock(second_of_day: Column) -> Column:
-    """HH:MM:SS text of a second of the day."""
+    """HH:MM:SS text of a second of the day; NULL stays NULL."""
     s = second_of_day.cast("int")
-    return F.format_string("%02d:%02d:%02d", F.floor(s / 3600).cast("int"),
-                           F.floor(s % 3600 / 60).cast("int"), s % 60)
+    return F.when(s.isNotNull(), F.format_string(
+        "%02d:%02d:%02d", F.floor(s / 3600).cast("int"), F.floor(s % 3600 / 60).cast("int"), s % 60))
 
 
 def moment(day: Column, second_of_day: Column) -> Column:

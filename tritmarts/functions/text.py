@@ -14,7 +14,8 @@ def whole(x: Column) -> Column:
 
 
 def tenth(x: Column) -> Column:
-    return F.format_string("%.1f", F.bround(x.cast("double"), 1))
+    x = x.cast("double")
+    return F.when(x.isNotNull(), F.format_string("%.1f", F.bround(x, 1)))
 
 
 def percent(x: Column) -> Column:

@@ -36,8 +36,9 @@ def _islands(seconds: DataFrame, window: int) -> DataFrame:
 def detect_cascades(signs: DataFrame, cfg: Cards = Cards()) -> DataFrame:
     """Greedy groups anchored at their first sign, over (object_name, ts, picket).
 
-    Signs are folded to distinct seconds first.  Only those seconds, cut into
-    islands, are walked in order; everything else is joins and aggregates.
+    Signs are folded to distinct seconds and cut into islands.  An island no
+    longer than the window is one group already, anchored at its start; only
+    the longer ones are walked in order, as bare seconds.
     """
     window = cfg.cascade_seconds
     timed = (signs.filter(F.length("ts") > 10)
@@ -54,8 +55,14 @@ def detect_cascades(signs: DataFrame, cfg: Cards = Cards()) -> DataFrame:
             i = j
         return pd.DataFrame({"object_name": pdf["object_name"].iloc[0], "sec": sec, "anchor": anchor})
 
-    anchors = (_islands(folded.select("object_name", "sec").distinct(), window)
-               .groupBy("object_name", "island").applyInPandas(walk, "object_name string, sec long, anchor long"))
+    seconds = _islands(folded.select("object_name", "sec").distinct(), window)
+    ends = seconds.groupBy("object_name", "island").agg(F.max("sec").alias("last"))
+    placed = seconds.join(ends, ["object_name", "island"])
+    is_long = F.col("last") - F.col("island") > window
+    short = placed.filter(~is_long).select("object_name", "sec", F.col("island").alias("anchor"))
+    walked = (placed.filter(is_long).select("object_name", "island", "sec").groupBy("object_name", "island")
+              .applyInPandas(walk, "object_name string, sec long, anchor long"))
+    anchors = short.unionByName(walked)
     found = (folded.join(anchors, ["object_name", "sec"]).groupBy("object_name", "anchor")
              .agg(F.sum("n").alias("n_signs"), (F.max("sec") - F.col("anchor")).alias("span_seconds"),
                   F.sort_array(F.collect_set("picket")).alias("pickets"))

@@ -15,6 +15,7 @@ from tritmarts.plans.catalog_ranking import FIT, World, _evidence, _fitted, _sco
 from tritmarts.plans.catalog_scenarios import CLOCK, ORDER_DAYS, Heat, Network, flat_evidence, forms
 from tritmarts.plans.oracle_parts import part, with_parts
 from tritmarts.plans.registry import query, tidy
+from tritmarts.plans.store import stored
 from tritmarts.session import shared_dir
 from tritmarts.sources import readers, sinks
 from tritmarts.sources.literal import inline_table
@@ -24,7 +25,11 @@ KINDS = [fv.SMOKE, fv.HEAT, fv.GAS, fv.DOOR, "Прочее"]
 
 
 def sample_cards(spark, sf):
-    """One verdict card per order."""
+    """One verdict card per order, written once."""
+    return stored(spark, sf, "cards", lambda: build_cards(spark, sf))
+
+
+def build_cards(spark, sf):
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     obj = cust % 16
     day = F.date_add(F.lit("2024-01-01").cast("date"),
@@ -302,7 +307,7 @@ def d3(spark, sf):
 
 @query("d4_titles", with_parts("SELECT id, title FROM q_titled"))
 def d4(spark, sf):
-    return sample_cards(spark, sf).select("id", "title")
+    return build_cards(spark, sf).select("id", cards.title().alias("title"))
 
 
 def scenario_cards(spark, sf):
@@ -503,7 +508,7 @@ def g2(spark, sf):
 
 def network_cards(spark, sf):
     """Enriched scenario cards with an id, as exports and maps take them."""
-    rows = scenario_cards(spark, sf)
+    rows = stored(spark, sf, "network_cards", lambda: scenario_cards(spark, sf))
     return rows.withColumn("id", F.xxhash64("scenario", "d", "object_id", "picket", "channel_id")) \
         .withColumn("status", F.lit(fv.STATUS_NEW)).withColumn("created_at", F.col("d").cast("string"))
 
