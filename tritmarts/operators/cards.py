@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tritmarts import fixed_values as fv
 from tritmarts.functions import text
@@ -214,21 +214,27 @@ def signs(cards: DataFrame) -> DataFrame:
 
 
 def merged_timeline(cards: DataFrame) -> DataFrame:
-    """Entries with equal day, kind and text become one with its sources."""
+    """Entries with equal day, kind and text become one with its sources.
+
+    Sources are counted and only the first three are named, so an entry shared
+    by very many points is never gathered in one place.
+    """
     rows = signs(cards)
     label = F.coalesce(said("ПК", F.col("picket").cast("string")), F.col("sensor_name"), F.lit(""))
     rank = F.struct((-F.col("probability")).alias("p"), F.coalesce("channel_id", F.lit(0)).alias("c"), "pos")
     key = ["object_name", "day", "kind", "text"]
     rows = rows.withColumn("day", F.substring("ts", 1, 10)).withColumn("label", label).withColumn("rank", rank)
     per_label = rows.groupBy(*key, "label").agg(F.min("rank").alias("rank"), F.min_by("ts", "rank").alias("ts"))
-    both = per_label.groupBy(*key).agg(
-        F.min_by("ts", "rank").alias("ts"),
-        F.sort_array(F.collect_list(F.when(F.col("label") != "", F.struct("rank", "label")))).alias("s"))
+    whole = per_label.groupBy(*key).agg(F.min_by("ts", "rank").alias("ts"), F.count_if(F.col("label") != "").alias("n"))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("rank"))
+    shown = (per_label.filter(F.col("label") != "").withColumn("_i", place).filter("_i <= 3").groupBy(*key)
+             .agg(F.sort_array(F.collect_list(F.struct("_i", "label"))).alias("s")))
+    both = whole.join(shown, key, "left")
     names = F.transform("s", lambda x: x["label"])
-    n = F.size("s")
+    n = F.col("n")
     more = F.when(n > 3, said(" и ещё ", (n - 3).cast("string"))).otherwise(F.lit(""))
     words = (F.when(n > 1, said(F.col("text"), " — на ", n.cast("string"), " точках (",
-                                F.array_join(F.slice(names, 1, 3), ", "), more, ")"))
+                                F.array_join(names, ", "), more, ")"))
              .when(n == 1, said(F.col("text"), " — ", F.get(names, F.lit(0))))
              .otherwise(F.col("text")))
     return both.select("object_name", "ts", "kind", words.alias("text"), n.alias("n_sources"))

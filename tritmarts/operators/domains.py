@@ -58,12 +58,11 @@ def synchrony_buckets(sync: DataFrame) -> DataFrame:
                  F.median("sync_rate").alias("median_sync")))
 
 
-def logical_domains(dim: DataFrame, list_ids: bool = True) -> DataFrame:
+def logical_domains(dim: DataFrame) -> DataFrame:
     """Channels of one point that can confirm each other.
 
-    Types and systems are few, so their sets stay small.  The id list is the
-    only column that grows with the point; ``list_ids=False`` leaves it out for
-    the jobs that do not read it.
+    Types and systems are few, so their sets stay small.  The channel ids of a
+    point have no bound and are rows of their own (``domain_channels``).
     """
     kind = F.col("sensor_type")
     cols = [
@@ -77,8 +76,6 @@ def logical_domains(dim: DataFrame, list_ids: bool = True) -> DataFrame:
         F.bool_or(kind == fv.SMOKE).alias("has_smoke"),
         F.bool_or(kind == fv.PUMP).alias("has_pump"),
         F.bool_or(kind.isin(fv.INTRUSION_DOMAIN_TYPES)).alias("has_intrusion")]
-    if list_ids:
-        cols.insert(4, F.sort_array(F.collect_list("channel_id")).alias("channel_ids"))
     return (dim.filter(F.col("picket").isNotNull() & ~F.col("is_zone_aggregate"))
             .groupBy("object_id", "picket").agg(*cols))
 

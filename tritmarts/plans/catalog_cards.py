@@ -128,13 +128,13 @@ SELECT h.*, dm.sensor_name, dm.sensor_type, dm.system, dm.picket, dm.object_id,
 FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY score DESC, channel_id) AS r
       FROM (SELECT f.*, (f.channel_id * 7919 + datediff('day', DATE '1995-01-01', f.d) * 104729) % 1009 / 1009.0 AS score FROM q_features f)) h
 JOIN q_dim_long dm USING (channel_id) LEFT JOIN q_domain_long g ON g.object_id = dm.object_id AND g.picket = dm.picket
-WHERE r <= 10
+WHERE r <= 100
 """)
 
 
 def _head(spark, sf):
     w = World(spark, sf)
-    return verdicts.score_days(w.features.withColumn("score", fixed_score()), w.dim, w.domains, limit=10)
+    return verdicts.score_days(w.features.withColumn("score", fixed_score()), w.dim, w.domains)
 
 
 def _points(spark, sf):
@@ -222,7 +222,7 @@ def failure_cards(spark, sf):
     """Verdicts of the trained model over the whole test period, all lookups joined."""
     w, model = World(spark, sf), _fitted(spark, sf)[0]
     from tritmarts.operators import ranker
-    head = verdicts.score_days(_scored_test(spark, sf), w.dim, w.domains, limit=5)
+    head = verdicts.score_days(_scored_test(spark, sf), w.dim, w.domains)
     told = _evidence(spark, sf).join(head.select("channel_id", "d"), ["channel_id", "d"], "left_semi")
     prepared = ranker.prepare(_test_rows(spark, sf))
     change = explain.counterfactual(model, prepared, told).select("channel_id", "d", "counterfactual")
@@ -813,6 +813,15 @@ def s1(spark, sf):
         F.sum("t_sec").alias("seconds")))
 
 
+@query("s2_journal_scan", with_parts("SELECT channel_id, count(*) AS n, min(d) AS first_day, max(d) AS last_day FROM q_journal GROUP BY 1"))
+def s2(spark, sf):
+    """Journal files picked by a glob over their partitions."""
+    path = _out(spark, "journal-weeks")
+    samples.journal(spark, sf).withColumn("week", F.weekofyear("d")).write.partitionBy("week").parquet(path)
+    rows = readers.read_journal(spark, f"{path}/week=*")
+    return tidy(rows.groupBy("channel_id").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first_day"), F.max("d").alias("last_day")))
+
+
 @query("s3_channel_dictionary", with_parts("""
 SELECT channel_id, sensor_type, sensor_name || chr(10) || 'строка "2"' AS sensor_name, object_id FROM q_channels"""))
 def s3(spark, sf):

@@ -263,7 +263,6 @@ part("q_domain", """
 SELECT object_id, picket, count(*) AS n_channels, count(DISTINCT sensor_type) AS n_sensor_types,
        count(DISTINCT system) AS n_systems,
        string_agg(DISTINCT sensor_type, '|' ORDER BY sensor_type) AS sensor_types,
-       string_agg(CAST(channel_id AS VARCHAR), '|' ORDER BY channel_id) AS channel_ids,
        min(object_name) AS object_name, min(parent_name) AS parent_name,
        count(*) FILTER (WHERE sensor_type IN ('Тепловой датчик','Датчик температуры')) > 0 AS has_thermal,
        count(*) FILTER (WHERE sensor_type = 'Датчик дыма') > 0 AS has_smoke,
@@ -292,11 +291,11 @@ SELECT CASE WHEN n_channels < 2 THEN '1 канал — подтверждать
        count(*) AS domains, CAST(sum(n_channels) AS BIGINT) AS channels
 FROM q_domain GROUP BY 1"""))
 def e9(spark, sf):
-    return tidy(domains.domain_size_buckets(domains.logical_domains(samples.dim(spark, sf), list_ids=False)))
+    return tidy(domains.domain_size_buckets(domains.logical_domains(samples.dim(spark, sf))))
 
 
 @query("e9_smoke_thermal_crosstab", with_parts("""
 SELECT has_smoke, has_thermal, count(*) AS domains, CAST(sum(n_channels) AS BIGINT) AS channels
 FROM q_domain WHERE has_smoke GROUP BY 1, 2"""))
 def e9_cross(spark, sf):
-    return tidy(domains.smoke_thermal_crosstab(domains.logical_domains(samples.dim(spark, sf), list_ids=False)))
+    return tidy(domains.smoke_thermal_crosstab(domains.logical_domains(samples.dim(spark, sf))))

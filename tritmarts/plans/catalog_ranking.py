@@ -44,7 +44,7 @@ class World:
 
     @property
     def domains(self):
-        return self._stored("domains_long", lambda: domains.logical_domains(self.dim, list_ids=False))
+        return self._stored("domains_long", lambda: domains.logical_domains(self.dim))
 
     @property
     def sweeps(self):

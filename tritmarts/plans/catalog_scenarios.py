@@ -33,7 +33,7 @@ class Network:
 
     @property
     def domains(self):
-        return self._stored("domains", lambda: domains.logical_domains(self.dim, list_ids=False))
+        return self._stored("domains", lambda: domains.logical_domains(self.dim))
 
     @property
     def pump_day(self):
