@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tritmarts import fixed_values as fv
 from tritmarts.operators import (
-    calendar, cards, cascades, contract, domains, fire, geometry, intrusion, labels, marts, orders, reports, scores, verdicts)
-from tritmarts.settings import Labelling
+    calendar, cards, cascades, contract, domains, explain, fire, geometry, intrusion, labels, marts, orders, ranker, reports, scores,
+    verdicts)
+from tritmarts.settings import Labelling, Modelling
 from tritmarts.sources import readers, sinks
 
 D = dt.date
@@ -113,6 +114,46 @@ def test_metrics_with_ties(spark):
     assert scores.threshold_for_precision(df, 0.99).first().achieved is False
 
 
+def test_metrics_without_positives(spark):
+    df = spark.createDataFrame([(1, D(2024, 1, 1), 0, 0.9)], "channel_id long, d date, y int, score double")
+    m = {r.metric: r.value for r in scores.ranking_metrics(df, (1,)).collect()}
+    assert (m["pr_auc"], m["roc_auc"], m["lift@1"]) == (0.0, None, 0.0)
+    assert scores.recall_price(df, (0.5,), 10.0).count() == 0
+
+
+def test_recall_price_resolves_ties_in_queue_order(spark):
+    rng = random.Random(5)
+    rows = [(ch, D(2024, 1, 1) + dt.timedelta(day), int(rng.random() < 0.3), rng.randrange(4) / 4)
+            for ch in range(0, 5000, 97) for day in range(3)]
+    df = spark.createDataFrame(rows, "channel_id long, d date, y int, score double")
+    ordered = sorted(rows, key=lambda r: (-r[3], r[0], r[1]))
+    total = sum(r[2] for r in rows)
+    for recall, alerts in {r.recall: r.alerts for r in scores.recall_price(df, (0.1, 0.5, 0.9), 10.0).collect()}.items():
+        need, caught = -(-round(recall * total * 1000) // 1000), 0
+        for place, r in enumerate(ordered, 1):
+            caught += r[2]
+            if caught >= need:
+                break
+        assert alerts == place
+
+
+def test_forest_explanations_add_up(spark):
+    rng = random.Random(1)
+    rows = [(i, D(2024, 1, 1), int(i % 3 == 0), *[float(rng.randrange(6) + (i % 3 == 0)) for _ in fv.FEATURE_NAMES]) for i in range(600)]
+    df = spark.createDataFrame(rows, "channel_id long, d date, y int, " + ", ".join(f"`{n}` double" for n in fv.FEATURE_NAMES))
+    cfg = Modelling(trees=5, depth=4, min_leaf=5)
+    model = ranker.train_forest(ranker.prepare(df), cfg)
+    scored = ranker.score(model, ranker.prepare(df))
+    contrib = explain.contributions(model, scored)
+    assert explain.additivity_gap(contrib).first().max_gap < 1e-12
+    told = explain.top_evidence(contrib, df, k=4)
+    assert told.filter(F.size("evidence") > 4).count() == 0
+    eased = explain.counterfactual(model, ranker.prepare(df), told)
+    assert eased.filter("counterfactual IS NOT NULL AND after > before - 0.01").count() == 0
+    plain = explain.group_ablation(model, ranker.prepare(df), (50, 100)).collect()
+    assert {r.group for r in plain} == {"исходно", *fv.ABLATION_GROUPS}
+
+
 def test_fire_scores(spark):
     rows = [(3, 10, 1, False, 0.1), (2, 1, -1, False, 0.1), (1, 1, 0, False, 0.1), (1, 1, -1, False, 0.1), (5, 50, 1, True, 0.8)]
     df = spark.createDataFrame(rows, "n_smoke_ch int, n_smoke_ev int, confirm_trit int, is_sweep boolean, base_share double")

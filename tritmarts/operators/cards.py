@@ -39,15 +39,23 @@ def onsets(asked: DataFrame, fact: DataFrame, days: int = Cards.series_days) ->
     age = F.datediff("day", "d")
     rows = spread.join(facts, ["channel_id", "_p"]).filter(age.between(0, days))
 
+    # a channel has one row per day, so day and second pack into one ordered number
+    base, no_time = 100_000, 99_999
+
     def stamp(time: str, fallback: str) -> Column:
-        d = F.col("d")
-        return F.coalesce(moment(d, F.coalesce(time, fallback)), d.cast("string"))
+        return F.unix_date("d").cast("bigint") * base + F.coalesce(time, fallback, F.lit(no_time))
 
     def first(cond: Column, value: Column) -> Column:
-        return F.min_by(F.when(cond, value), F.when(cond, F.col("d")))
+        return F.min(F.when(cond, value))
 
     def last(cond: Column, value: Column) -> Column:
-        return F.max_by(F.when(cond, value), F.when(cond, F.col("d")))
+        return F.max(F.when(cond, value))
+
+    def unpacked(name: str) -> Column:
+        v = F.col(name)
+        d = F.date_from_unix_date(F.floor(v / base).cast("int"))
+        t = F.nullif(F.pmod(v, F.lit(base)), F.lit(no_time))
+        return F.coalesce(moment(d, t), d.cast("string")).alias(name)
 
     bad, week, month = F.col("bad") > 0, age < 7, age < 30
     out = rows.groupBy("channel_id", "day").agg(
@@ -57,7 +65,7 @@ def onsets(asked: DataFrame, fact: DataFrame, days: int = Cards.series_days) ->
         last(F.lit(True), stamp("t_last", "t_first")).alias("active_last"),
         first((F.col("n_undefined") > 0) & week, stamp("t_first_undefined", "t_first")).alias("undefined_week"),
         first(((F.col("n_ev") > 0) | bad) & week, stamp("t_first", "t_first")).alias("active_week"))
-    return out.withColumnRenamed("day", "d")
+    return out.select("channel_id", F.col("day").alias("d"), *map(unpacked, [*ONSET_OF, "active_week"]))
 
 
 def sign_since(feature: Column) -> Column:

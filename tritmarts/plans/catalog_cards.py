@@ -11,7 +11,7 @@ from tritmarts.functions.numbers import clock
 from tritmarts.operators import (
     calibration, cards, cascades, controls, domains, explain, geometry, orders, reports, verdicts)
 from tritmarts.plans import catalog_marts, samples  # noqa: F401  catalog_marts holds shared oracle parts
-from tritmarts.plans.catalog_ranking import FIT, World, _evidence, _fitted, _scored_test, _test_rows, fixed_score
+from tritmarts.plans.catalog_ranking import FIT, World, _fitted, _scored_test, _test_rows, fixed_score
 from tritmarts.plans.catalog_scenarios import CLOCK, ORDER_DAYS, Heat, Network, flat_evidence, forms
 from tritmarts.plans.oracle_parts import part, with_parts
 from tritmarts.plans.registry import query, tidy
@@ -221,11 +221,10 @@ def v7(spark, sf):
 def failure_cards(spark, sf):
     """Verdicts of the trained model over the whole test period, all lookups joined."""
     w, model = World(spark, sf), _fitted(spark, sf)[0]
-    from tritmarts.operators import ranker
     head = verdicts.score_days(_scored_test(spark, sf), w.dim, w.domains)
-    told = _evidence(spark, sf).join(head.select("channel_id", "d"), ["channel_id", "d"], "left_semi")
-    prepared = ranker.prepare(_test_rows(spark, sf))
-    change = explain.counterfactual(model, prepared, told).select("channel_id", "d", "counterfactual")
+    told = stored(spark, sf, "explained_head", lambda: explain.top_evidence(
+        explain.contributions(model, head), _test_rows(spark, sf)))
+    change = explain.counterfactual(model, head, told).select("channel_id", "d", "counterfactual")
     told = told.join(change, ["channel_id", "d"], "left")
     smoke = Network(spark, sf).smoke
     return verdicts.failure_verdicts(head, told, smoke, Heat(spark, sf).state, w.fact, w.dim)

@@ -502,7 +502,9 @@ def _test_rows(spark, sf):
 
 
 def _scored_test(spark, sf):
-    return ranker.score(_fitted(spark, sf)[0], ranker.prepare(_test_rows(spark, sf)))
+    """Scores of the test period, written once for the queries that explain them."""
+    return stored(spark, sf, "scored_test", lambda: ranker.score(
+        _fitted(spark, sf)[0], ranker.prepare(_test_rows(spark, sf))))
 
 
 @query("m3_forest_tree_sizes")
@@ -521,7 +523,8 @@ def m4(spark, sf):
 
 @query("m5_forest_scores")
 def m5(spark, sf):
-    return tidy(_scored_test(spark, sf).select("channel_id", "d", "y", "score"))
+    rows = ranker.score(_fitted(spark, sf)[0], ranker.prepare(_test_rows(spark, sf)))
+    return tidy(rows.select("channel_id", "d", "y", "score"))
 
 
 @query("m6_forest_metrics")
@@ -570,13 +573,14 @@ def x2(spark, sf):
 
 
 def _evidence(spark, sf):
-    contrib = explain.contributions(_fitted(spark, sf)[0], _scored_test(spark, sf))
-    return explain.top_evidence(contrib, _test_rows(spark, sf))
+    return stored(spark, sf, "evidence", lambda: explain.top_evidence(
+        explain.contributions(_fitted(spark, sf)[0], _scored_test(spark, sf)), _test_rows(spark, sf)))
 
 
 @query("x3_top_evidence")
 def x3(spark, sf):
-    rows = _evidence(spark, sf).select("channel_id", "d", F.posexplode("evidence").alias("rank", "e"))
+    told = explain.top_evidence(explain.contributions(_fitted(spark, sf)[0], _scored_test(spark, sf)), _test_rows(spark, sf))
+    rows = told.select("channel_id", "d", F.posexplode("evidence").alias("rank", "e"))
     return tidy(rows.select("channel_id", "d", "rank", "e.feature", "e.group", "e.value", "e.contribution", "e.phrase"))
 
 
