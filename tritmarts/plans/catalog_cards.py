@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tritmarts import fixed_values as fv
 from tritmarts.functions.numbers import clock
 from tritmarts.operators import (
-    calibration, cards, cascades, controls, domains, explain, geometry, orders, reports, verdicts)
+    calibration, cards, cascades, controls, explain, geometry, orders, reports, verdicts)
 from tritmarts.plans import catalog_marts, samples  # noqa: F401  catalog_marts holds shared oracle parts
 from tritmarts.plans.catalog_ranking import FIT, World, _fitted, _scored_test, _test_rows, fixed_score
 from tritmarts.plans.catalog_scenarios import CLOCK, ORDER_DAYS, Heat, Network, flat_evidence, forms
