@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tritmarts.llm import mixing, oracles, packing, secrets, simhash
+from tritmarts.llm import embedding_dedup, mixing, oracles, packing, rabitq, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +43,13 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracles.OP5)
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
+
+
+@query(oracles.OP9)
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query(oracles.OP3)
+def op3_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.search(table(spark, sf_dir, "embeddings"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from tritmarts.llm.tables import written
@@ -48,3 +49,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(
                 edges.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
         edges = written(_linked_to_least(written(_linked_to_least(edges, True), "links"), False), "links")
+
+
+def block_components(near: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric link matrix the least place it is connected to."""
+    n = len(near)
+    labels = np.arange(n)
+    while n:
+        least = np.minimum(labels, np.where(near, labels[None, :], n).min(axis=1))
+        least = np.minimum(least, least[least])
+        if (least == labels).all():
+            break
+        labels = least
+    return labels

@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tritmarts.llm.components import components
+from tritmarts.llm.components import block_components, components
 from tritmarts.llm.tables import written
 
 BITS = 64
@@ -76,22 +76,11 @@ def covering_masks(radius: int = RADIUS, bits: int = BITS, seed: int = MASK_SEED
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def _block_labels(values: np.ndarray, radius: int) -> np.ndarray:
-    """For each fingerprint of one block the least place it is connected to, by repeated least neighbours."""
-    near = np.bitwise_count(values[:, None] ^ values[None, :]) <= radius
-    labels = np.arange(len(values))
-    while True:
-        least = np.where(near, labels[None, :], len(values)).min(axis=1)
-        least = np.minimum(least, least[least])
-        if (least == labels).all():
-            return labels
-        labels = least
-
-
 def _across(forest: np.ndarray, values: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> None:
     """Join what is within ``radius`` between the places of one block or of two."""
     at = left if left is right else np.concatenate([left, right])
-    _merge(forest, at, at[_block_labels(values[at], radius)])
+    near = np.bitwise_count(values[at][:, None] ^ values[at][None, :]) <= radius
+    _merge(forest, at, at[block_components(near)])
 
 
 def _roots(forest: np.ndarray, at: np.ndarray) -> np.ndarray:
