@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tritmarts.llm import embedding_dedup, mixing, oracles, packing, rabitq, secrets, simhash
+from tritmarts.llm import embedding_dedup, mixing, oracles, packing, rabitq, secrets, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,8 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracles.OP3)
 def op3_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rabitq.search(table(spark, sf_dir, "embeddings"))
+
+
+@query(oracles.OP10)
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
