@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tritmarts.llm import embedding_dedup, mixing, oracles, packing, rabitq, secrets, simhash, warc
+from tritmarts.llm import embedding_dedup, language, mixing, oracles, packing, rabitq, secrets, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,8 @@ def op3_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracles.OP10)
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.report(table(spark, sf_dir, "documents"))
