@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tritmarts.llm import embedding_dedup, language, mixing, oracles, packing, rabitq, secrets, simhash, warc
+from tritmarts.llm import embedding_dedup, language, mixing, oracles, packing, rabitq, secrets, simhash, sitetree, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitetree.main_text(table(spark, sf_dir, "pages"))
