@@ -8,7 +8,10 @@ from tritmarts import fixed_values as fv
 
 LONG_BREAK = 3
 LOOK_AHEAD = 14
+#: days before the first one that a break reaching into it may begin
 MARGIN = 45
+#: every year has a long break, so this many days behind the last one always hold the next
+FORWARD = 400
 
 
 def _holiday(d: Column) -> Column:
@@ -19,16 +22,27 @@ def _holiday(d: Column) -> Column:
 
 
 def calendar_dim(spark: SparkSession, first: str, last: str) -> DataFrame:
+    """The calendar from ``first`` to ``last``."""
+    return _calendar(spark.range(1).select(F.lit(first).cast("date").alias("first"), F.lit(last).cast("date").alias("last")))
+
+
+def calendar_of(rows: DataFrame, day: str = "d", due: str = "due") -> DataFrame:
+    """The calendar from the first ``day`` to the last ``due`` (or day) of ``rows``, an aggregate of one row."""
+    return _calendar(rows.agg(F.min(day).alias("first"), F.greatest(F.max(day), F.max(due)).alias("last"))
+                     .where("first is not null"))
+
+
+def _calendar(edge: DataFrame) -> DataFrame:
     """One row per day with its break, the next long break and the risk factor.
 
     Breaks are runs of consecutive non-working days: day number minus its rank
-    among non-working days is constant inside a run.  The table has one row per
-    calendar day, so its unpartitioned windows are small.
+    among non-working days is constant inside a run.  The next long break is the first one
+    at or after the day, however far.  The table has one row per calendar day, so
+    its unpartitioned windows are small.
     """
     d = F.col("d")
-    edge = spark.range(1).select(
-        F.date_sub(F.lit(first).cast("date"), MARGIN).alias("a"), F.date_add(F.lit(last).cast("date"), MARGIN).alias("b"))
-    days = edge.select(F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias("d"))
+    days = edge.select("first", "last", F.explode(F.sequence(
+        F.date_sub("first", MARGIN), F.date_add("last", FORWARD), F.expr("interval 1 day"))).alias("d"))
     days = (days.withColumn("n", F.unix_date("d")).withColumn("holiday", _holiday(d))
             .withColumn("is_weekend", F.dayofweek("d").isin(1, 7))
             .withColumn("is_nonworking", F.col("holiday").isNotNull() | F.col("is_weekend")))
@@ -38,7 +52,7 @@ def calendar_dim(spark: SparkSession, first: str, last: str) -> DataFrame:
     days = days.withColumn("break_length", F.when(F.col("is_nonworking"), length).otherwise(0))
     long = F.col("break_length") >= LONG_BREAK
     ahead = Window.orderBy("n").rangeBetween(0, LOOK_AHEAD)
-    far = Window.orderBy("n").rangeBetween(0, MARGIN - LOOK_AHEAD)
+    far = Window.orderBy("n").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     days = (days
             .withColumn("days_to_break", F.min(F.when(long, F.col("n"))).over(ahead) - F.col("n"))
             .withColumn("next_break", F.min(F.when(long, F.struct("d", "break_length"))).over(far)))
@@ -63,8 +77,7 @@ def calendar_dim(spark: SparkSession, first: str, last: str) -> DataFrame:
     for cond, k, words in rules:
         factor = (F if factor is None else factor).when(cond, F.lit(k))
         note = (F if note is None else note).when(cond, words)
-    inside = d.between(F.lit(first).cast("date"), F.lit(last).cast("date"))
-    return (days.withColumn("multiplier", factor.otherwise(F.lit(1.0))).withColumn("note", note).filter(inside)
+    return (days.withColumn("multiplier", factor.otherwise(F.lit(1.0))).withColumn("note", note).filter(d.between(F.col("first"), F.col("last")))
             .select("d", "holiday", "is_weekend", "is_nonworking", "break_length", "days_to_break",
                     F.col("next_break.d").alias("next_break"), F.col("next_break.break_length").alias("next_break_length"),
                     "multiplier", "note"))
@@ -73,14 +86,17 @@ def calendar_dim(spark: SparkSession, first: str, last: str) -> DataFrame:
 def adjust_due_dates(rows: DataFrame, calendar: DataFrame, day: str = "d", due: str = "due") -> DataFrame:
     """Pull a due date before the first long break that starts in [day, due].
 
-    The next break of every day is in the calendar, so this is an equi join.
+    The next break of every day is in the calendar, so this is an equi join.  A
+    row whose day the calendar does not cover fails the job; a null day stays as it is.
     """
     nxt = calendar.select(F.col("d").alias(day), "next_break", "next_break_length")
+    missing = F.col(day).isNotNull() & F.col("next_break").isNull()
+    fail = F.raise_error(F.concat(F.lit("the calendar does not cover "), F.col(day).cast("string"))).cast("date")
     hit = F.col("next_break") <= F.col(due)
     moved = F.date_sub("next_break", 1)
     note = F.concat(F.lit("срок сдвинут на "), F.date_format(moved, "dd.MM"), F.lit(": далее следуют "),
                     F.col("next_break_length").cast("string"), F.lit(" нерабочих дня подряд"))
     return (rows.join(nxt, day, "left")
             .withColumn("calendar_note", F.when(hit, note))
-            .withColumn(due, F.when(hit, F.greatest(moved, F.col(day))).otherwise(F.col(due)))
+            .withColumn(due, F.when(missing, fail).when(hit, F.greatest(moved, F.col(day))).otherwise(F.col(due)))
             .drop("next_break", "next_break_length"))

@@ -43,8 +43,10 @@ def incident_metrics(truth: DataFrame, fact: DataFrame, dim: DataFrame, smoke: D
                      reach: int = 2) -> DataFrame:
     """Detection of true incidents by triggers within a few pickets the same day.
 
-    ``truth`` has scenario, d, picket (one row per event).  The band join is an
-    equi join: each true event is spread over the pickets it can be seen from.
+    ``truth`` has scenario, d, picket (one row per event).  Every scenario has a
+    row, also without a true event, with its false alarms and the sensor types that
+    are in place for it.  The band join is an equi join: each true event is spread over the
+    pickets it can be seen from.
     """
     kinds = F.explode(F.array(*[F.struct(F.lit(s).alias("scenario"), F.lit(t).alias("sensor_type"))
                                 for s, ts in fv.INCIDENT_TYPES.items() for t in ts])).alias("k")
@@ -75,8 +77,12 @@ def incident_metrics(truth: DataFrame, fact: DataFrame, dim: DataFrame, smoke: D
     base = events.groupBy("scenario").agg(F.count(F.lit(1)).alias("events"))
     dropped = with_row(raw.join(sweep, "d", "left_semi").agg(F.count(F.lit(1)).alias("triggers_dropped")),
                        sweep.agg(F.count(F.lit(1)).alias("sweep_days")))
-    out = base.join(caught, "scenario", "left").join(false, "scenario", "left").join(lost, "scenario", "left")
-    out = with_row(out, dropped).na.fill(0, ["detected", "confirmed", "false_alarms", "false_confirmed", "events_in_dropped_days"])
+    installed = dim.filter(F.col("picket").isNotNull()).select("sensor_type").distinct()
+    places = spec.groupBy("scenario").agg(F.lit(0).alias("_")).drop("_").join(
+        spec.join(installed, "sensor_type").groupBy("scenario").agg(F.sort_array(F.collect_list("sensor_type")).alias("types_in_place")),
+        "scenario", "left").withColumn("types_in_place", F.coalesce("types_in_place", F.array().cast("array<string>")))
+    out = places.join(base, "scenario", "left").join(caught, "scenario", "left").join(false, "scenario", "left").join(lost, "scenario", "left")
+    out = with_row(out, dropped).na.fill(0, ["events", "detected", "confirmed", "false_alarms", "false_confirmed", "events_in_dropped_days"])
 
     def part(a: str, whole: Column) -> Column:
         return F.coalesce(F.col(a) / F.nullif(whole, F.lit(0)), F.lit(0.0))

@@ -769,18 +769,24 @@ def truth(spark, sf):
 
 
 @query("q11_incident_metrics", with_parts("""
-SELECT scenario, events, detected, confirmed, coalesce(false_alarms, 0) AS false_alarms, coalesce(false_confirmed, 0) AS false_confirmed, lost AS events_in_dropped_days,
+SELECT scenario, coalesce(events, 0) AS events, coalesce(detected, 0) AS detected, coalesce(confirmed, 0) AS confirmed,
+  coalesce(false_alarms, 0) AS false_alarms, coalesce(false_confirmed, 0) AS false_confirmed, coalesce(lost, 0) AS events_in_dropped_days,
+  coalesce((SELECT string_agg(t, '|' ORDER BY t) FROM (SELECT unnest(s.kinds) AS t)
+            WHERE t IN (SELECT sensor_type FROM q_dim WHERE picket IS NOT NULL)), '') AS types_in_place,
   (SELECT count(*) FROM q_sweepdays) AS sweep_days,
   (SELECT count(*) FROM q_fact JOIN q_dim USING (channel_id) WHERE n_trigger > 0 AND d IN (SELECT d FROM q_sweepdays)) AS triggers_dropped,
-  round(detected / events + 1e-9, 6) AS recall, round(coalesce(detected / nullif(detected + coalesce(x.false_alarms, 0), 0), 0) + 1e-9, 6) AS precision,
-  round(confirmed / events + 1e-9, 6) AS recall_confirmed,
+  round(coalesce(detected / nullif(events, 0), 0) + 1e-9, 6) AS recall,
+  round(coalesce(detected / nullif(detected + coalesce(x.false_alarms, 0), 0), 0) + 1e-9, 6) AS precision,
+  round(coalesce(confirmed / nullif(events, 0), 0) + 1e-9, 6) AS recall_confirmed,
   round(coalesce(confirmed / nullif(confirmed + coalesce(x.false_confirmed, 0), 0), 0) + 1e-9, 6) AS precision_confirmed,
   round(coalesce(confirmed / nullif(detected, 0), 0) + 1e-9, 6) AS confirmability
-FROM (SELECT scenario, count(*) AS events, count(*) FILTER (WHERE k > 0) AS detected, count(*) FILTER (WHERE k > 1) AS confirmed,
+FROM (VALUES ('задымление', ['Датчик дыма', 'Тепловой датчик']), ('подтопление', ['Состояние насоса', 'Датчик затопления']),
+             ('проникновение', ['КД Люк', 'КД Дверь', 'Датчик движения'])) s(scenario, kinds)
+LEFT JOIN (SELECT scenario, count(*) AS events, count(*) FILTER (WHERE k > 0) AS detected, count(*) FILTER (WHERE k > 1) AS confirmed,
              count(*) FILTER (WHERE d IN (SELECT d FROM q_sweepdays)) AS lost
       FROM (SELECT t.event_no, t.scenario, t.d, count(DISTINCT g.sensor_type) AS k FROM q_truth t
             LEFT JOIN q_trig g ON g.scenario = t.scenario AND g.d = t.d AND g.picket BETWEEN t.picket - 2 AND t.picket + 2
-            GROUP BY t.event_no, t.scenario, t.d) GROUP BY scenario)
+            GROUP BY t.event_no, t.scenario, t.d) GROUP BY scenario) e USING (scenario)
 LEFT JOIN (SELECT scenario, count(*) AS false_alarms, count(DISTINCT CASE WHEN two THEN (d, picket) END) AS false_confirmed
       FROM (SELECT g.*, picket IS NOT NULL AND min(sensor_type) OVER p <> max(sensor_type) OVER p AS two FROM q_trig g
             WHERE NOT EXISTS (SELECT 1 FROM q_truth t WHERE t.scenario = g.scenario AND t.d = g.d AND abs(t.picket - g.picket) <= 2)

@@ -420,7 +420,7 @@ def h10(spark, sf):
 
 part("q_days", """
 SELECT CAST(x AS DATE) AS d, h.name AS holiday, isodow(x) > 5 AS we, h.name IS NOT NULL OR isodow(x) > 5 AS off
-FROM (SELECT unnest(generate_series(DATE '2023-10-01', DATE '2027-03-01', INTERVAL 1 DAY)) AS x)
+FROM (SELECT unnest(generate_series(DATE '2023-10-01', DATE '2029-01-31', INTERVAL 1 DAY)) AS x)
 LEFT JOIN (VALUES ('01-01','Новый год'),('01-02','Новогодние каникулы'),('01-03','Новогодние каникулы'),('01-04','Новогодние каникулы'),
   ('01-05','Новогодние каникулы'),('01-06','Новогодние каникулы'),('01-07','Рождество Христово'),('01-08','Новогодние каникулы'),
   ('02-23','День защитника Отечества'),('03-08','Международный женский день'),('05-01','Праздник Весны и Труда'),
@@ -434,8 +434,8 @@ FROM (SELECT *, max(CASE WHEN NOT off THEN d END) OVER (ORDER BY d) AS prev_work
 part("q_calendar", """
 SELECT b.d, b.holiday, b.we AS is_weekend, b.off AS is_nonworking, b.len AS break_length,
        (SELECT min(datediff('day', b.d, n.d)) FROM q_breaks n WHERE n.len > 2 AND n.d BETWEEN b.d AND b.d + 14) AS days_to_break,
-       (SELECT min(n.d) FROM q_breaks n WHERE n.len > 2 AND n.d BETWEEN b.d AND b.d + 31) AS next_break
-FROM q_breaks b WHERE b.d BETWEEN DATE '2023-12-01' AND DATE '2026-12-31'
+       (SELECT min(n.d) FROM q_breaks n WHERE n.len > 2 AND n.d >= b.d) AS next_break
+FROM q_breaks b WHERE b.d BETWEEN DATE '2023-12-01' AND DATE '2027-12-31'
 """)
 part("q_risk", """
 SELECT c.*, nb.len AS next_break_length,
@@ -455,22 +455,24 @@ def _calendar_orders(spark, sf):
     start = F.date_add(F.lit("2024-01-01").cast("date"),
                        F.pmod(F.datediff("o_orderdate", F.lit("1995-01-01").cast("date")), F.lit(1000)))
     return o.select(F.col("o_orderkey").alias("id"), start.alias("d"),
-                    F.date_add(start, (F.col("o_custkey") % 31).cast("int")).alias("due"))
+                    F.date_add(start, (F.col("o_custkey") % 121).cast("int")).alias("due"))
+
+
+ORDER_DAYS = """
+SELECT o_orderkey AS id, DATE '2024-01-01' + CAST(datediff('day', DATE '1995-01-01', o_orderdate) % 1000 AS INT) AS d,
+       CAST(o_custkey % 121 AS INT) AS wait FROM orders"""
 
 
 @query("k1_calendar", with_parts("""
 SELECT d, holiday, is_weekend, is_nonworking, break_length::BIGINT AS break_length, days_to_break::BIGINT AS days_to_break, next_break,
-       next_break_length::BIGINT AS next_break_length, multiplier, note FROM q_risk"""))
+       next_break_length::BIGINT AS next_break_length, multiplier, note, coalesce(n_orders, 0) AS n_orders
+FROM q_risk LEFT JOIN (SELECT d, count(*) AS n_orders FROM (@ORDER_DAYS@) GROUP BY d) USING (d)
+WHERE d BETWEEN (SELECT min(d) FROM (@ORDER_DAYS@)) AND (SELECT max(d + wait) FROM (@ORDER_DAYS@))""".replace("@ORDER_DAYS@", ORDER_DAYS)))
 def k1(spark, sf):
-    """Calendar over the years the orders fall into after the shift."""
-    days = _calendar_orders(spark, sf).select("d").distinct()
-    cal = calendar.calendar_dim(spark, *CAL)
-    return tidy(cal.join(days.withColumn("_x", F.lit(1)), "d", "left").drop("_x"))
-
-
-ORDER_DAYS = """
-SELECT o_orderkey AS id, DATE '2024-01-01' + CAST(datediff('day', DATE '1995-01-01', o_orderdate) % 1000 AS INT) AS d,
-       CAST(o_custkey % 31 AS INT) AS wait FROM orders"""
+    """Calendar from the first order's day to the last due date, with the orders of each day."""
+    orders = _calendar_orders(spark, sf)
+    per_day = orders.groupBy("d").agg(F.count(F.lit(1)).alias("n_orders"))
+    return tidy(calendar.calendar_of(orders).join(per_day, "d", "left").na.fill(0, ["n_orders"]))
 
 
 @query("k2_days_to_break", with_parts(f"""
