@@ -328,7 +328,7 @@ INCUBATION_BUCKETS = [
     (1, 7, "1–7 суток"),
     (8, 30, "8–30 суток"),
     (31, 60, "31–60 суток"),
-    (61, 1000000, "свыше 60 суток"),
+    (61, None, "свыше 60 суток"),
 ]
 SYNC_BUCKETS = [
     (0.95, "синхронны (>=95%) — пороги одного прибора"),

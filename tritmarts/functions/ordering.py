@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tritmarts.functions.written import written
+
 
 def with_neighbour(df: DataFrame, key: Sequence[str], segment: str, order: Sequence[str],
                    value: Sequence[str], name: str = "prev", forward: bool = False) -> DataFrame:
@@ -38,27 +40,28 @@ def running_totals(df: DataFrame, levels: Sequence[str], order: Sequence[Column]
                    measures: Sequence[str], key: Sequence[str] = (), suffix: str = "_cum") -> DataFrame:
     """Inclusive running sums of ``measures`` per ``key`` in the order levels..., order...
 
-    ``levels`` and ``key`` are non-null columns from coarse to fine.  Only the finest
-    segment is windowed row by row; coarser levels contribute per-segment
-    offsets, so no task sees more than one segment plus one row per sibling.
+    ``levels`` and ``key`` are non-null columns from coarse to fine.  Rows are folded once to sums
+    per finest cell, a written table; the offsets of all levels come from it, and one
+    join brings them to the rows.  Only a finest cell is windowed row by row, so no task
+    sees more than one cell plus one row per sibling.
     """
-    deepest = (Window.partitionBy(*key, *levels).orderBy(*order)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = df
-    for m in measures:
-        out = out.withColumn(f"{m}{suffix}", F.sum(m).over(deepest))
-    for depth in range(len(levels)):
+    if not levels:
+        inside = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select("*", *[F.sum(m).over(inside).alias(f"{m}{suffix}") for m in measures])
+    cell = [*key, *levels]
+    sums = written(df.groupBy(*cell).agg(*[F.sum(m).alias(f"_t_{m}") for m in measures]), "cells")
+    offsets = sums.select(*cell)
+    for depth in reversed(range(len(levels))):
         keys = [*key, *levels[: depth + 1]]
-        siblings = (Window.partitionBy(*key, *levels[:depth]).orderBy(levels[depth])
+        siblings = (Window.partitionBy(*keys[:-1]).orderBy(levels[depth])
                     .rowsBetween(Window.unboundedPreceding, -1))
-        offsets = (df.groupBy(*keys).agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
-                   .select(*keys, *[F.coalesce(F.sum(f"_t_{m}").over(siblings), F.lit(0))
-                                    .alias(f"_o_{m}") for m in measures]))
-        out = out.join(offsets, keys)
-        for m in measures:
-            out = out.withColumn(f"{m}{suffix}", F.col(f"{m}{suffix}") + F.col(f"_o_{m}"))
-        out = out.drop(*[f"_o_{m}" for m in measures])
-    return out
+        before = [F.coalesce(F.sum(f"_t_{m}").over(siblings), F.lit(0)).alias(f"_o{depth}_{m}") for m in measures]
+        offsets = offsets.join(sums.select(*keys, *before), keys)
+        sums = sums.groupBy(*keys[:-1]).agg(*[F.sum(f"_t_{m}").alias(f"_t_{m}") for m in measures])
+    total = [sum((F.col(f"_o{d}_{m}") for d in range(len(levels))), F.lit(0)).alias(f"_o_{m}") for m in measures]
+    inside = Window.partitionBy(*cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = df.select("*", *[F.sum(m).over(inside).alias(f"_w_{m}") for m in measures]).join(offsets.select(*cell, *total), cell)
+    return rows.select(*df.columns, *[(F.col(f"_w_{m}") + F.col(f"_o_{m}")).alias(f"{m}{suffix}") for m in measures])
 
 
 def descending_cells(value: Column, bits: int = 12) -> tuple[Column, Column]:
@@ -71,3 +74,13 @@ def descending_cells(value: Column, bits: int = 12) -> tuple[Column, Column]:
     key = F.lit(base * base) - F.floor(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)) * base * base)
     key = key.cast("bigint")
     return F.floor(key / base).cast("int"), F.pmod(key, F.lit(base)).cast("int")
+
+
+def spread_digits(value: Column, bits: int = 12) -> tuple[Column, Column, Column, Column, Column]:
+    """Digit columns that order a long from low to high, each with at most 2**bits (the first 2**(64 - 4 * bits)) values.
+
+    They split a run of ties on other columns by an id, so that no window sees a whole run.
+    """
+    base = 1 << bits
+    low = [F.shiftright(value, i * bits).bitwiseAND(F.lit(base - 1)).cast("int") for i in range(4)]
+    return (F.shiftright(value, 4 * bits).cast("int"), *reversed(low))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tritmarts import fixed_values as fv
 from tritmarts.functions import text
 from tritmarts.functions.numbers import moment
-from tritmarts.functions.ordering import descending_cells, running_totals
+from tritmarts.functions.ordering import descending_cells, running_totals, spread_digits
 from tritmarts.operators.marts import failures
 from tritmarts.operators.verdicts import said
 from tritmarts.settings import Cards
@@ -81,7 +81,7 @@ def title() -> Column:
     name = F.trim(F.nullif("object_name", F.lit("")))
     low, word = F.lower(name), "объект "
     at = F.instr(low, " " + word)
-    spot = (F.when(low.startswith(word), said("на объекте ", F.substring(name, len(word) + 1, 10000)))
+    spot = (F.when(low.startswith(word), said("на объекте ", F.substring(name, F.lit(len(word) + 1), F.length(name))))
             .when(at > 0, said("на объекте ", F.expr("substring(trim(object_name), instr(lower(trim(object_name)), ' объект ') + 8)"),
                                " (", F.expr("substring(trim(object_name), 1, instr(lower(trim(object_name)), ' объект ') - 1)"), ")"))
             .otherwise(said("на объекте ", name)))
@@ -195,15 +195,16 @@ def multicards(cards: DataFrame) -> DataFrame:
 def ranked_cards(cards: DataFrame, tie: str = "id") -> DataFrame:
     """Cards with their place inside the object, riskiest first.
 
-    Places are running totals over risk cells, so an object of any size is
+    Places are running totals over risk cells, then over the exact risk and the digits of
+    the integer ``tie``, so an object of any size, and any number of cards of one risk, is
     ranked by many tasks.
     """
     coarse, fine = descending_cells(F.col("probability"))
-    rows = (cards.withColumn("object_name", _object_key()).withColumn("_c1", coarse).withColumn("_c2", fine)
-            .withColumn("place", F.lit(1).cast("bigint")))
-    return (running_totals(rows, ["_c1", "_c2"], [F.col("probability").desc(), F.col(tie)], ["place"],
-                           key=["object_name"])
-            .drop("_c1", "_c2", "place").withColumnRenamed("place_cum", "place"))
+    digits = spread_digits(F.col(tie).cast("long"))
+    levels = {"_c1": coarse, "_c2": fine, "_c3": -F.col("probability"), **{f"_d{i}": d for i, d in enumerate(digits)}}
+    rows = cards.withColumns({"object_name": _object_key(), **levels, "place": F.lit(1).cast("bigint")})
+    return (running_totals(rows, list(levels), [F.col("probability").desc(), F.col(tie)], ["place"], key=["object_name"])
+            .drop(*levels, "place").withColumnRenamed("place_cum", "place"))
 
 
 def card_pages(cards: DataFrame, tie: str = "id", page_size: int = Cards.page_size) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tritmarts import fixed_values as fv
 from tritmarts.functions.ordering import running_totals
+from tritmarts.functions.written import written
 from tritmarts.operators.contract import classify
 from tritmarts.settings import Measurement
 
@@ -34,16 +35,18 @@ def with_twins(dim: DataFrame) -> DataFrame:
     """Channels sharing object, name and type: group size and group number.
 
     The number is a dense rank in (object, name, type) order.  It is built from
-    distinct keys with running totals per object and name prefix, so no single
-    task ranks the whole dimension.
+    distinct keys with running totals per object and growing parts of the name, so no
+    task ranks a whole object even if all of its names begin alike.
     """
     last = "\U0010ffff"
+    name = F.coalesce("sensor_name", F.lit(last))
+    parts = {"_objs": F.floor(F.coalesce("object_id", F.lit(2 ** 63 - 1)) / 4096), "_obj": F.coalesce("object_id", F.lit(2 ** 63 - 1)),
+             "_p4": F.substring(name, 1, 4), "_p8": F.substring(name, 5, 4), "_p16": F.substring(name, 9, 8)}
     groups = (dim.groupBy("object_id", "sensor_name", "sensor_type")
               .agg(F.count(F.lit(1)).alias("twin_count"))
-              .withColumn("_obj", F.coalesce("object_id", F.lit(2 ** 63 - 1)))
-              .withColumn("_prefix", F.coalesce(F.substring("sensor_name", 1, 4), F.lit(last)))
-              .withColumn("_one", F.lit(1).cast("bigint")))
-    ranked = running_totals(groups, ["_obj", "_prefix"],
+              .withColumns({**parts, "_one": F.lit(1).cast("bigint")}))
+    groups = written(groups, "twin_groups")
+    ranked = running_totals(groups, list(parts),
                             [F.col("sensor_name").asc_nulls_last(), F.col("sensor_type").asc_nulls_last()],
                             ["_one"])
     g = ranked.select(F.col("object_id").alias("_o"), F.col("sensor_name").alias("_n"),

@@ -68,6 +68,6 @@ def drafts(verdicts: DataFrame, calendar: DataFrame) -> DataFrame:
 def summary_line() -> Column:
     where = said(F.coalesce("object_name", F.lit("")), F.coalesce(said(", ПК", F.col("picket").cast("string")), F.lit("")))
     note = F.col("calendar_note")
-    tail = F.coalesce(said(" ", F.upper(F.substring(note, 1, 1)), F.lower(F.substring(note, 2, 1000)), "."), F.lit(""))
+    tail = F.coalesce(said(" ", F.upper(F.substring(note, 1, 1)), F.lower(F.substring(note, F.lit(2), F.length(note))), "."), F.lit(""))
     return said(F.col("work_type"), " — ", where, ". Приоритет ", F.col("priority"), ", срок до ",
                 F.date_format("due_date", "dd.MM.yyyy"), ", исполнитель: ", F.col("responsible"), ".", tail)

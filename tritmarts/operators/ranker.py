@@ -74,7 +74,8 @@ def train_forest(train: DataFrame, cfg: Modelling = Modelling()) -> RandomForest
     rows = balanced(assemble(train)).select("features", F.col("y").cast("double").alias("y"), "weight")
     return RandomForestClassifier(
         featuresCol="features", labelCol="y", weightCol="weight", numTrees=cfg.trees, maxDepth=cfg.depth,
-        minInstancesPerNode=cfg.min_leaf, featureSubsetStrategy="sqrt", seed=cfg.seed).fit(rows)
+        minInstancesPerNode=cfg.min_leaf, featureSubsetStrategy="sqrt", seed=cfg.seed,
+        maxMemoryInMB=1024).fit(rows)
 
 
 def train_linear(train: DataFrame) -> PipelineModel:

@@ -70,9 +70,10 @@ def visible_to(verdicts: DataFrame, users: DataFrame, assignments: DataFrame, us
     """
     mine = F.col("user_id") == user_id
     own = assignments.filter(mine).select("object_id").distinct()
-    if not users.filter(mine & F.col("is_global")).isEmpty() or own.isEmpty():
-        return verdicts
-    return verdicts.join(own, "object_id", "left_semi")
+    scope = with_row(users.filter(mine).agg(F.coalesce(F.bool_or("is_global"), F.lit(False)).alias("_global")),
+                     own.agg((F.count(F.lit(1)) == 0).alias("_none")))
+    rows = with_row(verdicts.join(own.withColumn("_own", F.lit(True)), "object_id", "left"), scope)
+    return rows.filter(F.col("_global") | F.col("_none") | F.col("_own")).select(verdicts.columns)
 
 
 def visible_counts(verdicts: DataFrame, users: DataFrame, assignments: DataFrame) -> DataFrame:
@@ -106,7 +107,7 @@ def object_scenario_matrix(verdicts: DataFrame) -> DataFrame:
 def incubation_histogram(verdicts: DataFrame) -> DataFrame:
     """Counts per incubation bucket; empty buckets are shown as zero."""
     days = F.col("incubation_days")
-    counts = verdicts.agg(*[F.count_if(days.between(a, b)).alias(f"_{i}")
+    counts = verdicts.agg(*[F.count_if((days >= a) & (days <= b) if b is not None else days >= a).alias(f"_{i}")
                             for i, (a, b, _) in enumerate(fv.INCUBATION_BUCKETS)])
     rows = F.array(*[F.struct(F.lit(label).alias("bucket"), F.col(f"_{i}").alias("n"))
                      for i, (_, _, label) in enumerate(fv.INCUBATION_BUCKETS)])

@@ -9,7 +9,7 @@ from tritmarts.operators import controls, domains, explain, features, labels, ma
 from tritmarts.plans import catalog_marts, samples  # noqa: F401  catalog_marts holds shared oracle parts
 from tritmarts.plans.oracle_parts import part, with_parts
 from tritmarts.plans.registry import query, tidy
-from tritmarts.plans.store import stored
+from tritmarts.plans.store import settings_digest, stored
 from tritmarts.settings import Labelling, Modelling
 
 CFG = Labelling(sweep_min_channels=4, sweep_min_share=0.2,
@@ -18,7 +18,7 @@ CFG = Labelling(sweep_min_channels=4, sweep_min_share=0.2,
 CFG72 = Labelling(horizon_hours=72, sweep_min_channels=4, sweep_min_share=0.2,
                   artifact_periods=CFG.artifact_periods, blackout_days=CFG.blackout_days)
 FIT = Modelling(train_from="1997-01-01", train_to="1999-12-31", test_from="2000-01-01", test_to="2001-12-31",
-                negatives_per_positive=2, trees=20, depth=6, test_days=731.0)
+                negatives_per_positive=2, test_days=731.0)
 
 
 class World:
@@ -27,8 +27,12 @@ class World:
     def __init__(self, spark, sf, cfg: Labelling = CFG):
         self.spark, self.sf, self.cfg = spark, sf, cfg
 
+    def name(self, mart):
+        """A mart is kept by its name and the settings it was built with."""
+        return f"{mart}-{settings_digest(self.cfg)}"
+
     def _stored(self, name, build):
-        return stored(self.spark, self.sf, name, build)
+        return stored(self.spark, self.sf, self.name(name), build)
 
     @property
     def dim(self):
@@ -56,12 +60,12 @@ class World:
 
     @property
     def labels(self):
-        return self._stored(f"labels_{self.cfg.horizon_hours}", lambda: labels.labels(
+        return self._stored("labels", lambda: labels.labels(
             self.grid, self.fact, self.dim, self.sweeps, self.cfg))
 
     @property
     def features(self):
-        return self._stored(f"features_{self.cfg.horizon_hours}", lambda: features.feature_matrix(
+        return self._stored("features", lambda: features.feature_matrix(
             self.labels, self.fact, self.dim, self.profile, self.domains))
 
     def scored(self):
@@ -544,14 +548,15 @@ def m9(spark, sf):
 
 def ranker_sweep(spark, sf, hours=(24, 72, 168, 336)):
     """Relabel, retrain and measure for each horizon."""
-    cfg = Modelling(**{**FIT.__dict__, "trees": 10, "depth": 5})
     out = None
     for h in hours:
         world = World(spark, sf, Labelling(**{**CFG.__dict__, "horizon_hours": h}))
-        rows = ranker.prepare(ranker.temporal_split(world.features, cfg)).persist()
-        model = ranker.train_forest(rows.filter("part = 'train'"), cfg)
-        test = ranker.score(model, rows.filter("part = 'test'"))
-        cut = scores.threshold_for_precision(test, cfg.target_precision)
+        rows = ranker.prepare(ranker.temporal_split(world.features, FIT))
+        train = rows.filter("part = 'train'").persist()
+        model = ranker.train_forest(train, FIT)
+        train.unpersist()
+        test = stored(spark, sf, world.name(f"scored_horizon_{h}"), lambda m=model, r=rows: ranker.score(m, r.filter("part = 'test'")).select("channel_id", "d", "y", "score"))
+        cut = scores.threshold_for_precision(test, FIT.target_precision)
         more = cut.select(F.explode(F.create_map(
             F.lit("target_precision_achieved"), F.col("achieved").cast("double"),
             F.lit("best_precision"), F.col("precision"),

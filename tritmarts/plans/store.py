@@ -6,6 +6,7 @@ so its lineage is a file scan that survives a lost executor.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -16,6 +17,11 @@ from tritmarts.session import shared_dir
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
+def settings_digest(*settings: object) -> str:
+    """Short digest of frozen settings, so that marts of other settings have other names."""
+    return hashlib.sha256(repr(settings).encode()).hexdigest()[:12]
+
+
 def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _WRITTEN:

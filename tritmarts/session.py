@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -30,14 +31,20 @@ _LOCAL_SCRATCH: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the one the cluster names.
+    """Folder every executor can reach: the one the cluster names in ``spark.checkpoint.dir``.
 
-    A local folder is made only where ``spark.checkpoint.dir`` is unset, as in
-    tests on one machine.
+    Where that is unset a folder of this machine is made, but only for a session that
+    runs in this one process: executors elsewhere would each write to their own disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", "")
     if named:
         return named
+    return local_scratch(spark.sparkContext.master)
+
+
+def local_scratch(master: str) -> str:
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     if not _LOCAL_SCRATCH:
         _LOCAL_SCRATCH.append(tempfile.mkdtemp(prefix="tritmarts-"))
     return _LOCAL_SCRATCH[0]
