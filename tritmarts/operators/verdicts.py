@@ -57,12 +57,16 @@ def recommendation(scenario: Column, sensor_type: Column) -> Column:
 
 def score_days(scored: DataFrame, dim: DataFrame, domains: DataFrame, limit: int = Cards.failure_limit) -> DataFrame:
     """The riskiest channels of each day with their passport and point."""
-    head = top_per_day(scored, [F.col("score").desc(), F.col("channel_id")], limit)
+    return with_passport(top_per_day(scored, [F.col("score").desc(), F.col("channel_id")], limit), dim, domains)
+
+
+def with_passport(rows: DataFrame, dim: DataFrame, domains: DataFrame) -> DataFrame:
+    """Channel-day rows with the passport of the channel and the size of its point."""
     passport = dim.select("channel_id", "sensor_name", "sensor_type", "system", "picket", "object_id",
                           "object_name", "parent_name")
     point = domains.select("object_id", "picket", F.col("n_channels").alias("dom_size"),
                            F.col("has_thermal").alias("dom_thermal"))
-    return (head.join(passport, "channel_id").join(point, ["object_id", "picket"], "left")
+    return (rows.join(passport, "channel_id").join(point, ["object_id", "picket"], "left")
             .withColumn("dom_size", F.coalesce("dom_size", F.lit(1)))
             .withColumn("dom_thermal", F.coalesce("dom_thermal", F.lit(False))))
 
@@ -141,14 +145,19 @@ def precedents(points: DataFrame, fact: DataFrame, dim: DataFrame) -> DataFrame:
     return found.select("object_id", "picket", "d", words.alias("precedent"))
 
 
+def with_smoke(rows: DataFrame, smoke: DataFrame) -> DataFrame:
+    """Rows (object_id, d) with ``_smoke``: whether smoke was recorded on the object that day."""
+    smoky = smoke.select("object_id", "d").distinct().withColumn("_smoke", F.lit(True))
+    return rows.join(smoky, ["object_id", "d"], "left").withColumn("_smoke", F.coalesce("_smoke", F.lit(False)))
+
+
 def failure_verdicts(head: DataFrame, explained: DataFrame, smoke: DataFrame, state: DataFrame, fact: DataFrame,
                      dim: DataFrame, horizon_hours: int = 24) -> DataFrame:
     """Cards of the scored head: all lookups are joins over the whole set.
 
     ``explained`` has channel_id, d, bias, evidence and counterfactual.
     """
-    smoky = smoke.select("object_id", "d").distinct().withColumn("_smoke", F.lit(True))
-    rows = head.join(explained.drop("score"), ["channel_id", "d"]).join(smoky, ["object_id", "d"], "left")
+    rows = with_smoke(head.join(explained.drop("score"), ["channel_id", "d"]), smoke)
     key = ["object_id", "picket", "d"]
     rows = (rows.join(temperature_evidence(rows, state), key, "left").join(precedents(rows, fact, dim), key, "left"))
     own = F.transform("evidence", lambda e: sign(e["feature"], e["group"], e["value"], e["contribution"], e["phrase"]))
@@ -162,7 +171,7 @@ def failure_verdicts(head: DataFrame, explained: DataFrame, smoke: DataFrame, st
         F.lit(fv.MODEL_VERSION[fv.FAILURE]).alias("model_version"), F.lit(fv.CARD_TYPE[fv.FAILURE]).alias("card_type"),
         location(F.col("parent_name"), F.col("object_name"), F.col("picket"), F.col("channel_id")).alias("location"),
         F.col("bias").alias("baseline"), evidence.alias("evidence"),
-        failure_negatives(F.coalesce("_smoke", F.lit(False))).alias("negatives"), blind.alias("blind_spots"),
+        failure_negatives(F.col("_smoke")).alias("negatives"), blind.alias("blind_spots"),
         "counterfactual", recommendation(scenario, F.col("sensor_type")).alias("recommendation"), "precedent",
         "sensor_name", "sensor_type", "system", F.lit(None).cast("string").alias("episode_at"))
 

@@ -137,9 +137,28 @@ def _head(spark, sf):
     return verdicts.score_days(w.features.withColumn("score", fixed_score()), w.dim, w.domains)
 
 
+part("q_rows", """
+SELECT f.*, dm.sensor_name, dm.sensor_type, dm.system, dm.picket, dm.object_id, dm.object_name, dm.parent_name,
+       coalesce(g.n_channels, 1) AS dom_size, coalesce(g.has_thermal, false) AS dom_thermal, sm.d IS NOT NULL AS smoky
+FROM q_features f JOIN q_dim_long dm USING (channel_id)
+LEFT JOIN q_domain_long g ON g.object_id = dm.object_id AND g.picket = dm.picket
+LEFT JOIN q_smoke_days sm ON sm.object_id = dm.object_id AND sm.d = f.d
+""")
+part("q_smoke_days", """
+SELECT DISTINCT s_nationkey % 5 AS object_id, CAST(l_shipdate AS DATE) AS d FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
+WHERE l_linenumber = 7 AND l_returnflag = 'A'
+""")
+
+
+def _rows(spark, sf):
+    """Every grid row with its passport and smoke, not only the head of each day."""
+    w = World(spark, sf)
+    return verdicts.with_smoke(verdicts.with_passport(w.features, w.dim, w.domains), samples.smoke_long(spark, sf))
+
+
 def _points(spark, sf):
     """Every point-day of the label grid's channels, as asked places."""
-    return _head(spark, sf).select("object_id", "picket", "d")
+    return _rows(spark, sf).select("object_id", "picket", "d")
 
 
 @query("v1_score_days", with_parts("""
@@ -157,10 +176,10 @@ def v2(spark, sf):
 
 
 @query("v3_negatives", with_parts("""
-SELECT channel_id, d, concat_ws('|', CASE WHEN system LIKE '%Пожарная%' THEN 'пожар: сработок дыма за сутки не зафиксировано' END,
-       CASE WHEN domain_dev_share_7d < 0.2 THEN 'массовая авария: соседние каналы точки в норме' END) AS negatives FROM q_head"""))
+SELECT channel_id, d, concat_ws('|', CASE WHEN system LIKE '%Пожарная%' AND NOT smoky THEN 'пожар: сработок дыма за сутки не зафиксировано' END,
+       CASE WHEN domain_dev_share_7d < 0.2 THEN 'массовая авария: соседние каналы точки в норме' END) AS negatives FROM q_rows"""))
 def v3(spark, sf):
-    return tidy(_head(spark, sf).select("channel_id", "d", verdicts.failure_negatives(F.lit(False)).alias("negatives")))
+    return tidy(_rows(spark, sf).select("channel_id", "d", verdicts.failure_negatives(F.col("_smoke")).alias("negatives")))
 
 
 @query("v4_blind_spots", with_parts("""
@@ -168,9 +187,9 @@ SELECT channel_id, d, concat_ws('|',
   CASE WHEN dom_size = 1 THEN 'в этой точке только один канал — подтвердить показания нечем'
        WHEN domain_silent_share >= 0.5 THEN 'молчит ' || CAST(round_even(domain_silent_share * 100, 0) AS BIGINT) || '% соседних каналов точки — картина неполная' END,
   CASE WHEN system LIKE '%Пожарная%' AND NOT dom_thermal THEN 'тепловых датчиков в этой точке нет, подтвердить температурой нельзя' END) AS blind_spots
-FROM q_head"""))
+FROM q_rows"""))
 def v4(spark, sf):
-    return tidy(_head(spark, sf).select("channel_id", "d", verdicts.failure_blind_spots().alias("blind_spots")))
+    return tidy(_rows(spark, sf).select("channel_id", "d", verdicts.failure_blind_spots().alias("blind_spots")))
 
 
 @query("v5_temperature_evidence", with_parts("""
@@ -179,10 +198,10 @@ SELECT p.object_id, p.picket, p.d,
   CASE WHEN t.picket IS NOT NULL THEN CASE WHEN len(t.said) > 0 THEN t.blind ELSE '' END
        WHEN p.object_id IN (SELECT object_id FROM q_temp) THEN 'ближайший температурный датчик дальше 100 м — тепловой режим этой точки не контролируется'
        ELSE 'температурных датчиков на объекте нет — тепловой режим не контролируется' END AS blind_spots
-FROM (SELECT DISTINCT object_id, picket, d FROM q_head) p
+FROM (SELECT DISTINCT object_id, picket, d FROM q_rows) p
 LEFT JOIN (SELECT a.object_id, a.picket AS at, a.d, b.*EXCLUDE (object_id, d),
                   row_number() OVER (PARTITION BY a.object_id, a.picket, a.d ORDER BY abs(a.picket - b.picket), b.picket) AS rn
-           FROM (SELECT DISTINCT object_id, picket, d FROM q_head) a
+           FROM (SELECT DISTINCT object_id, picket, d FROM q_rows) a
            JOIN q_thermal_text b ON b.object_id = a.object_id AND b.d = a.d AND abs(a.picket - b.picket) <= 10) t
   ON t.object_id = p.object_id AND t.at = p.picket AND t.d = p.d AND t.rn = 1"""))
 def v5(spark, sf):
@@ -195,7 +214,7 @@ def v5(spark, sf):
 SELECT object_id, picket, d, 'Похожий случай: ' || strftime(hit.day, '%d.%m.%Y') || ', та же точка, ' || hit.n || ' '
        || {forms('hit.n', 'сообщение', 'сообщения', 'сообщений')} || ' о неисправности.' AS precedent
 FROM (SELECT p.object_id, p.picket, p.d, arg_max({{'day': f.d, 'n': f.n}}, f.d) AS hit
-      FROM (SELECT DISTINCT object_id, picket, d FROM q_head) p
+      FROM (SELECT DISTINCT object_id, picket, d FROM q_rows) p
       JOIN (SELECT object_id, picket, d, CAST(sum(n_fault + n_disabled) AS BIGINT) AS n FROM q_fact_long JOIN q_dim_long USING (channel_id)
             WHERE n_fault + n_disabled > 0 GROUP BY object_id, picket, d) f
         ON f.object_id = p.object_id AND f.picket = p.picket AND f.d < p.d
@@ -226,7 +245,7 @@ def failure_cards(spark, sf):
         explain.contributions(model, head), _test_rows(spark, sf)))
     change = explain.counterfactual(model, head, told).select("channel_id", "d", "counterfactual")
     told = told.join(change, ["channel_id", "d"], "left")
-    smoke = Network(spark, sf).smoke
+    smoke = samples.smoke_long(spark, sf)
     return verdicts.failure_verdicts(head, told, smoke, Heat(spark, sf).state, w.fact, w.dim)
 
 

@@ -293,29 +293,45 @@ AGREE = ("CASE WHEN v % 100 BETWEEN 11 AND 14 THEN '{2}' WHEN v % 10 = 1 THEN '{
          "WHEN v % 10 BETWEEN 2 AND 4 THEN '{1}' ELSE '{2}' END")
 
 
+WHOLE = "CAST(round_even(x, 0) AS BIGINT)"
+TENTH = "coalesce(printf('%.1f', round_even(x, 1)), 'nan')"
+PERCENT = "coalesce(CAST(round_even(x * 100, 0) AS BIGINT)::VARCHAR, 'nan') || '%'"
+DAYS = AGREE.format('сутки', 'суток', 'суток')
+
+
 @query("f8_phrases", with_parts(f"""
 SELECT feature, phrase, count(*) AS n FROM (
  SELECT feature, CASE feature
-  WHEN 'days_since_fault' THEN CASE WHEN v = 0 THEN 'неисправность зафиксирована сегодня'
-       ELSE 'последняя неисправность: ' || v || ' ' || {AGREE.format('сутки','суток','суток')} || ' назад' END
-  WHEN 'silence_days' THEN CASE WHEN v = 0 THEN 'канал выходил на связь сегодня'
-       ELSE 'молчит ' || v || ' ' || {AGREE.format('сутки','суток','суток')} || ' подряд' END
-  WHEN 'active_days_7d' THEN 'канал выходил на связь ' || v || ' ' || {AGREE.format('сутки','суток','суток')} || ' из 7'
-  WHEN 'domain_size' THEN 'в этой точке ' || v || ' ' || {AGREE.format('канал','канала','каналов')}
-  WHEN 'channel_age_days' THEN 'канал в эксплуатации ' || v || ' ' || {AGREE.format('сутки','суток','суток')}
-  WHEN 'fault_ev_7d' THEN 'сообщений о неисправности за 7 суток: ' || v
-  WHEN 'base_failed_share_7d' THEN 'каналов контроллера в отказе: ' || CAST(round_even(x * 100, 0) AS BIGINT) || '%'
-  WHEN 'is_weekend' THEN CASE WHEN v = 0 THEN 'будний день' ELSE 'выходной день' END END AS phrase
- FROM (SELECT unnest(['days_since_fault','silence_days','active_days_7d','domain_size','channel_age_days',
-                      'fault_ev_7d','base_failed_share_7d','is_weekend']) AS feature,
-              unnest([days_since_fault, silence_days, active_days_7d, domain_size, channel_age_days,
-                      fault_ev_7d, base_failed_share_7d, is_weekend]) AS x,
-              CAST(x AS BIGINT) AS v FROM q_features))
+  WHEN 'days_since_fault' THEN CASE WHEN x < 1 THEN 'неисправность зафиксирована сегодня'
+       ELSE 'последняя неисправность: ' || coalesce(v::VARCHAR, 'nan') || ' ' || {DAYS} || ' назад' END
+  WHEN 'silence_days' THEN CASE WHEN x < 1 THEN 'канал выходил на связь сегодня'
+       ELSE 'молчит ' || coalesce(v::VARCHAR, 'nan') || ' ' || {DAYS} || ' подряд' END
+  WHEN 'is_weekend' THEN CASE WHEN x = 0 THEN 'будний день' ELSE 'выходной день' END
+  WHEN 'active_days_7d' THEN 'канал выходил на связь ' || coalesce(v::VARCHAR, 'nan') || ' ' || {DAYS} || ' из 7'
+  WHEN 'domain_size' THEN 'в этой точке ' || coalesce(v::VARCHAR, 'nan') || ' ' || {AGREE.format('канал','канала','каналов')}
+  WHEN 'channel_age_days' THEN 'канал в эксплуатации ' || coalesce(v::VARCHAR, 'nan') || ' ' || {DAYS}
+  WHEN 'ev_7d' THEN 'событий за 7 суток: ' || coalesce(v::VARCHAR, 'nan') || ' при обычных 0'
+  WHEN 'ev_ratio_7d' THEN 'темп событий к личной норме канала: ×' || {TENTH}
+  WHEN 'silence_ratio' THEN 'молчание превышает обычный для канала интервал в ' || {TENTH} || ' раза'
+  WHEN 'fault_ev_7d' THEN 'сообщений о неисправности за 7 суток: ' || coalesce(v::VARCHAR, 'nan')
+  WHEN 'fault_days_30d' THEN 'суток с неисправностью за месяц: ' || coalesce(v::VARCHAR, 'nan')
+  WHEN 'fault_ratio_90d' THEN 'неисправностей в ' || {TENTH} || ' раза больше личной нормы канала'
+  WHEN 'undefined_ev_7d' THEN 'потерь связи за 7 суток: ' || coalesce(v::VARCHAR, 'nan')
+  WHEN 'undefined_share_7d' THEN 'доля событий без определённого состояния: ' || {PERCENT}
+  WHEN 'dev_days_7d' THEN 'суток с отклонением за неделю: ' || coalesce(v::VARCHAR, 'nan') || ' из 7'
+  WHEN 'unknown_days_7d' THEN 'суток без наблюдаемости за неделю: ' || coalesce(v::VARCHAR, 'nan') || ' из 7'
+  WHEN 'domain_dev_share_7d' THEN 'соседей по точке в отклонении: ' || {PERCENT}
+  WHEN 'domain_silent_share' THEN 'соседей по точке молчат: ' || {PERCENT}
+  WHEN 'base_failed_share_7d' THEN 'каналов контроллера в отказе: ' || {PERCENT}
+  WHEN 'month' THEN 'месяц ' || v
+  END AS phrase
+ FROM (SELECT feature, x, {WHOLE} AS v FROM (
+   SELECT unnest([{", ".join(f"'{n}'" for n in fv.FEATURE_NAMES)}]) AS feature,
+          unnest([{", ".join(f"{n}::DOUBLE" for n in fv.FEATURE_NAMES)}]) AS x FROM q_features)))
 GROUP BY feature, phrase"""))
 def f8(spark, sf):
-    names = ["days_since_fault", "silence_days", "active_days_7d", "domain_size", "channel_age_days",
-             "fault_ev_7d", "base_failed_share_7d", "is_weekend"]
-    cells = features.long_form(World(spark, sf).features, [], names)
+    """Sentences of all features over every grid row."""
+    cells = features.long_form(World(spark, sf).features, [], fv.FEATURE_NAMES)
     return (cells.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
             .withColumn("phrase", features.phrase(F.col("feature"), F.col("value")))
             .groupBy("feature", "phrase").agg(F.sum("n").alias("n")))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tritmarts import fixed_values as fv
+from tritmarts.operators.fire import smoke_events
 from tritmarts.operators.marts import channel_dimension, fact_channel_day, with_twins
 from tritmarts.plans.store import stored
 from tritmarts.sources.literal import inline_table
@@ -150,6 +151,19 @@ def channels_long(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("s_nationkey") % 5).cast("bigint").alias("object_id"))
 
 
+def smoke_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smoke events of the long history: a detector next to every supplier channel, fired by some line items."""
+    near = channels_long(spark, sf_dir)
+    detectors = near.select(
+        (F.col("channel_id") + 1_000_000).alias("channel_id"), F.lit("Пожарная сигнализация").alias("system"),
+        F.lit(fv.SMOKE).alias("sensor_type"), "sensor_name", "tag", "object_id")
+    li = table(spark, sf_dir, "lineitem").filter("l_linenumber = 7 AND l_returnflag = 'A'")
+    fired = li.select((F.col("l_suppkey") + 1_000_000).alias("channel_id"), F.to_date("l_shipdate").alias("d"),
+                      (F.col("l_orderkey") % 86400).cast("int").alias("t_sec"), F.lit(fv.SMOKE_ON).alias("raw_value"))
+    return stored(spark, sf_dir, "smoke_long", lambda: smoke_events(
+        fired, channel_dimension(detectors, objects(spark, sf_dir))))
+
+
 def dim_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "dim_long", lambda: with_twins(
         channel_dimension(channels_long(spark, sf_dir), objects(spark, sf_dir))))
