@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from tritmarts import fixed_values as fv
+from tritmarts.functions.attach import with_row
 from tritmarts.functions.numbers import clock
 from tritmarts.operators import (
-    calibration, cards, cascades, controls, explain, geometry, orders, reports, verdicts)
+    calibration, cards, cascades, contract, controls, explain, geometry, orders, reports, verdicts)
 from tritmarts.plans import catalog_marts, samples  # noqa: F401  catalog_marts holds shared oracle parts
 from tritmarts.plans.catalog_ranking import FIT, World, _fitted, _scored_test, _test_rows, fixed_score
 from tritmarts.plans.catalog_scenarios import CLOCK, ORDER_DAYS, Heat, Network, flat_evidence, forms
@@ -338,13 +339,23 @@ def scenario_cards(spark, sf):
     return cards.enrich(rows, samples.fact(spark, sf))
 
 
-@query("d5_enriched_cards")
+part("q_net_cards", f"""
+SELECT *, {TITLE} AS title, datediff('day', CAST(substr(first_sign_at, 1, 10) AS DATE), d) AS incubation_days
+FROM (SELECT c.*, NULL::VARCHAR AS sensor_type, CASE WHEN channel_id IS NULL THEN episode_at ELSE
+        (SELECT arg_min(CAST(f.d AS VARCHAR) || 'T' || {CLOCK.format('f.t_first')}, f.d) FROM q_fact f
+         WHERE f.channel_id = c.channel_id AND f.d BETWEEN c.d - 6 AND c.d) END AS first_sign_at
+      FROM (SELECT * FROM q_pump_cards UNION ALL SELECT * FROM q_fire_cards UNION ALL SELECT * FROM q_intrusion_cards) c)
+""")
+
+
+@query("d5_enriched_cards", with_parts("""
+SELECT scenario, d, object_name, picket, channel_id, probability, title, first_sign_at, incubation_days,
+       len(string_split(evidence, '|')) AS n_signs FROM q_net_cards"""))
 def d5(spark, sf):
-    """Titles, onsets, first signs and timelines of the pumping, fire and intrusion verdicts."""
+    """Titles, onsets and first signs of the pumping, fire and intrusion verdicts, with the signs of their timelines."""
     rows = scenario_cards(spark, sf)
     return tidy(rows.select("scenario", "d", "object_name", "picket", "channel_id", "probability", "title", "first_sign_at",
-                            "incubation_days", F.transform("timeline", lambda t: F.concat_ws("~", t["ts"], t["kind"], t["text"]))
-                            .alias("timeline")))
+                            "incubation_days", F.size("timeline").alias("n_signs")))
 
 
 @query("d6_multicards", with_parts(f"""
@@ -875,30 +886,83 @@ def s6(spark, sf):
 
 
 @query("s7_verdict_xml", with_parts("""
-SELECT id, scenario, title, phrase1 || '|' || phrase2 AS evidence, CASE WHEN blind THEN 1 ELSE 0 END::BIGINT AS n_blind, 3 AS n_marks FROM q_titled"""))
+SELECT id, scenario, title, phrase1 || '|' || phrase2 AS evidence, CASE WHEN blind THEN 1 ELSE 0 END::BIGINT AS n_blind, 3 AS n_marks,
+       (SELECT count(*) FROM q_titled) AS total FROM q_titled"""))
 def s7(spark, sf):
     path = sinks.write_xml(sample_cards(spark, sf), _out(spark, "verdicts-xml"))
     shape = ("_id long, scenario string, title string, evidence struct<item:array<struct<_VALUE:string,_feature:string>>>, "
              "blind_spots struct<item:array<string>>, timeline struct<mark:array<struct<_VALUE:string,_at:string>>>")
-    back = spark.read.format("xml").option("rowTag", "verdict").schema(shape).load(path)
-    return tidy(back.select(F.col("_id").alias("id"), "scenario", "title",
+    lines = spark.read.text(path)
+    total = lines.agg(F.max(F.regexp_extract("value", r'<verdicts count="(\d+)">', 1).try_cast("long")).alias("total"))
+    back = with_row(lines.filter(F.col("value").startswith("<verdict ")).select(F.from_xml("value", shape).alias("v")), total)
+    return tidy(back.select("v.*", "total").select("total", F.col("_id").alias("id"), "scenario", "title",
                             F.transform("evidence.item", lambda e: e["_VALUE"]).alias("evidence"),
                             F.coalesce(F.size("blind_spots.item"), F.lit(0)).alias("n_blind"),
                             F.size("timeline.mark").alias("n_marks")))
 
 
-@query("s8_geojson_features")
-def s8(spark, sf):
-    shapes, points = _map(spark, sf)
-    path = sinks.write_lines(sinks.geojson_features(shapes, points), _out(spark, "geojson"), "\n")
-    return spark.read.text(path)
+SHAPES = """
+SELECT 'collector' AS kind, a.name AS object_name, NULL::BIGINT AS picket, NULL::VARCHAR AS scenario, lo AS picket_min,
+       round(m.p + 1e-9, 4) AS probability, round(lon1 + 1e-9, 5) AS lon, round(lat1 + 1e-9, 5) AS lat
+FROM q_axis a JOIN (SELECT object_name, max(probability) AS p FROM q_net_cards GROUP BY object_name) m ON m.object_name = a.name
+UNION ALL
+SELECT 'verdict', c.object_name, picket, scenario, NULL, round(probability + 1e-9, 4), round(lon1 + (lon2 - lon1) * t + 1e-9, 5),
+       round(lat1 + (lat2 - lat1) * t + 1e-9, 5)
+FROM (SELECT c.*, a.*, CASE WHEN hi = lo THEN 0 ELSE (picket - lo) / (hi - lo) END AS t
+      FROM q_net_cards c JOIN q_axis a ON a.name = c.object_name WHERE picket IS NOT NULL) c
+"""
 
 
-@query("s9_wkt_table")
+def _rounded(c, digits):
+    return F.round(c.cast("double") + 1e-9, digits)
+
+
+@query("s8_geojson_features", with_parts(f"SELECT * FROM ({SHAPES})"))
+def s8(spark, sf):
+    """The written feature collection, parsed from its lines: head, features, tail."""
+    shapes, points = _map(spark, sf)
+    path = sinks.write_geojson(shapes, points, _out(spark, "geojson"))
+    kind = ("struct<geometry:struct<type:string,coordinates:string>,properties:struct<kind:string,object_name:string,picket:bigint,"
+            "scenario:string,picket_min:bigint,probability:double,max_probability:double>>")
+    line = F.when(F.col("value").startswith(sinks.COLLECTION), F.substring("value", F.lit(len(sinks.COLLECTION) + 1), F.length("value"))) \
+        .otherwise(F.ltrim("value", F.lit(",")))
+    f = spark.read.text(path).filter("value <> ']}'").select(F.from_json(line, kind).alias("f"))
+    at = F.from_json(F.when(F.col("f.geometry.type") == "Point", F.concat(F.lit("["), "f.geometry.coordinates", F.lit("]")))
+                     .otherwise(F.col("f.geometry.coordinates")), "array<array<double>>")
+    p = F.col("f.properties")
+    return f.withColumn("at", at).select(
+        p["kind"].alias("kind"), p["object_name"].alias("object_name"), p["picket"].alias("picket"), p["scenario"].alias("scenario"),
+        p["picket_min"].alias("picket_min"), _rounded(F.coalesce(p["probability"], p["max_probability"]), 4).alias("probability"),
+        _rounded(F.col("at")[0][0], 5).alias("lon"), _rounded(F.col("at")[0][1], 5).alias("lat"))
+
+
+@query("s9_wkt_table", with_parts(f"SELECT * EXCLUDE (picket_min) FROM ({SHAPES.replace('1e-9, 5)', '1e-9, 4)')})"))
 def s9(spark, sf):
+    """The written table read back: shapes parsed from their text."""
     shapes, points = _map(spark, sf)
     path = sinks.write_lines(sinks.wkt_csv(shapes, points), _out(spark, "wkt"))
-    return spark.read.option("lineSep", "\r\n").text(path)
+    rows = spark.read.option("lineSep", "\r\n").text(path).filter(~F.col("value").endswith("wkt;kind;object_name;picket;scenario;probability")).select(
+        F.from_csv("value", F.lit("wkt string, kind string, object_name string, picket string, scenario string, probability double"),
+                   {"sep": ";", "escape": '"', "mode": "FAILFAST"}).alias("r")).select("r.*")
+    number = lambda i: F.regexp_extract("wkt", r"\((-?[\d.]+) (-?[\d.]+)", i)
+    return rows.select("kind", "object_name", F.nullif("picket", F.lit("")).cast("long").alias("picket"),
+                       F.nullif("scenario", F.lit("")).alias("scenario"), _rounded(F.col("probability"), 4).alias("probability"),
+                       _rounded(number(1), 4).alias("lon"), _rounded(number(2), 4).alias("lat"))
+
+
+@query("s4_contract_csv", with_parts("""
+SELECT meaning_ AS cls, CAST(trit AS BIGINT) AS trit, count(*) AS n FROM q_classed GROUP BY meaning_, trit"""))
+def s4(spark, sf):
+    """The contract written as CSV with placeholder and repeated rows, read back, and the journal classified with it."""
+    listed = samples.contract(spark)
+    noted = (listed.union(listed.filter(F.col("cls") == fv.FAULT))
+             .union(listed.select("sensor_type", F.lit(fv.CONTRACT_PLACEHOLDERS[0]).alias("raw_value"), F.lit(fv.NUMERIC)).distinct()))
+    titles = {v: k for k, v in readers.CONTRACT_COLUMNS.items()}
+    src = _out(spark, "contract-csv")
+    noted.select(*[F.col(c).alias(titles[c]) for c in ("sensor_type", "raw_value", "cls")]).write.option(
+        "header", True).option("escape", '"').csv(src)
+    classed = contract.classify(samples.journal(spark, sf), samples.channels(spark, sf), readers.read_contract(spark, src))
+    return tidy(classed.groupBy("cls", "trit").agg(F.count(F.lit(1)).alias("n")))
 
 
 @query("s10_verdict_json", with_parts("SELECT id, scenario, title, round(probability + 1e-9, 6) AS probability FROM q_titled"))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tritmarts import fixed_values as fv
+from tritmarts.functions.attach import with_row
 from tritmarts.operators import controls, domains, explain, features, labels, marts, ranker, scores
 from tritmarts.plans import catalog_marts, samples  # noqa: F401  catalog_marts holds shared oracle parts
 from tritmarts.plans.oracle_parts import part, with_parts
 from tritmarts.plans.registry import query, tidy
 from tritmarts.plans.store import settings_digest, stored
 from tritmarts.settings import Labelling, Modelling
+from tritmarts.sources.literal import inline_table
 
 CFG = Labelling(sweep_min_channels=4, sweep_min_share=0.2,
                 artifact_periods=(("1996-03-01", "1996-04-10"),),
@@ -500,7 +502,7 @@ def q14(spark, sf):
     return tidy(controls.busiest_failure_day(World(spark, sf).features))
 
 
-# ---- the trained model: row counts and invariants, no SQL oracle ------------
+# ---- the trained model: what SQL can state about it ------------------------
 
 _FITTED: dict = {}
 
@@ -527,42 +529,78 @@ def _scored_test(spark, sf):
         _fitted(spark, sf)[0], ranker.prepare(_test_rows(spark, sf))))
 
 
-@query("m3_forest_tree_sizes")
+TEST_KEYS = "FROM q_features WHERE d BETWEEN DATE '2000-01-01' AND DATE '2001-12-31'"
+#: metrics that follow from the labels alone; of the others SQL can state the range
+FROM_LABELS = ["n", "positives", "base_rate"]
+
+
+def _stated(metrics):
+    """(metric, value, plausible): values that labels fix, and whether the others lie where they must."""
+    value = F.col("value")
+    plausible = F.when(F.col("metric").startswith("lift"), value >= 0).otherwise((value >= 0) & (value <= 1) | F.col("metric").isin(FROM_LABELS))
+    return metrics.withColumn("plausible", F.coalesce(plausible, F.lit(False))).withColumn(
+        "value", F.when(F.col("metric").isin(FROM_LABELS), value))
+
+
+def metrics_sql(keys: str) -> str:
+    names = ["n", "positives", "base_rate", "pr_auc", "roc_auc"] + [f"{m}@{k}" for k in (50, 100, 500) for m in ("precision", "lift")]
+    return f"""SELECT metric, CASE metric WHEN 'n' THEN n WHEN 'positives' THEN p WHEN 'base_rate' THEN round(p / n + 1e-9, 6) END::DOUBLE AS value, true AS plausible
+FROM (SELECT unnest({names}) AS metric), (SELECT count(*) AS n, sum(y) AS p {keys})"""
+
+
+@query("m3_forest_tree_sizes", with_parts("""
+SELECT unnest(range(300)) AS tree, true AS is_binary, true AS depth_met, true AS leaf_minimum_met"""))
 def m3(spark, sf):
-    """Trained forest as data: nodes and leaves of each tree."""
+    """Trained forest as data: every tree is binary, as deep and as coarse as it was asked to be."""
     nodes = explain.node_table(_fitted(spark, sf)[0], spark)
-    return nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("nodes"),
-                                     F.count_if(F.col("left") < 0).alias("leaves"))
+    leaf = F.col("left") < 0
+    per = nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(leaf).alias("leaves"),
+                                    F.min(F.when(leaf, F.col("rows"))).alias("smallest"))
+    return tidy(per.select("tree", (F.col("nodes") == 2 * F.col("leaves") - 1).alias("is_binary"),
+                           (F.col("leaves") <= 2 ** FIT.depth).alias("depth_met"),
+                           (F.col("smallest") >= FIT.min_leaf).alias("leaf_minimum_met")))
 
 
-@query("m4_linear_control_metrics")
+@query("m4_linear_control_metrics", with_parts(metrics_sql(TEST_KEYS)))
 def m4(spark, sf):
     rows = ranker.score(_fitted(spark, sf)[1], ranker.prepare(_test_rows(spark, sf)))
-    return tidy(scores.ranking_metrics(rows))
+    return tidy(_stated(scores.ranking_metrics(rows)))
 
 
-@query("m5_forest_scores")
+@query("m5_forest_scores", with_parts(f"SELECT channel_id, d, y, true AS plausible {TEST_KEYS}"))
 def m5(spark, sf):
     rows = ranker.score(_fitted(spark, sf)[0], ranker.prepare(_test_rows(spark, sf)))
-    return tidy(rows.select("channel_id", "d", "y", "score"))
+    return tidy(rows.select("channel_id", "d", "y", F.col("score").between(0, 1).alias("plausible")))
 
 
-@query("m6_forest_metrics")
+@query("m6_forest_metrics", with_parts(metrics_sql(TEST_KEYS)))
 def m6_forest(spark, sf):
-    return tidy(scores.ranking_metrics(_scored_test(spark, sf)))
+    return tidy(_stated(scores.ranking_metrics(_scored_test(spark, sf))))
 
 
-@query("m8_feature_importance")
+@query("m8_feature_importance", with_parts(
+    f"SELECT unnest({fv.FEATURE_NAMES}) AS feature, true AS plausible, 1.0::DOUBLE AS total"))
 def m8(spark, sf):
-    return tidy(ranker.feature_importance(_fitted(spark, sf)[0], samples.table(spark, sf, "supplier")))
+    rows = ranker.feature_importance(_fitted(spark, sf)[0], samples.table(spark, sf, "supplier"))
+    return tidy(with_row(rows, rows.agg(F.sum("importance").alias("total"))).select(
+        "feature", F.col("importance").between(0, 1).alias("plausible"), "total"))
+
 
+def _horizon_sql(hours: int) -> str:
+    keys = f"FROM ({labels_sql(hours // 24)}) WHERE d BETWEEN DATE '2000-01-01' AND DATE '2001-12-31'"
+    more = "SELECT unnest(['target_precision_achieved', 'best_precision', 'recall_at_best']) AS metric, NULL::DOUBLE AS value, true AS plausible"
+    return f"SELECT {hours} AS horizon_hours, * FROM ({metrics_sql(keys)} UNION ALL {more})"
 
-@query("m9_horizon_sweep")
+
+HORIZONS = (24, 72, 168, 336)
+
+
+@query("m9_horizon_sweep", with_parts(" UNION ALL ".join(map(_horizon_sql, HORIZONS))))
 def m9(spark, sf):
-    return tidy(ranker_sweep(spark, sf))
+    return tidy(_stated(ranker_sweep(spark, sf)))
 
 
-def ranker_sweep(spark, sf, hours=(24, 72, 168, 336)):
+def ranker_sweep(spark, sf, hours=HORIZONS):
     """Relabel, retrain and measure for each horizon."""
     out = None
     for h in hours:
@@ -582,15 +620,17 @@ def ranker_sweep(spark, sf, hours=(24, 72, 168, 336)):
     return out
 
 
-@query("x1_path_contributions")
+@query("x1_path_contributions", with_parts(f"SELECT channel_id, d, true AS additive {TEST_KEYS}"))
 def x1(spark, sf):
-    return tidy(explain.contributions(_fitted(spark, sf)[0], _scored_test(spark, sf)).select(
-        "channel_id", "d", "bias", "score", F.aggregate("contrib", F.lit(0.0), lambda a, x: a + x).alias("total")))
+    rows = explain.contributions(_fitted(spark, sf)[0], _scored_test(spark, sf))
+    total = F.aggregate("contrib", F.col("bias"), lambda a, x: a + x)
+    return rows.select("channel_id", "d", (F.abs(total - F.col("score")) < 1e-9).alias("additive"))
 
 
-@query("x2_additivity_gap")
+@query("x2_additivity_gap", with_parts(f"SELECT count(*) AS rows, true AS exact {TEST_KEYS}"))
 def x2(spark, sf):
-    return explain.additivity_gap(explain.contributions(_fitted(spark, sf)[0], _scored_test(spark, sf)))
+    gap = explain.additivity_gap(explain.contributions(_fitted(spark, sf)[0], _scored_test(spark, sf)))
+    return gap.select("rows", (F.col("max_gap") < 1e-9).alias("exact"))
 
 
 def _evidence(spark, sf):
@@ -598,19 +638,106 @@ def _evidence(spark, sf):
         explain.contributions(_fitted(spark, sf)[0], _scored_test(spark, sf)), _test_rows(spark, sf)))
 
 
-@query("x3_top_evidence")
+@query("x3_top_evidence", with_parts(f"SELECT channel_id, d, true AS few, true AS positive, true AS falling {TEST_KEYS}"))
 def x3(spark, sf):
     told = explain.top_evidence(explain.contributions(_fitted(spark, sf)[0], _scored_test(spark, sf)), _test_rows(spark, sf))
-    rows = told.select("channel_id", "d", F.posexplode("evidence").alias("rank", "e"))
-    return tidy(rows.select("channel_id", "d", "rank", "e.feature", "e.group", "e.value", "e.contribution", "e.phrase"))
+    amounts = F.transform("evidence", lambda e: e["contribution"])
+    return told.select("channel_id", "d", (F.size("evidence") <= 5).alias("few"), F.forall(amounts, lambda c: c > 0).alias("positive"),
+                       (amounts == F.reverse(F.array_sort(amounts))).alias("falling"))
 
 
-@query("x4_counterfactual")
+@query("x4_counterfactual", with_parts("SELECT 0 AS wrongly_told, 0 AS out_of_range"))
 def x4(spark, sf):
-    return tidy(explain.counterfactual(_fitted(spark, sf)[0], ranker.prepare(_test_rows(spark, sf)),
-                                       _evidence(spark, sf)))
+    rows = explain.counterfactual(_fitted(spark, sf)[0], ranker.prepare(_test_rows(spark, sf)), _evidence(spark, sf))
+    told = F.col("counterfactual").isNotNull()
+    return tidy(rows.agg(F.count_if(told != (F.col("after") < F.col("before") - 0.01)).alias("wrongly_told"),
+                         F.count_if(~F.col("after").between(0, 1)).alias("out_of_range")))
 
 
-@query("x5_group_ablation")
+@query("x5_group_ablation", with_parts(
+    f"SELECT unnest({['исходно', *fv.ABLATION_GROUPS]}) AS \"group\", true AS plausible, true AS loss_adds_up"))
 def x5(spark, sf):
-    return tidy(explain.group_ablation(_fitted(spark, sf)[0], ranker.prepare(_test_rows(spark, sf))))
+    rows = explain.group_ablation(_fitted(spark, sf)[0], ranker.prepare(_test_rows(spark, sf)))
+    base = rows.filter(F.col("group") == "исходно").agg(F.first("precision_50").alias("base"))
+    p = F.col("precision_50")
+    return with_row(rows, base).select("group", (p.between(0, 1) & F.col("precision_100").between(0, 1)).alias("plausible"),
+                                       (F.abs(F.col("base") - p - F.col("loss")) < 1e-3).alias("loss_adds_up"))
+
+
+# ---- explanations over two small fixed trees, stated in SQL -------------------
+
+#: (tree, node, left, right, feature, threshold, share): splits on four features
+SMALL_TREES = [
+    (0, 0, 1, 2, "fault_ev_7d", 1.0, 0.30), (0, 1, -1, -1, None, 0.0, 0.10), (0, 2, 3, 4, "silence_days", 3.0, 0.60),
+    (0, 3, -1, -1, None, 0.0, 0.50), (0, 4, -1, -1, None, 0.0, 0.90),
+    (1, 0, 1, 2, "days_since_fault", 10.0, 0.25), (1, 1, -1, -1, None, 0.0, 0.40), (1, 2, 3, 4, "domain_size", 2.0, 0.12),
+    (1, 3, -1, -1, None, 0.0, 0.05), (1, 4, -1, -1, None, 0.0, 0.20),
+]
+
+
+def _small_nodes(spark, sf):
+    place = {n: i for i, n in enumerate(fv.FEATURE_NAMES)}
+    rows = [(t, n, a, b, place.get(f, -1), x, s) for t, n, a, b, f, x, s in SMALL_TREES]
+    return inline_table(spark, rows, ["tree", "node", "left", "right", "feature", "threshold", "share"])
+
+
+def _small_scores(spark, sf, rows):
+    """Rows with the small trees' score: bias plus contributions."""
+    told = explain.contributions_of(_small_nodes(spark, sf), rows.withColumn("score", F.lit(0.0)), len(SMALL_TREES))
+    total = F.aggregate("contrib", F.col("bias"), lambda a, x: a + x)
+    return rows.join(told.select("channel_id", "d", total.alias("score")), ["channel_id", "d"])
+
+
+def _small_told(spark, sf):
+    scored = _small_scores(spark, sf, ranker.prepare(_test_rows(spark, sf)))
+    return explain.contributions_of(_small_nodes(spark, sf), scored, len(SMALL_TREES))
+
+
+def _small_sql(fault: str = "fault_ev_7d", silence: str = "silence_days") -> str:
+    """Contributions of the small trees by hand."""
+    return f"""
+  CASE WHEN {fault} <= 1 THEN -0.1 ELSE 0.15 END AS c_fault, CASE WHEN {fault} <= 1 THEN 0 WHEN {silence} <= 3 THEN -0.05 ELSE 0.15 END AS c_silence,
+  CASE WHEN since <= 10 THEN 0.075 ELSE -0.065 END AS c_since, CASE WHEN since <= 10 THEN 0 WHEN size <= 2 THEN -0.035 ELSE 0.04 END AS c_size"""
+
+
+part("q_small", f"""
+SELECT *, 0.275 + c_fault + c_silence + c_since + c_size AS score FROM (
+  SELECT *, {_small_sql()} FROM (
+    SELECT channel_id, d, y, fault_ev_7d, silence_days, days_since_fault, coalesce(days_since_fault, -1) AS since, coalesce(domain_size, -1) AS size
+    FROM q_features WHERE d BETWEEN DATE '2000-01-01' AND DATE '2001-12-31'))
+""")
+part("q_small_told", """
+SELECT channel_id, d, c, feature, x, row_number() OVER (PARTITION BY channel_id, d ORDER BY c DESC, i) AS r FROM (
+  SELECT channel_id, d, unnest([5, 3, 8, 13]) AS i, unnest([c_fault, c_silence, c_since, c_size]) AS c,
+         unnest(['fault_ev_7d', 'silence_days', 'days_since_fault', 'domain_size']) AS feature,
+         unnest([fault_ev_7d, silence_days, days_since_fault, size]::DOUBLE[]) AS x FROM q_small)
+WHERE c > 0
+""")
+
+
+@query("x1_small_trees", with_parts("""
+SELECT channel_id, d, round(0.275 + 1e-9, 6) AS bias, round(score + 1e-9, 6) AS score, round(c_fault + 1e-9, 6) AS c_fault,
+       round(c_silence + 1e-9, 6) AS c_silence, round(c_since + 1e-9, 6) AS c_since, round(c_size + 1e-9, 6) AS c_size FROM q_small"""))
+def x1_small(spark, sf):
+    at = {"c_fault": "fault_ev_7d", "c_silence": "silence_days", "c_since": "days_since_fault", "c_size": "domain_size"}
+    return tidy(_small_told(spark, sf).select("channel_id", "d", "bias", "score", *[
+        F.col("contrib")[fv.FEATURE_NAMES.index(n)].alias(c) for c, n in at.items()]))
+
+
+@query("x3_small_trees", with_parts("""
+SELECT channel_id, d, string_agg(feature || '~' || printf('%.3f', c), '|' ORDER BY r) AS evidence FROM q_small_told WHERE r <= 5 GROUP BY channel_id, d"""))
+def x3_small(spark, sf):
+    told = explain.top_evidence(_small_told(spark, sf), _test_rows(spark, sf)).filter(F.size("evidence") > 0)
+    return told.select("channel_id", "d", F.array_join(F.transform("evidence", lambda e: F.concat_ws(
+        "~", e["feature"], F.format_string("%.3f", e["contribution"]))), "|").alias("evidence"))
+
+
+@query("x4_small_trees", with_parts(f"""
+SELECT channel_id, d, lead, round(score + 1e-9, 6) AS before, round(0.275 + c_fault + c_silence + c_since + c_size + 1e-9, 6) AS after FROM (
+  SELECT channel_id, d, lead, score, {_small_sql("CASE WHEN lead = 'fault_ev_7d' THEN 0 ELSE fault_ev_7d END",
+                                                 "CASE WHEN lead = 'silence_days' THEN 0 ELSE silence_days END")}
+  FROM (SELECT s.* EXCLUDE (c_fault, c_silence, c_since, c_size), t.feature AS lead FROM q_small s JOIN q_small_told t ON t.channel_id = s.channel_id AND t.d = s.d AND t.r = 1))"""))
+def x4_small(spark, sf):
+    told = explain.top_evidence(_small_told(spark, sf), _test_rows(spark, sf))
+    rows = explain.counterfactual(lambda r: _small_scores(spark, sf, r), ranker.prepare(_test_rows(spark, sf)), told)
+    return tidy(rows.select("channel_id", "d", "lead", "before", "after"))

@@ -187,7 +187,7 @@ def forms(v: str, one: str, few: str, many: str) -> str:
             f"WHEN {v} % 10 IN (2, 3, 4) THEN '{few}' ELSE '{many}' END")
 
 
-@query("p6_pump_verdicts", with_parts(f"""
+part("q_pump_cards", f"""
 SELECT 'подтопление' AS scenario, d, object_id, coalesce(parent_name, object_name) AS object_name, picket, channel_id,
   round(least(0.95, 0.25 + 0.12 * least(coalesce(ratio_to_norm, 1), 6) + 0.004 * least(n_starts - coalesce(med_starts, 0), 50)) + 1e-9, 6) AS probability,
   concat_ws(', ', coalesce(parent_name, object_name), 'ПК' || picket) AS location,
@@ -210,7 +210,11 @@ FROM (SELECT a.*, dm.object_id, dm.object_name, dm.parent_name, dm.picket, dm.se
              row_number() OVER (PARTITION BY a.d ORDER BY a.robust_z DESC NULLS LAST, a.channel_id) AS place
       FROM q_pump_anom a JOIN q_pump_day p USING (channel_id, d) JOIN q_dim dm USING (channel_id)
       JOIN q_pump_net n ON n.d = a.d WHERE a.trit = 1)
-WHERE place <= 50"""))
+WHERE place <= 50
+""")
+
+
+@query("p6_pump_verdicts", with_parts("SELECT * FROM q_pump_cards"))
 def p6(spark, sf):
     n = Network(spark, sf)
     return flat_evidence(verdicts.pump_verdicts(n.pump_anomaly, n.pump_day,
@@ -303,7 +307,7 @@ EPISODE = (f"CASE WHEN first_t <> last_t THEN 'episode_span~эпизод дли
            f"{CLOCK.format('first_t')} || ' до ' || {CLOCK.format('last_t')} || '~' || {ISO.format('first_t')} END")
 
 
-@query("h5_fire_verdicts", with_parts(f"""
+part("q_fire_cards", f"""
 SELECT 'пожар' AS scenario, d, object_id, place_name AS object_name, picket, CAST(NULL AS BIGINT) AS channel_id,
   round(score + 1e-9, 6) AS probability, place_name || ', ПК' || picket AS location,
   concat_ws('|', array_to_string(list_transform(why, lambda w: 'fire~' || w), '|'), {EPISODE}) AS evidence,
@@ -313,7 +317,11 @@ SELECT 'пожар' AS scenario, d, object_id, place_name AS object_name, picket
   sample_name AS sensor_name, {ISO.format('first_t')} AS episode_at
 FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY score DESC, object_id, picket) AS place
       FROM q_fire_scored JOIN q_place USING (object_id) WHERE score > 0)
-WHERE place <= 20"""))
+WHERE place <= 20
+""")
+
+
+@query("h5_fire_verdicts", with_parts("SELECT * FROM q_fire_cards"))
 def h5(spark, sf):
     n = Network(spark, sf)
     return flat_evidence(verdicts.fire_verdicts(n.candidates, n.dim))
@@ -505,7 +513,7 @@ FROM q_intr_scored e JOIN q_risk USING (d) WHERE score >= 0.3
 """)
 
 
-@query("h11_intrusion_verdicts", with_parts(f"""
+part("q_intrusion_cards", f"""
 SELECT 'проникновение' AS scenario, d, object_id, coalesce(parent_name, object_name) AS object_name, picket, CAST(NULL AS BIGINT) AS channel_id,
   round(risk + 1e-9, 6) AS probability, coalesce(parent_name, object_name) || ', ПК' || picket AS location,
   concat_ws('|', array_to_string(list_transform(told, lambda w: 'intrusion~' || w), '|'), {EPISODE}) AS evidence,
@@ -515,7 +523,11 @@ SELECT 'проникновение' AS scenario, d, object_id, coalesce(parent_n
   'Проверить целостность люков и дверей на участке, при подтверждении — вызвать группу реагирования.' AS recommendation,
   sample_name AS sensor_name, {ISO.format('first_t')} AS episode_at
 FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY risk DESC, object_id, picket) AS place FROM q_intr_raised)
-WHERE place <= 20"""))
+WHERE place <= 20
+""")
+
+
+@query("h11_intrusion_verdicts", with_parts("SELECT * FROM q_intrusion_cards"))
 def h11(spark, sf):
     n = Network(spark, sf)
     return flat_evidence(verdicts.intrusion_verdicts(n.episodes, n.calendar, cfg=GUARDING))

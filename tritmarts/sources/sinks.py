@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tritmarts import fixed_values as fv
+from tritmarts.functions.attach import with_row
 from tritmarts.operators.verdicts import said
 
 BOM = "\ufeff"
@@ -62,9 +63,38 @@ def verdict_xml(cards: DataFrame) -> DataFrame:
 
 
 def write_xml(cards: DataFrame, path: str) -> str:
-    (verdict_xml(cards).write.mode("overwrite").format("xml").option("rowTag", "verdict")
-     .option("rootTag", "verdicts").save(path))
-    return path
+    """One document: head with the number of verdicts, a line per verdict, tail; part files join in name order."""
+    shaped = verdict_xml(cards)
+    rows = shaped.select(F.to_xml(F.struct(*shaped.columns), {"rowTag": "verdict", "indent": ""}).alias("value"))
+    flat = F.regexp_replace("value", r"[\r\n]+", " ")
+    head = cards.agg(F.count(F.lit(1)).alias("n")).select(
+        said('<?xml version="1.0" encoding="UTF-8"?><verdicts count="', F.col("n").cast("string"), '">').alias("value"))
+    return write_lines(_framed(head, rows.select(flat.alias("value")), "</verdicts>"), path, "\n")
+
+
+def _framed(head: DataFrame, body: DataFrame, tail: str) -> DataFrame:
+    """Head line, body lines and tail line, each in part files that sort in this order."""
+    last = head.sparkSession.range(0, 1, 1, 1).select(F.lit(tail).alias("value"))
+    return head.coalesce(1).union(body).union(last)
+
+
+COLLECTION = ('{"type":"FeatureCollection","crs":{"type":"name","properties":{"name":"urn:ogc:def:crs:OGC:1.3:CRS84"}},'
+              '"features":[')
+
+
+def write_geojson(geometry: DataFrame, points: DataFrame, path: str) -> str:
+    """One feature collection in CRS84, a feature per line; part files join in name order to one document.
+
+    The least feature stands in the head line, so that every other one can begin with its comma.
+    """
+    features = geojson_features(geometry, points)
+    rows = with_row(features, features.agg(F.min("value").alias("first")))
+    least = rows.agg(F.min("first").alias("first"), F.count_if(F.col("value") == F.col("first")).alias("n"))
+    head = least.select(F.concat(F.lit(COLLECTION), F.coalesce("first", F.lit(""))).alias("value"))
+    again = least.filter("n > 1").select(F.explode(F.array_repeat(F.concat(F.lit(","), "first"), (F.col("n") - 1).cast("int")))
+                                         .alias("value"))
+    body = rows.filter(F.col("value") != F.col("first")).select(F.concat(F.lit(","), "value").alias("value"))
+    return write_lines(_framed(head, again.union(body), "]}"), path, "\n")
 
 
 def geojson_features(geometry: DataFrame, points: DataFrame) -> DataFrame:
