@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tritmarts.functions import text
 from tritmarts.functions.ordering import with_neighbour
@@ -12,67 +12,131 @@ from tritmarts.operators.verdicts import said
 from tritmarts.settings import Cards
 
 SIGN_FORMS = ("признак", "признака", "признаков")
-DAY = 86400
+SECOND = 1_000_000
+DAY = 86400 * SECOND
+#: a long island is walked in pieces of this length at once
+BLOCK = 3600 * SECOND
 
 
-def _islands(seconds: DataFrame, window: int) -> DataFrame:
-    """Start of the island each second belongs to; islands are over ``window`` apart.
+def moment(ts: Column) -> Column:
+    """Microseconds of an ISO stamp with optional fraction and zone; NULL for a bare date and for anything else."""
+    return F.when(F.length(ts) > 10, F.unix_micros(F.try_to_timestamp(ts)))
+
+
+def iso(us: Column) -> Column:
+    """ISO text in UTC, with a fraction only where there is one."""
+    at = F.timestamp_micros(us)
+    return F.when(us % SECOND == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(
+        F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
+def _islands(moments: DataFrame, window: int) -> DataFrame:
+    """Start of the island each moment belongs to; islands are over ``window`` apart.
 
     The running maximum of break points is taken inside a day and carried over
     days, never over an object's whole history at once.
     """
-    rows = with_neighbour(seconds.withColumn("_day", F.floor(F.col("sec") / DAY)), ["object_name"], "_day", ["sec"], ["sec"])
-    gap = F.col("sec") - F.col("prev.sec")
-    rows = rows.withColumn("_cut", F.when(F.col("prev").isNull() | (gap > window), F.col("sec"))).drop("prev")
+    rows = with_neighbour(moments.withColumn("_day", F.floor(F.col("us") / DAY)), ["object_name"], "_day", ["us"], ["us"])
+    gap = F.col("us") - F.col("prev.us")
+    rows = rows.withColumn("_cut", F.when(F.col("prev").isNull() | (gap > window), F.col("us"))).drop("prev")
     before = (Window.partitionBy("object_name").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1))
     carried = (rows.groupBy("object_name", "_day").agg(F.max("_cut").alias("_c"))
                .select("object_name", "_day", F.max("_c").over(before).alias("_carried")))
-    inside = (Window.partitionBy("object_name", "_day").orderBy("sec")
+    inside = (Window.partitionBy("object_name", "_day").orderBy("us")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (rows.withColumn("_in", F.max("_cut").over(inside)).join(carried, ["object_name", "_day"])
-            .select("object_name", "sec", F.coalesce("_in", "_carried").alias("island")))
+            .select("object_name", "us", F.coalesce("_in", "_carried").alias("island")))
+
+
+def _walk(us: np.ndarray, start: int, window: int) -> np.ndarray:
+    """Anchors of the sorted moments from place ``start`` on; earlier ones get -1."""
+    anchor = np.full(len(us), -1, np.int64)
+    while start < len(us):
+        stop = int(np.searchsorted(us, us[start] + window, side="right"))
+        anchor[start:stop] = us[start]
+        start = stop
+    return anchor
+
+
+def _exits(window: int):
+    """For every moment of a block at which the walk can enter it: the last anchor before the walk leaves."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        us = np.sort(pdf["us"].to_numpy())
+        after = np.searchsorted(us, us + window, side="right")
+        last = us.copy()
+        for i in range(len(us) - 1, -1, -1):
+            if after[i] < len(us):
+                last[i] = last[after[i]]
+        # an earlier anchor reaches at most one window into the block
+        n = max(1, int(np.searchsorted(us, us[0] - us[0] % BLOCK + window, side="right")) + 1)
+        return pdf.iloc[[0], :][["object_name", "island", "block"]].merge(
+            pd.DataFrame({"entry": us[:n], "last": last[:n]}), how="cross")
+    return run
+
+
+def _chain(window: int):
+    """The moment at which the walk of an island enters each of its blocks, and the anchor it comes with."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, carry = [], None
+        for block, rows in pdf.sort_values(["block", "entry"]).groupby("block"):
+            entry, last = rows["entry"].to_numpy(), rows["last"].to_numpy()
+            at = 0 if carry is None else int(np.searchsorted(entry, carry + window, side="right"))
+            inside = at < len(entry)
+            out.append((block, int(entry[at]) if inside else None, carry))
+            carry = int(last[at]) if inside else carry
+        return pd.DataFrame({"object_name": pdf["object_name"].iloc[0], "island": pdf["island"].iloc[0],
+                             "block": [b for b, *_ in out], "entry": pd.array([e for _, e, _ in out], "Int64"),
+                             "carry": pd.array([c for *_, c in out], "Int64")})
+    return run
+
+
+def _anchored(window: int):
+    """Anchors of a block's moments; what stands before the entry belongs to the anchor the walk came with."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        us = np.sort(pdf["us"].to_numpy())
+        entry, carry = pdf["entry"].iloc[0], pdf["carry"].iloc[0]
+        anchor = _walk(us, len(us) if pd.isna(entry) else int(np.searchsorted(us, int(entry))), window)
+        anchor[anchor < 0] = -1 if pd.isna(carry) else int(carry)
+        return pd.DataFrame({"object_name": pdf["object_name"].iloc[0], "us": us, "anchor": anchor})
+    return run
 
 
 def detect_cascades(signs: DataFrame, cfg: Cards = Cards()) -> DataFrame:
     """Greedy groups anchored at their first sign, over (object_name, ts, picket).
 
-    Signs are folded to distinct seconds and cut into islands.  An island no
-    longer than the window is one group already, anchored at its start; only
-    the longer ones are walked in order, as bare seconds.
+    Any ISO stamp counts to the microsecond, zones are brought to UTC and other texts are passed over.
+    Signs are folded to distinct moments and cut into islands.  An island no
+    longer than the window is one group already.  The walk over a longer one is cut
+    into hours: an anchor reaches at most one window into an hour, so only the moments
+    there can be entered; all hours find the exit of every such entry at once, a short
+    chain of entries and exits tells which entry is real, and all hours place their anchors.
     """
-    window = cfg.cascade_seconds
-    timed = (signs.filter(F.length("ts") > 10)
-             .withColumn("sec", F.unix_timestamp(F.to_timestamp("ts", "yyyy-MM-dd'T'HH:mm:ss"))))
-    folded = timed.groupBy("object_name", "sec", "picket").agg(F.count(F.lit(1)).alias("n"))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        sec = np.sort(pdf["sec"].to_numpy())
-        anchor = np.empty_like(sec)
-        i = 0
-        while i < len(sec):
-            j = int(np.searchsorted(sec, sec[i] + window, side="right"))
-            anchor[i:j] = sec[i]
-            i = j
-        return pd.DataFrame({"object_name": pdf["object_name"].iloc[0], "sec": sec, "anchor": anchor})
-
-    seconds = _islands(folded.select("object_name", "sec").distinct(), window)
-    ends = seconds.groupBy("object_name", "island").agg(F.max("sec").alias("last"))
-    placed = seconds.join(ends, ["object_name", "island"])
+    window = cfg.cascade_seconds * SECOND
+    timed = signs.withColumn("us", moment(F.col("ts"))).filter("us IS NOT NULL")
+    folded = timed.groupBy("object_name", "us", "picket").agg(F.count(F.lit(1)).alias("n"))
+    moments = _islands(folded.select("object_name", "us").distinct(), window)
+    ends = moments.groupBy("object_name", "island").agg(F.max("us").alias("last"))
+    placed = moments.join(ends, ["object_name", "island"])
     is_long = F.col("last") - F.col("island") > window
-    short = placed.filter(~is_long).select("object_name", "sec", F.col("island").alias("anchor"))
-    walked = (placed.filter(is_long).select("object_name", "island", "sec").groupBy("object_name", "island")
-              .applyInPandas(walk, "object_name string, sec long, anchor long"))
+    short = placed.filter(~is_long).select("object_name", "us", F.col("island").alias("anchor"))
+    pieces = placed.filter(is_long).select("object_name", "island", F.floor(F.col("us") / BLOCK).alias("block"), "us")
+    piece = ["object_name", "island", "block"]
+    exits = pieces.groupBy(*piece).applyInPandas(_exits(window), "object_name string, island long, block long, entry long, last long")
+    entries = exits.groupBy("object_name", "island").applyInPandas(
+        _chain(window), "object_name string, island long, block long, entry long, carry long")
+    walked = pieces.join(entries, piece).groupBy(*piece).applyInPandas(
+        _anchored(window), "object_name string, us long, anchor long")
     anchors = short.unionByName(walked)
-    found = (folded.join(anchors, ["object_name", "sec"]).groupBy("object_name", "anchor")
-             .agg(F.sum("n").alias("n_signs"), (F.max("sec") - F.col("anchor")).alias("span_seconds"),
+    found = (folded.join(anchors, ["object_name", "us"]).groupBy("object_name", "anchor")
+             .agg(F.sum("n").alias("n_signs"), ((F.max("us") - F.col("anchor")) / SECOND).alias("span_seconds"),
                   F.sort_array(F.collect_set("picket")).alias("pickets"))
              .filter((F.col("n_signs") >= cfg.cascade_points) & (F.size("pickets") >= cfg.cascade_pickets)))
-    at = F.timestamp_seconds("anchor")
+    at = F.timestamp_micros("anchor")
     a, b = F.element_at("pickets", 1), F.element_at("pickets", -1)
     words = said(text.counted(F.col("n_signs"), SIGN_FORMS), " на ", F.size("pickets").cast("string"),
-                 " точках возникли за ", F.col("span_seconds").cast("string"), " с (", F.date_format(at, "dd.MM HH:mm:ss"),
+                 " точках возникли за ", text.whole(F.col("span_seconds")), " с (", F.date_format(at, "dd.MM HH:mm:ss"),
                  "), отрезок ПК", a.cast("string"), "–ПК", b.cast("string"), " (",
                  ((b - a) * cfg.picket_meters).cast("string"),
                  " м). Похоже на каскад по питающей линии, а не на независимые отказы")
-    return found.select("object_name", F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss").alias("at"), "n_signs",
+    return found.select("object_name", iso(F.col("anchor")).alias("at"), "n_signs",
                         "span_seconds", "pickets", words.alias("text"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tritmarts import fixed_values as fv
+from tritmarts.functions.ordering import descending_cells, running_totals
+from tritmarts.functions.written import written
 from tritmarts.settings import Cards
 
 _BLOCK = 62
@@ -15,8 +17,9 @@ def twin_synchrony(dim: DataFrame, fact: DataFrame) -> DataFrame:
 
     On one day a group with n rows has n(n-1)/2 pairs and, per state with c
     rows, c(c-1)/2 equal ones.  The number of distinct pairs that ever met is
-    counted with bit masks: each member ORs the masks of its days and the set
-    bits, less itself, are its partners.
+    counted over classes of members with the same active days: classes are numbered densely
+    in their group, each ORs the day masks of its days, and the sizes of the classes it
+    met are added from their binary digits.
     """
     members = dim.filter(F.col("twin_count") > 1).select(
         "twin_group", "channel_id", "sensor_name", "sensor_type")
@@ -29,18 +32,25 @@ def twin_synchrony(dim: DataFrame, fact: DataFrame) -> DataFrame:
            .agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("shared_days"),
                 F.sum("equal").alias("equal")))
 
-    ids = F.col("channel_id")
-    active = days.select("twin_group", "channel_id", "d",
-                         F.floor(ids / _BLOCK).alias("block"),
-                         F.pmod(ids, F.lit(_BLOCK)).cast("int").alias("bit"))
-    masks = (active.groupBy("twin_group", "d", "block")
-             .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask")))
-    partners = (active.drop("block", "bit").join(masks, ["twin_group", "d"])
-                .groupBy("twin_group", "channel_id", "block")
-                .agg(F.bit_count(F.bit_or("mask")).alias("seen"))
-                .groupBy("twin_group", "channel_id")
-                .agg((F.sum("seen") - 1).alias("partners"))
-                .groupBy("twin_group").agg((F.sum("partners") / 2).cast("bigint").alias("n_pairs")))
+    days_of = days.groupBy("twin_group", "channel_id").agg(
+        F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("d")).alias("h1"), F.bit_xor(F.xxhash64("d", F.lit(1))).alias("h2"))
+    same_days = ["twin_group", "k", "h1", "h2"]
+    classes = (days_of.groupBy(*same_days).agg(F.count(F.lit(1)).alias("size"), F.min("channel_id").alias("channel_id"))
+               .withColumn("one", F.lit(1).cast("bigint")).withColumn("cell", F.pmod("h1", F.lit(1024))))
+    numbered = written(running_totals(classes, ["cell"], [F.col("k"), F.col("h1"), F.col("h2")], ["one"], key=["twin_group"])
+                       .select("twin_group", "channel_id", "size", F.floor((F.col("one_cum") - 1) / _BLOCK).alias("block"),
+                               F.pmod(F.col("one_cum") - 1, F.lit(_BLOCK)).cast("int").alias("bit")), "twin_classes")
+    active = days.select("twin_group", "channel_id", "d").join(numbered, ["twin_group", "channel_id"])
+    masks = active.groupBy("twin_group", "d", "block").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
+    seen = (active.select("twin_group", "channel_id", "size", "d").join(masks, ["twin_group", "d"])
+            .groupBy("twin_group", "channel_id", "size", "block").agg(F.bit_or("mask").alias("seen")))
+    planes = (numbered.select("twin_group", "block", "bit", F.posexplode(F.transform(
+        F.sequence(F.lit(0), F.lit(30)), lambda p: F.getbit("size", p))).alias("power", "on")).filter("on = 1")
+        .groupBy("twin_group", "block", "power").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("plane")))
+    met_rows = F.bit_count(F.col("seen").bitwiseAND(F.col("plane"))).cast("bigint") * F.expr("shiftleft(1L, power)")
+    partners = (seen.join(planes, ["twin_group", "block"])
+                .groupBy("twin_group", "channel_id", "size").agg(F.sum(met_rows).alias("seen"))
+                .groupBy("twin_group").agg((F.sum(F.col("size") * (F.col("seen") - 1)) / 2).cast("bigint").alias("n_pairs")))
 
     names = members.groupBy("twin_group").agg(F.min("sensor_name").alias("sensor_name"),
                                               F.min("sensor_type").alias("sensor_type"))
@@ -50,12 +60,21 @@ def twin_synchrony(dim: DataFrame, fact: DataFrame) -> DataFrame:
 
 
 def synchrony_buckets(sync: DataFrame) -> DataFrame:
+    """Groups, pairs and the median rate per bucket; the median is picked by rank over rate cells."""
     bucket = None
     for floor, label in fv.SYNC_BUCKETS:
         bucket = (F if bucket is None else bucket).when(F.col("sync_rate") >= floor, F.lit(label))
-    return (sync.groupBy(bucket.alias("bucket"))
-            .agg(F.count(F.lit(1)).alias("groups"), F.sum("n_pairs").alias("pairs"),
-                 F.median("sync_rate").alias("median_sync")))
+    rows = sync.select(F.coalesce(bucket, F.lit("")).alias("bucket"), "sync_rate", "n_pairs")
+    totals = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("groups"), F.sum("n_pairs").alias("pairs"))
+    coarse, fine = descending_cells(F.col("sync_rate"))
+    folded = (rows.groupBy("bucket", "sync_rate").agg(F.count(F.lit(1)).alias("n"))
+              .withColumn("_c1", coarse).withColumn("_c2", fine))
+    ranked = running_totals(folded, ["_c1", "_c2"], [F.col("sync_rate").desc()], ["n"], key=["bucket"]).join(totals, "bucket")
+    holds = lambda place: (F.col("n_cum") >= place) & (F.col("n_cum") - F.col("n") < place)
+    low, high = F.floor((F.col("groups") + 1) / 2), F.floor(F.col("groups") / 2) + 1
+    middle = ranked.groupBy("bucket").agg(((F.max(F.when(holds(low), F.col("sync_rate"))) + F.max(F.when(holds(high), F.col("sync_rate"))))
+                                           / 2).alias("median_sync"))
+    return totals.join(middle, "bucket").select(F.nullif("bucket", F.lit("")).alias("bucket"), "groups", "pairs", "median_sync")
 
 
 def logical_domains(dim: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tritmarts import fixed_values as fv
 from tritmarts.functions import text
 from tritmarts.functions.numbers import epoch_second
-from tritmarts.functions.ordering import with_neighbour
+from tritmarts.functions.ordering import running_totals, with_neighbour
 from tritmarts.settings import Guarding
 
 DAY = 86400
@@ -42,14 +42,37 @@ def guard_health(intervals: DataFrame, cfg: Guarding = Guarding()) -> DataFrame:
                         | (F.col("n_switches") < cfg.stuck_min_switches)))
 
 
+_STATES = ["covering", "armed", "stuck"]
+
+
+def _guard_states(triggers: DataFrame, intervals: DataFrame, health: DataFrame) -> DataFrame:
+    """(object_id, ts, covering, armed, stuck): guard intervals that cover each trigger second, all, sound and armed, and stuck."""
+    known = (intervals.filter((F.col("t_to") > F.col("t_from")) & F.col("object_id").isNotNull())
+             .join(health.select("channel_id", "is_stuck"), "channel_id", "left")
+             .withColumn("is_stuck", F.coalesce("is_stuck", F.lit(False))))
+    bounds = F.explode(F.array(F.struct(F.col("t_from").alias("ts"), F.lit(1).alias("sign")),
+                               F.struct(F.col("t_to").alias("ts"), F.lit(-1).alias("sign")))).alias("b")
+    sign = F.col("b.sign")
+    marks = known.select("object_id", bounds, "is_armed", "is_stuck").select(
+        "object_id", "b.ts", sign.alias("covering"), F.when(F.col("is_armed") & ~F.col("is_stuck"), sign).otherwise(0).alias("armed"),
+        F.when(F.col("is_stuck"), sign).otherwise(0).alias("stuck"), F.lit(False).alias("asked"))
+    none = [F.lit(0).alias(s) for s in _STATES]
+    asked = triggers.filter("object_id IS NOT NULL").select("object_id", "ts", *none, F.lit(True).alias("asked"))
+    steps = marks.unionByName(asked).groupBy("object_id", "ts").agg(
+        *[F.sum(s).alias(s) for s in _STATES], F.bool_or("asked").alias("asked")).withColumn("day", F.floor(F.col("ts") / DAY))
+    swept = running_totals(steps, ["day"], [F.col("ts")], _STATES, key=["object_id"])
+    return swept.filter("asked").select("object_id", "ts", *[F.col(f"{s}_cum").alias(s) for s in _STATES])
+
+
 def intrusion_events(journal: DataFrame, dim: DataFrame, intervals: DataFrame, health: DataFrame,
                      cfg: Guarding = Guarding(), per_guard: bool = True) -> DataFrame:
     """Point-day episodes of perimeter triggers with the guard mode as a trit.
 
-    Intervals are cut by day, so point-in-interval is an equi join on (object,
-    day) plus a range test.  With several guard channels on an object a trigger
-    counts once per channel that covers it; ``per_guard=False`` first reduces
-    the modes of a trigger to one.
+    What a trigger needs of the guard intervals is how many cover its second, and of
+    which kind.  Interval bounds and trigger seconds are merged in one order per
+    object and swept with running totals, so neither triggers nor intervals are paired
+    and an interval of years is two rows.  With several guard channels on an object a trigger
+    counts once per channel that covers it; ``per_guard=False`` counts it once.
     """
     place = (dim.filter(F.col("sensor_type").isin(fv.INTRUSION_TYPES) & F.col("picket").isNotNull())
              .select("channel_id", "object_id", "object_name", "parent_name", "picket", "sensor_type", "sensor_name"))
@@ -60,25 +83,13 @@ def intrusion_events(journal: DataFrame, dim: DataFrame, intervals: DataFrame, h
                          "sensor_type", "sensor_name")
                 .agg(F.count(F.lit(1)).alias("n"))
                 .withColumn("ts", epoch_second(F.col("d"), F.col("t_sec"))))
-    days = (intervals.filter(F.col("t_to") > F.col("t_from"))
-            .join(health.select("channel_id", "is_stuck"), "channel_id", "left")
-            .select(F.col("object_id").alias("_guarded"), "t_from", "t_to", "is_armed", "is_stuck",
-                    F.explode(F.sequence(F.floor(F.col("t_from") / DAY), F.floor((F.col("t_to") - 1) / DAY)))
-                    .alias("_on")))
-    covered = ((F.col("object_id") == F.col("_guarded")) & (F.unix_date("d") == F.col("_on"))
-               & (F.col("ts") >= F.col("t_from")) & (F.col("ts") < F.col("t_to")))
-    modes = triggers.join(days, covered, "left")
-    trit = (F.when(F.col("is_armed").isNull() | F.col("is_stuck"), F.lit(fv.UNKNOWN))
-            .when(F.col("is_armed"), F.lit(fv.DEVIATION)).otherwise(F.lit(fv.NORMAL)))
     key = ["object_id", "object_name", "parent_name", "picket", "d"]
     channel = [*key, "channel_id", "sensor_type", "sensor_name"]
-    stuck = F.coalesce("is_stuck", F.lit(False))
-    if not per_guard:
-        modes = (modes.withColumn("_trit", trit).withColumn("_stuck", stuck)
-                 .groupBy(*channel, "t_sec").agg(F.max("n").alias("n"), F.max("_trit").alias("_trit"),
-                                                 F.bool_or("_stuck").alias("_stuck")))
-    else:
-        modes = modes.withColumn("_trit", trit).withColumn("_stuck", stuck)
+    modes = triggers.join(_guard_states(triggers, intervals, health), ["object_id", "ts"], "left").na.fill(0, _STATES)
+    trit = (F.when(F.col("armed") > 0, F.lit(fv.DEVIATION)).when((F.col("stuck") > 0) | (F.col("covering") == 0), F.lit(fv.UNKNOWN))
+            .otherwise(F.lit(fv.NORMAL)))
+    times = F.greatest(F.col("covering"), F.lit(1)) if per_guard else F.lit(1)
+    modes = modes.select(*channel, "t_sec", (F.col("n") * times).alias("n"), trit.alias("_trit"), (F.col("stuck") > 0).alias("_stuck"))
     # channels first, then points: distinct counts become plain counts
     per_channel = modes.groupBy(*channel).agg(
         F.min("t_sec").alias("a"), F.max("t_sec").alias("b"), F.sum("n").alias("n"),

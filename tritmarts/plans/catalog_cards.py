@@ -408,7 +408,7 @@ part("q_secs", """
 SELECT object_name, datediff('second', TIMESTAMP '2024-01-01', strptime(ts, '%Y-%m-%dT%H:%M:%S')) AS s, picket FROM q_signs WHERE length(ts) > 10
 """)
 CASCADES = with_parts(f"""
-SELECT object_name, strftime(TIMESTAMP '2024-01-01' + to_seconds(a), '%Y-%m-%dT%H:%M:%S') AS "at", n_signs, span_seconds,
+SELECT object_name, strftime(TIMESTAMP '2024-01-01' + to_seconds(a), '%Y-%m-%dT%H:%M:%S') AS "at", n_signs, span_seconds::DOUBLE AS span_seconds,
   array_to_string(pk, '|') AS pickets,
   n_signs || ' ' || {forms('n_signs', 'признак', 'признака', 'признаков')} || ' на ' || len(pk) || ' точках возникли за ' || span_seconds || ' с ('
   || strftime(TIMESTAMP '2024-01-01' + to_seconds(a), '%d.%m %H:%M:%S') || '), отрезок ПК' || pk[1] || '–ПК' || pk[-1] || ' (' || (pk[-1] - pk[1]) * 10
