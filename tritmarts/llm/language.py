@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tritmarts.llm.tables import in_small_batches
+
 GRAMS = 4
 BINS = 1 << 16
 #: bounds of the sample: rows a language is learned from at most, rows in all (but MIN_ROWS a language), landmarks
@@ -29,7 +31,7 @@ LANDMARKS = 256
 RIDGE = 0.3
 FOLDS = 5
 #: texts scored at once
-BATCH = 64
+BATCH = 16
 UNKNOWN = "und"
 _STRIDE = np.uint32(0x01000193)
 _MIX = np.uint32(0x9E3779B1)
@@ -111,7 +113,7 @@ def learn(docs: DataFrame) -> Model:
     What reaches the driver are presence bits: at most max(TOTAL_ROWS, MIN_ROWS x languages)
     rows of BINS / 8 bytes.
     """
-    labelled = docs.where((fold() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+    labelled = in_small_batches(docs).where((fold() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         "lang", "text", F.xxhash64("doc_id").alias("place"))
     counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -157,7 +159,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     Only the text is used.  Texts are read whole; equal texts get equal answers.
     """
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    rows = in_small_batches(docs).select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
     return rows.mapInArrow(_predicted(model, ["row"]), f"row {kind}, lang_pred string, score double")
 

@@ -17,14 +17,14 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tritmarts.llm.tables import written
+from tritmarts.llm.tables import in_small_batches, written
 
 MAX_TOKENS = 1024
 END_ID = 2
@@ -46,9 +46,7 @@ class Encoder:
     """
 
     def __init__(self, tokenizer_path: str, ranks_path: str | None, pattern: str):
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(tokenizer_path)
+        self.path = tokenizer_path
         self.fast = None
         if ranks_path:
             import base64
@@ -59,6 +57,12 @@ class Encoder:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def slow(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def ids(self, text: str) -> np.ndarray:
         if self.fast and _MARK not in text and _PLAIN.fullmatch(text):
             return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
@@ -104,7 +108,7 @@ def pieces(docs: DataFrame, with_ids: bool = False, max_tokens: int = MAX_TOKENS
     one than ``max_tokens`` is cut so that all pieces but the first are full.
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+    return in_small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         _pieces(with_ids, max_tokens, end_id, tokenizer, ranks), schema)
 
 

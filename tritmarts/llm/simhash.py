@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tritmarts.llm.components import block_components, components
-from tritmarts.llm.tables import written
+from tritmarts.llm.tables import in_small_batches, written
 
 BITS = 64
 SHINGLE_WORDS = 4
@@ -64,7 +64,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def with_fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of every document; the 64 bits are kept as a signed long."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+    return in_small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         _fingerprints, "doc_id long, fp long")
 
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tritmarts.llm import dom
-from tritmarts.llm.tables import row_key, written
+from tritmarts.llm.tables import in_small_batches, row_key, written
 
 #: pages of a host that must have a branch before it is judged
 LEAST_PAGES = 5
@@ -158,7 +158,7 @@ def style_tree(features: DataFrame) -> DataFrame:
 
 def noise_of_pages(pages: DataFrame) -> DataFrame:
     """(key, noise): for pages with low-importance branches the tree nodes to remove."""
-    features = written(pages.select(row_key("page_id", "url", "html").alias("key"), F.col("url").cast("string"),
+    features = written(in_small_batches(pages).select(row_key("page_id", "url", "html").alias("key"), F.col("url").cast("string"),
                                     F.col("html").cast("string")).mapInArrow(
         _branches, "key long, node long, root long, content long, shape long, kinds long"), "branches")
     tree = written(style_tree(features), "style_tree")

@@ -1,29 +1,26 @@
-"""Tables written once to the shared folder and read back.
-
-A written table cuts lineage with files every executor can reach, so a lost
-executor costs only the tasks that read it again.
-"""
+"""Helpers of all operators: written tables, keys of rows, batches for Python."""
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from tritmarts.functions.written import scratch_path, written
 
-from tritmarts.session import shared_dir
+__all__ = ["in_small_batches", "row_key", "scratch_path", "written"]
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that the cluster names for all executors."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+#: rows of long columns that travel to a Python worker at once
+BATCH_ROWS = 512
+_ROWS_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after telling its session to send few rows at a time to Python; texts and pages can be very long."""
+    conf = df.sparkSession.conf
+    now = int(conf.get(_ROWS_CONF, "0"))
+    if not 0 < now <= BATCH_ROWS:
+        conf.set(_ROWS_CONF, str(BATCH_ROWS))
+    return df
 
 
 def row_key(*cols: str) -> Column:

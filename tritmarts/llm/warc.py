@@ -25,7 +25,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tritmarts.llm.tables import scratch_path, written
+from tritmarts.llm.tables import in_small_batches, scratch_path, written
 
 MAGIC = b"\x1f\x8b\x08"
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
@@ -100,7 +100,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> N
     known.  Payloads are told apart by SHA-256; only digests that occur more than once
     are joined back.
     """
-    rows = pages.select(F.col("page_id").cast("long"), "url", "html",
+    rows = in_small_batches(pages).select(F.col("page_id").cast("long"), "url", "html",
                         F.sha2(F.coalesce("html", F.lit("")), 256).alias("digest"))
     long = F.octet_length(F.coalesce("html", F.lit(""))) >= least
     shared = (rows.where(long).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
