@@ -9,6 +9,7 @@ from tritmarts.functions import text
 from tritmarts.functions.numbers import moment
 from tritmarts.functions.ordering import descending_cells, running_totals, spread_digits
 from tritmarts.operators.marts import failures
+from tritmarts.operators import cascades
 from tritmarts.operators.verdicts import said
 from tritmarts.settings import Cards
 
@@ -247,3 +248,36 @@ def merged_timeline(cards: DataFrame) -> DataFrame:
              .when(n == 1, said(F.col("text"), " — ", F.get(names, F.lit(0))))
              .otherwise(F.col("text")))
     return both.select("object_name", "ts", "kind", words.alias("text"), n.alias("n_sources"))
+
+
+def multicard_documents(cards: DataFrame, cfg: Cards = Cards()) -> DataFrame:
+    """One document per object and part: header, cards, merged timeline and cascades.
+
+    ``part`` runs from 0; every part repeats the header and holds at most one page of
+    each list, in order, so a document stays bounded and the parts together are whole.
+    """
+    header = multicards(cards)
+    fields = ["id", "scenario", "d", "picket", "channel_id", "probability", "title", "first_sign_at", "incubation_days"]
+    listed = card_pages(cards.select("object_name", *fields), page_size=cfg.page_size).select(
+        "object_name", F.col("page").cast("int").alias("part"), "cards")
+    marks = _paged(merged_timeline(cards), ["ts", "kind", "text"], cfg.page_size, "timeline")
+    found = cascades.detect_cascades(signs(cards), cfg)
+    lines = _paged(found, ["at", "n_signs", "span_seconds", "pickets", "text"], cfg.page_size, "cascades")
+    key = ["object_name", "part"]
+    parts = listed.join(marks, key, "full").join(lines, key, "full")
+    return header.join(parts, "object_name")
+
+
+def _paged(rows: DataFrame, fields: list[str], size: int, name: str) -> DataFrame:
+    """Rows of each object gathered in time order into lists of at most ``size``, by part.
+
+    Places are running totals over days, then hours of the stamps, never over a whole object.
+    """
+    stamp = F.coalesce(F.col(fields[0]), F.lit(""))
+    levels = {"_day": F.substring(stamp, 1, 10), "_hour": F.substring(stamp, 12, 2), "_rest": F.substring(stamp, 15, 5)}
+    order = [F.col(f) for f in fields if f != "pickets"]
+    placed = running_totals(rows.withColumns({**levels, "_one": F.lit(1).cast("bigint")}), list(levels), order, ["_one"],
+                            key=["object_name"])
+    return (placed.withColumn("part", F.floor((F.col("_one_cum") - 1) / size).cast("int")).groupBy("object_name", "part")
+            .agg(F.transform(F.sort_array(F.collect_list(F.struct("_one_cum", F.struct(*fields).alias("e")))),
+                             lambda x: x["e"]).alias(name)))

@@ -87,6 +87,15 @@ def train_linear(train: DataFrame) -> PipelineModel:
     return Pipeline(stages=[scale, fit]).fit(rows)
 
 
+def save_model(model: RandomForestClassificationModel, path: str) -> None:
+    """Write a trained forest, so that later days are scored without training again."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> RandomForestClassificationModel:
+    return RandomForestClassificationModel.load(path)
+
+
 def score(model, prepared: DataFrame) -> DataFrame:
     """Probability of failure as ``score``."""
     out = model.transform(assemble(prepared))

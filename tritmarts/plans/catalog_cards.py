@@ -445,6 +445,21 @@ def d9(spark, sf):
     return cards.multicards(sample_cards(spark, sf)).select("object_name", "summary", "blind_summary")
 
 
+@query("d6_multicard_documents", with_parts("""
+SELECT place AS object_name, n_cards, max_probability, ids, n_marks, (n_cards + 499) // 500 AS card_pages, true AS ordered
+FROM (SELECT place, count(*) AS n_cards, round(max(probability) + 1e-9, 6) AS max_probability, sum(id)::BIGINT AS ids FROM q_titled GROUP BY place)
+JOIN (SELECT object_name AS place, count(*) AS n_marks FROM (SELECT DISTINCT object_name, day, kind, text FROM q_merge) GROUP BY 1) USING (place)"""))
+def d6_documents(spark, sf):
+    """Whole documents per object, checked over their parts: cards, marks of the merged timeline, order."""
+    parts = cards.multicard_documents(sample_cards(spark, sf))
+    ids = F.aggregate("cards", F.lit(0).cast("bigint"), lambda a, c: a + c["id"])
+    stamps = F.transform("timeline", lambda e: e["ts"])
+    return tidy(parts.groupBy("object_name").agg(
+        F.max("n_cards").alias("n_cards"), F.max("max_probability").alias("max_probability"), F.sum(ids).alias("ids"),
+        F.sum(F.coalesce(F.size("timeline"), F.lit(0))).alias("n_marks"), F.count("cards").alias("card_pages"),
+        F.bool_and(F.coalesce(stamps == F.array_sort(stamps), F.lit(True))).alias("ordered")))
+
+
 # ---- work orders ---------------------------------------------------------------------
 
 @query("o1_work_types", with_parts("""
