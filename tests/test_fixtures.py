@@ -100,3 +100,20 @@ def test_twin_pairs_that_met_against_all_pairs(spark):
 def test_settings_name_their_marts():
     assert settings_digest(Labelling()) == settings_digest(Labelling())
     assert settings_digest(Labelling()) != settings_digest(Labelling(sweep_min_channels=21))
+
+
+def test_feature_matrix_deals_the_grid_once(spark):
+    """Above the one exchange by channel, windows and joins move no grid row again."""
+    from tritmarts.plans.catalog_ranking import World
+    from tritmarts.operators import features
+    w = World(spark, "/root/testdata/sf0.001")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = features.feature_matrix(w.labels, w.fact, w.dim, w.profile, w.domains)
+        lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    dealt = next(i for i, line in enumerate(lines) if "REPARTITION_BY_COL" in line)
+    assert any("Window" in line for line in lines[:dealt])
+    assert not any("Exchange" in line for line in lines[:dealt])

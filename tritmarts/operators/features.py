@@ -86,22 +86,38 @@ def controller_shares(fact: DataFrame, dim: DataFrame) -> DataFrame:
             .agg(F.avg(F.when(F.col("f") > 0, 1.0).otherwise(0.0)).alias("base_failed_share")))
 
 
+_GRID = {"y": "int", "n_ev": "bigint", "n_fault": "bigint", "n_undefined": "bigint", "was_active": "int", "trit_day": "int",
+         "dev_share": "double", "silent_share": "double", "base_failed_share": "double"}
+
+
+def _grid_rows(y: DataFrame, fact: DataFrame, dim: DataFrame, first: str | None, last: str | None) -> DataFrame:
+    """The dense series of the grid with the shares of point and controller, partitioned by channel."""
+    if first and last:
+        y = y.filter(F.col("d").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    near = neighbour_shares(fact, dim).join(dim.select("channel_id", "object_id", "picket"), ["object_id", "picket"])
+    wired = controller_shares(fact, dim).join(dim.select("channel_id", "tag_base"), "tag_base")
+    seen = fact.select("channel_id", "d", "n_ev", failures().alias("n_fault"), "n_undefined", "trit_day", F.lit(1).alias("was_active"))
+    kinds = {**_GRID, "y": y.schema["y"].dataType.simpleString()}
+    parts = [p.select("channel_id", "d", *[(F.col(c) if c in p.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
+             for p in (y, seen, near, wired)]
+    dealt = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).repartition("channel_id")
+    folded = dealt.groupBy("channel_id", "d").agg(*[F.max(c).alias(c) for c in kinds]).filter("y IS NOT NULL")
+    return folded.na.fill(0, ["n_ev", "n_fault", "n_undefined", "was_active", "trit_day"])
+
+
 def feature_matrix(y: DataFrame, fact: DataFrame, dim: DataFrame, profile: DataFrame,
                    domains: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
     """The 20 model columns.
 
-    Context is joined before the windows, so the wide grid is shuffled by
-    channel once, for all frames together.
+    Labels, facts and the two share tables, spread onto their channels, are narrow rows of
+    (channel, day).  They are dealt by channel once and folded there; the windows and the
+    join to the channel's place need no further exchange of the grid.
     """
-    dense = dense_series(y, fact, first, last)
-    place = (dim.select("channel_id", "object_id", "picket", "tag_base")
+    place = (dim.select("channel_id", "object_id", "picket")
              .join(profile.select("channel_id", "first_day"), "channel_id")
              .join(domains.select("object_id", "picket", F.col("n_channels").alias("domain_size")),
-                   ["object_id", "picket"], "left"))
-    rows = (dense.join(place, "channel_id")
-            .join(neighbour_shares(fact, dim), ["object_id", "picket", "d"], "left")
-            .join(controller_shares(fact, dim), ["tag_base", "d"], "left"))
-    s = streaks(rolling_sums(rows))
+                   ["object_id", "picket"], "left").select("channel_id", "first_day", "domain_size"))
+    s = streaks(rolling_sums(_grid_rows(y, fact, dim, first, last).join(place, "channel_id")))
 
     def num(name: str) -> Column:
         return F.col(name).cast("double")
