@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tritmarts.llm import embedding_dedup, language, mixing, oracles, packing, rabitq, secrets, simhash, sitetree, warc
+from tritmarts.llm import embedding_dedup, language, mixing, oracles, packing, passages, rabitq, secrets, simhash, sitetree, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,8 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitetree.main_text(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
