@@ -24,10 +24,10 @@ from tritmarts.llm.tables import in_small_batches
 GRAMS = 4
 BINS = 1 << 16
 #: bounds of the sample: rows a language is learned from at most, rows in all (but MIN_ROWS a language), landmarks
-MAX_ROWS = 800
-TOTAL_ROWS = 3200
+MAX_ROWS = 500
+TOTAL_ROWS = 2000
 MIN_ROWS = 20
-LANDMARKS = 256
+LANDMARKS = 160
 RIDGE = 0.3
 FOLDS = 5
 #: texts scored at once
@@ -80,8 +80,11 @@ def fit(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge: f
     marks = [i for _, _, i in sorted(order)[:landmarks]]
 
     def unit(part: list[int]) -> np.ndarray:
-        block = np.stack([np.unpackbits(rows[i][1]) for i in part]).astype(np.float32)
-        return block / np.sqrt(block.sum(axis=1, keepdims=True))
+        block = np.empty((len(part), BINS), np.float32)
+        for place, i in enumerate(part):
+            block[place] = np.unpackbits(rows[i][1])
+        block /= np.sqrt(block.sum(axis=1, keepdims=True))
+        return block
 
     base = unit(marks)
     cross = np.concatenate([unit(list(range(at, min(at + BATCH, len(rows))))) @ base.T for at in range(0, len(rows), BATCH)])
