@@ -12,6 +12,8 @@ runs of each source's block order; its documents are shuffled locally.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tritmarts.llm.tables import written
@@ -20,19 +22,22 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CEILING = 2
+#: least blocks of a source, and blocks of a source for each shard
 BLOCKS = 1024
-FINE = 65536
-#: the tree has this many levels, and 2 to that power shards
+BLOCKS_PER_SHARD = 4
+#: the tree has at least this many levels, and 2 to that power shards; more if shards would pass SHARD_WORDS
 LEVELS = 6
+SHARD_WORDS = 8_000_000
 SEED = 17
-#: block plans up to this many sources go to every task: at most MAX_SENT_SOURCES x BLOCKS small rows
-MAX_SENT_SOURCES = 256
+#: a plan of at most this many rows (sources x blocks) goes to every task; a larger one is joined
+MAX_SENT_ROWS = 1 << 18
 
 
 def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """(row, size, skey, block, fine): the whole document, its words, a non-null form of its source, and its place.
+    """(row, size, skey, spot, fine): the whole document, its words, a non-null form of its source, and its place.
 
-    Block and fine (16 bits inside the block) come from one digest of doc_id and size.
+    Spot (24 bits, of which a block is the low ones) and fine (16 bits inside a block) come from
+    one digest of doc_id and size.
     """
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("null")),
                                F.col("size").cast("string")))
@@ -40,8 +45,8 @@ def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
                         .cast("long").alias("size"))
             .select("row", "size", F.coalesce(F.concat(F.lit("="), "row.source"), F.lit("")).alias("skey"),
                     digest.alias("digest"))
-            .select("row", "size", "skey", (F.conv(F.substring("digest", 1, 3), 16, 10).cast("int") % BLOCKS).alias("block"),
-                    F.conv(F.substring("digest", 4, 4), 16, 10).cast("int").alias("fine")))
+            .select("row", "size", "skey", F.conv(F.substring("digest", 1, 6), 16, 10).cast("int").alias("spot"),
+                    F.conv(F.substring("digest", 7, 4), 16, 10).cast("int").alias("fine")))
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE,
@@ -163,28 +168,36 @@ def block_plan(narrow: DataFrame, levels: int = LEVELS, seed: int = SEED) -> Dat
                     F.when(F.col("extra") == 1, F.coalesce("cut", F.lit(-1))).alias("cut")))
 
 
-def drawn(docs: DataFrame, levels: int = LEVELS, seed: int = SEED) -> DataFrame:
+def levels_for(words: int | None) -> int:
+    """Levels of the tree for a mix of so many words."""
+    return max(LEVELS, math.ceil(math.log2(max(1, (words or 0) * SHARE / SHARD_WORDS))))
+
+
+def drawn(docs: DataFrame, levels: int | None = None, seed: int = SEED) -> DataFrame:
     """(row, size, source_size, target, shards): ``shards`` has one output shard for each time the mix draws the row.
 
     A null text has size 0; null sources form one source, ordered last.  Rows that
     agree in doc_id and size are drawn together, so repeated rows stay equal.
     Rows of size 0 are drawn like others and cost no words.
     """
-    narrow = written(sized(docs, seed).select("skey", F.col("row.source").alias("source"), "block", "fine", "size"),
+    narrow = written(sized(docs, seed).select("skey", F.col("row.source").alias("source"), "spot", "fine", "size"),
                      "mix_sizes")
-    plan = written(block_plan(narrow, levels, seed), "mix_plan")
-    few = plan.select("skey").distinct().limit(MAX_SENT_SOURCES + 1).count() <= MAX_SENT_SOURCES
+    levels = levels or levels_for(narrow.agg(F.sum("size").alias("words")).first().words)
+    block = F.col("spot") % max(BLOCKS, min(1 << 24, BLOCKS_PER_SHARD << levels))
+    plan = written(block_plan(narrow.withColumn("block", block), levels, seed), "mix_plan")
+    few = plan.count() <= MAX_SENT_ROWS
     taken = F.when(F.col("last").isNotNull() & (F.col("cut").isNull() | (F.col("fine") <= F.col("cut"))),
                    F.concat("whole", F.array("last"))).otherwise(F.col("whole"))
-    return (sized(docs, seed).join(F.broadcast(plan) if few else plan, ["skey", "block"])
+    return (sized(docs, seed).withColumn("block", block).join(F.broadcast(plan) if few else plan, ["skey", "block"])
             .select("row", "size", "source_size", "target", taken.alias("shards")))
 
 
-def mixture(docs: DataFrame, levels: int = LEVELS, seed: int = SEED) -> DataFrame:
+def mixture(docs: DataFrame, levels: int | None = None, seed: int = SEED) -> DataFrame:
     """The mix itself: the columns of ``docs``, one row for each draw, dealt to shards and shuffled inside them."""
     rows = drawn(docs, levels, seed).select("row", F.posexplode("shards").alias("nth", "shard"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (rows.withColumn("place", F.xxhash64(F.lit(seed), "nth", "row.doc_id"))
-            .repartition(2 ** levels, "shard").sortWithinPartitions("shard", "place").select("row.*"))
+            .repartition(max(2 ** LEVELS, parts), "shard").sortWithinPartitions("shard", "place").select("row.*"))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ WITH sized AS (
 hashed AS (
   SELECT *, md5('17|' || coalesce(doc_id::VARCHAR, 'null') || '|' || size::VARCHAR) AS h FROM sized),
 d AS (
-  SELECT doc_id, source, size, ('0x' || substr(h, 1, 3))::BIGINT % 1024 AS block, ('0x' || substr(h, 4, 4))::BIGINT AS fine
+  SELECT doc_id, source, size, ('0x' || substr(h, 1, 6))::BIGINT % 1024 AS block, ('0x' || substr(h, 7, 4))::BIGINT AS fine
   FROM hashed),
 s0 AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),

@@ -28,8 +28,9 @@ from tritmarts.llm.tables import in_small_batches, written
 
 MAX_TOKENS = 1024
 END_ID = 2
-#: parts a length class is ranked in, so that no window sees a whole class
+#: a length class is ranked in parts, at least so many and one for each so many pieces, so that no window sees a whole class
 SEGMENTS = 256
+SEGMENT_PIECES = 200_000
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 #: Latin text, punctuation and plain white space, on which both libraries split words alike
@@ -182,7 +183,7 @@ def _placed(plan: dict[int, list[Step]]):
     return run
 
 
-def best_fit(parts: DataFrame, capacity: int = MAX_TOKENS, segments: int = SEGMENTS) -> DataFrame:
+def best_fit(parts: DataFrame, capacity: int = MAX_TOKENS) -> DataFrame:
     """``parts`` (doc_id, piece, start, length, ...) with their sequence_id and offset.
 
     Lengths are 1 to ``capacity``.  Ties of length, repeated rows among them, are
@@ -190,8 +191,9 @@ def best_fit(parts: DataFrame, capacity: int = MAX_TOKENS, segments: int = SEGME
     sent to the tasks has at most two steps for each pair of lengths, so it is
     bounded by ``capacity`` squared and independent of the corpus.
     """
-    dealt = written(parts.withColumn("segment", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"),
-                                                      F.lit(segments)).cast("int")), "pieces")
+    whole = written(parts, "pieces")
+    segments = max(SEGMENTS, whole.count() // SEGMENT_PIECES)
+    dealt = whole.withColumn("segment", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(segments)).cast("int"))
     cells = written(dealt.groupBy("length", "segment").agg(F.count("*").alias("n")), "piece_counts")
     counts = Counter({r.length: r.n for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()})
     before = Window.partitionBy("length").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
