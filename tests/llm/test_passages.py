@@ -50,8 +50,7 @@ def test_against_all_pairs(spark):
             for d, p, _ in members:
                 want[d, p] = (kept, (d, p) != kept)
     assert {(r.doc_id, r.paragraph) for r in got} == set(want)
-    kept_of = {r.cluster_id: (r.doc_id, r.paragraph) for r in got if not r.removed}
-    assert all((kept_of[r.cluster_id], r.removed) == want[r.doc_id, r.paragraph] for r in got)
+    assert all(((r.kept_doc_id, r.kept_paragraph), r.removed) == want[r.doc_id, r.paragraph] for r in got)
     texts = {d: t for d, t in rows if d != 3}
     assert all(len(texts[r.doc_id][r.start:r.end].split()) == r.n_words for r in got if r.doc_id != 3)
     out = {r.doc_id: r.text for r in passages.without_passages(df).collect()}

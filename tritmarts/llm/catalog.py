@@ -70,6 +70,6 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitetree.main_text(table(spark, sf_dir, "pages"))
 
 
-@query()
+@query(oracles.OP7)
 def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))

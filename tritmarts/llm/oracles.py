@@ -124,3 +124,26 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to FROM f
 """
+
+OP7 = r"""
+WITH RECURSIVE lines AS (
+  SELECT doc_id, (i - 1)::INT AS paragraph, coalesce(list_sum([length(x) + 1 for x in parts[1:i - 1]]), 0)::BIGINT AS start, parts[i] AS line
+  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))),
+p AS (
+  SELECT *, len(w) AS n_words, array_to_string(w, ' ') AS joined FROM (
+    SELECT *, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM lines)
+  WHERE len(w) >= 50),
+c AS (SELECT joined, row_number() OVER () AS cid, any_value(w) AS w FROM p GROUP BY joined),
+s AS (SELECT DISTINCT cid, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT cid, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM c)),
+n AS (SELECT cid, count(*) AS n FROM s GROUP BY cid),
+links AS (
+  SELECT a, b FROM (SELECT x.cid AS a, y.cid AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.cid <> y.cid GROUP BY ALL)
+  JOIN n na ON na.cid = a JOIN n nb ON nb.cid = b WHERE k >= 0.8 * (na.n + nb.n - k)),
+reach(a, b) AS (SELECT cid, cid FROM c UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+root AS (SELECT a AS cid, min(b) AS root FROM reach GROUP BY a),
+m AS (SELECT p.*, root FROM p JOIN c USING (joined) JOIN root USING (cid)),
+k AS (SELECT root, min((doc_id, paragraph)) AS kept FROM m GROUP BY root HAVING count(DISTINCT doc_id) > 1)
+SELECT doc_id, paragraph, start, start + length(line) AS "end", n_words, kept[1] AS kept_doc_id, kept[2] AS kept_paragraph,
+       (doc_id, paragraph) <> kept AS removed
+FROM m JOIN k USING (root)
+"""

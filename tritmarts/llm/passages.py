@@ -152,8 +152,8 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, least_words
     """Paragraphs of ``docs`` (doc_id, text) that occur, alike to the threshold, in more than one document.
 
     One row per paragraph: doc_id, paragraph (line number from 0), start and end (code
-    points, end exclusive), n_words, cluster_id, removed.  The cluster's smallest (doc_id, paragraph)
-    stays.  A paragraph is a line of at least ``least_words`` words; null and empty texts have none.  Repeated
+    points, end exclusive), n_words, kept_doc_id, kept_paragraph, removed.  The cluster's smallest
+    (doc_id, paragraph) is kept, and names it.  A paragraph is a line of at least ``least_words`` words; null and empty texts have none.  Repeated
     rows of one doc_id are one document; a null doc_id sorts before all others.  Other columns are not read.
     """
     lines = written(in_small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
@@ -174,10 +174,11 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, least_words
     clusters = named.groupBy("cluster_id").agg(F.min("first").alias("kept"), F.min("low").alias("low"), F.max("high").alias("high"),
                                                F.sum("unnamed").alias("unnamed"))
     across = clusters.where("low < high or unnamed > 1 or (unnamed > 0 and low is not null)").select("cluster_id", "kept")
-    member = written(named.select("digest", "cluster_id").join(across, "cluster_id"), "paragraph_clusters")
+    member = written(named.select("digest", "cluster_id").join(across, "cluster_id").select("digest", "kept"), "paragraph_clusters")
     place = F.struct("doc_id", "paragraph")
     return lines.select("doc_id", "paragraph", "start", "end", "n_words", "digest").join(member, "digest").select(
-        "doc_id", "paragraph", "start", "end", "n_words", "cluster_id", (~place.eqNullSafe(F.col("kept"))).alias("removed"))
+        "doc_id", "paragraph", "start", "end", "n_words", F.col("kept.doc_id").alias("kept_doc_id"),
+        F.col("kept.paragraph").alias("kept_paragraph"), (~place.eqNullSafe(F.col("kept"))).alias("removed"))
 
 
 def without_passages(docs: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS) -> DataFrame:
