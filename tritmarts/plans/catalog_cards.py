@@ -176,24 +176,32 @@ def v2(spark, sf):
         F.col("parent_name"), F.col("object_name"), F.col("picket"), F.col("channel_id")).alias("location"))
 
 
-@query("v3_negatives", with_parts("""
+part("q_v3", """
 SELECT channel_id, d, concat_ws('|', CASE WHEN system LIKE '%Пожарная%' AND NOT smoky THEN 'пожар: сработок дыма за сутки не зафиксировано' END,
-       CASE WHEN domain_dev_share_7d < 0.2 THEN 'массовая авария: соседние каналы точки в норме' END) AS negatives FROM q_rows"""))
+       CASE WHEN domain_dev_share_7d < 0.2 THEN 'массовая авария: соседние каналы точки в норме' END) AS negatives FROM q_rows
+""")
+
+
+@query("v3_negatives", with_parts("SELECT * FROM q_v3"))
 def v3(spark, sf):
     return tidy(_rows(spark, sf).select("channel_id", "d", verdicts.failure_negatives(F.col("_smoke")).alias("negatives")))
 
 
-@query("v4_blind_spots", with_parts("""
+part("q_v4", """
 SELECT channel_id, d, concat_ws('|',
   CASE WHEN dom_size = 1 THEN 'в этой точке только один канал — подтвердить показания нечем'
        WHEN domain_silent_share >= 0.5 THEN 'молчит ' || CAST(round_even(domain_silent_share * 100, 0) AS BIGINT) || '% соседних каналов точки — картина неполная' END,
   CASE WHEN system LIKE '%Пожарная%' AND NOT dom_thermal THEN 'тепловых датчиков в этой точке нет, подтвердить температурой нельзя' END) AS blind_spots
-FROM q_rows"""))
+FROM q_rows
+""")
+
+
+@query("v4_blind_spots", with_parts("SELECT * FROM q_v4"))
 def v4(spark, sf):
     return tidy(_rows(spark, sf).select("channel_id", "d", verdicts.failure_blind_spots().alias("blind_spots")))
 
 
-@query("v5_temperature_evidence", with_parts("""
+part("q_v5", """
 SELECT p.object_id, p.picket, p.d,
   coalesce(array_to_string(list_transform(t.said, lambda w: w || CASE WHEN t.picket = p.picket THEN '' ELSE ' (датчик в ' || abs(t.picket - p.picket) * 10 || ' м)' END), '|'), '') AS evidence,
   CASE WHEN t.picket IS NOT NULL THEN CASE WHEN len(t.said) > 0 THEN t.blind ELSE '' END
@@ -204,14 +212,18 @@ LEFT JOIN (SELECT a.object_id, a.picket AS at, a.d, b.*EXCLUDE (object_id, d),
                   row_number() OVER (PARTITION BY a.object_id, a.picket, a.d ORDER BY abs(a.picket - b.picket), b.picket) AS rn
            FROM (SELECT DISTINCT object_id, picket, d FROM q_rows) a
            JOIN q_thermal_text b ON b.object_id = a.object_id AND b.d = a.d AND abs(a.picket - b.picket) <= 10) t
-  ON t.object_id = p.object_id AND t.at = p.picket AND t.d = p.d AND t.rn = 1"""))
+  ON t.object_id = p.object_id AND t.at = p.picket AND t.d = p.d AND t.rn = 1
+""")
+
+
+@query("v5_temperature_evidence", with_parts("SELECT * FROM q_v5"))
 def v5(spark, sf):
     out = verdicts.temperature_evidence(_points(spark, sf), Heat(spark, sf).state)
     return tidy(out.select("object_id", "picket", "d", F.transform("temp_evidence", lambda e: e["phrase"]).alias("evidence"),
                            F.col("temp_blind").alias("blind_spots")))
 
 
-@query("v6_precedents", with_parts(f"""
+part("q_v6", f"""
 SELECT object_id, picket, d, 'Похожий случай: ' || strftime(hit.day, '%d.%m.%Y') || ', та же точка, ' || hit.n || ' '
        || {forms('hit.n', 'сообщение', 'сообщения', 'сообщений')} || ' о неисправности.' AS precedent
 FROM (SELECT p.object_id, p.picket, p.d, arg_max({{'day': f.d, 'n': f.n}}, f.d) AS hit
@@ -219,7 +231,11 @@ FROM (SELECT p.object_id, p.picket, p.d, arg_max({{'day': f.d, 'n': f.n}}, f.d)
       JOIN (SELECT object_id, picket, d, CAST(sum(n_fault + n_disabled) AS BIGINT) AS n FROM q_fact_long JOIN q_dim_long USING (channel_id)
             WHERE n_fault + n_disabled > 0 GROUP BY object_id, picket, d) f
         ON f.object_id = p.object_id AND f.picket = p.picket AND f.d < p.d
-      GROUP BY p.object_id, p.picket, p.d)"""))
+      GROUP BY p.object_id, p.picket, p.d)
+""")
+
+
+@query("v6_precedents", with_parts("SELECT * FROM q_v6"))
 def v6(spark, sf):
     w = World(spark, sf)
     return tidy(verdicts.precedents(_points(spark, sf), w.fact, w.dim))
@@ -250,6 +266,28 @@ def failure_cards(spark, sf):
     return verdicts.failure_verdicts(head, told, smoke, Heat(spark, sf).state, w.fact, w.dim)
 
 
+@query("v8_cards_of_fixed_score", with_parts("""
+SELECT h.channel_id, h.d, h.object_id, coalesce(h.parent_name, h.object_name) AS object_name, h.picket, round(h.score + 1e-9, 6) AS probability,
+  CASE WHEN h.picket IS NULL AND h.object_name IS NULL AND h.parent_name IS NULL THEN 'канал ' || h.channel_id
+       ELSE concat_ws(', ', coalesce(h.parent_name, h.object_name), 'ПК' || h.picket) END AS location,
+  concat_ws('|', 'проверка', nullif(t.evidence, '')) AS evidence, n.negatives,
+  concat_ws('|', nullif(b.blind_spots, ''), nullif(t.blind_spots, '')) AS blind_spots, p.precedent,
+  CASE h.sensor_type WHEN 'Датчик дыма' THEN 'Проверить шлейф пожарной сигнализации на участке и питание шкафа ОПС.' WHEN 'Датчик температуры' THEN 'Проверить линию связи датчика; при повторе — заменить измерительный элемент.' WHEN 'Газовый датчик' THEN 'Проверить питание и калибровку газоанализатора.' WHEN 'КД Дверь' THEN 'Проверить контактную группу и шлейф двери.' WHEN 'Датчик движения' THEN 'Проверить питание извещателя и юстировку.' ELSE 'Проверить питание и линию связи канала.' END AS recommendation
+FROM q_head h JOIN q_v3 n USING (channel_id, d) JOIN q_v4 b USING (channel_id, d)
+LEFT JOIN q_v5 t ON t.object_id = h.object_id AND t.picket = h.picket AND t.d = h.d
+LEFT JOIN q_v6 p ON p.object_id = h.object_id AND p.picket = h.picket AND p.d = h.d"""))
+def v8_fixed(spark, sf):
+    """Failure cards of the fixed score's head: every lookup joined, with one literal sign instead of a model's."""
+    w, head = World(spark, sf), _head(spark, sf)
+    told = head.select("channel_id", "d", F.lit(0.5).alias("bias"), F.array(verdicts.sign(
+        "fault_ev_7d", "отказы", F.lit(1.0), F.lit(0.5), F.lit("проверка"), F.lit(None).cast("string"))).alias("evidence"),
+        F.lit(None).cast("string").alias("counterfactual"))
+    rows = verdicts.failure_verdicts(head, told, samples.smoke_long(spark, sf), Heat(spark, sf).state, w.fact, w.dim)
+    return tidy(rows.select("channel_id", "d", "object_id", "object_name", "picket", "probability", "location",
+                            F.transform("evidence", lambda e: e["phrase"]).alias("evidence"), "negatives", "blind_spots", "precedent",
+                            "recommendation"))
+
+
 @query("v8_failure_cards")
 def v8(spark, sf):
     return flat_evidence(failure_cards(spark, sf))
