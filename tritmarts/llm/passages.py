@@ -148,6 +148,20 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
                                       names=["a", "b"])
 
 
+def shared_buckets(classes: DataFrame) -> DataFrame:
+    """(band, value, digest) of the buckets of ``classes`` (digest, bands) with more than one class.
+
+    Of buckets with the same members, which near copies give in most bands, one is enough.
+    """
+    buckets = classes.select("digest", F.posexplode("bands").alias("band", "value"))
+    mark = F.xxhash64("digest")
+    shared = buckets.groupBy("band", "value").agg(
+        F.count("*").alias("n"), F.bit_xor(mark).alias("x"), F.sum(mark.cast("decimal(20,0)")).alias("y"),
+        F.min("digest").alias("low"), F.max("digest").alias("high")).where("n > 1")
+    one = shared.groupBy("n", "x", "y", "low", "high").agg(F.min(F.struct("band", "value")).alias("at")).select("at.*")
+    return buckets.join(one, ["band", "value"])
+
+
 def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS) -> DataFrame:
     """Paragraphs of ``docs`` (doc_id, text) that occur, alike to the threshold, in more than one document.
 
@@ -162,9 +176,7 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, least_words
     classes = written(lines.groupBy("digest").agg(F.min(F.struct("doc_id", "paragraph")).alias("first"), F.min("doc_id").alias("low"),
                                                   F.max("doc_id").alias("high"), F.count_if(F.col("doc_id").isNull()).alias("unnamed"),
                                                   F.min("bands").alias("bands")), "paragraph_classes")
-    buckets = classes.select("digest", F.posexplode("bands").alias("band", "value"))
-    shared = buckets.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select("band", "value")
-    met = written(buckets.join(shared, ["band", "value"]), "paragraph_buckets")
+    met = written(shared_buckets(classes), "paragraph_buckets")
     sets = lines.join(met.select("digest").distinct(), "digest", "left_semi").select("digest", "shingles").dropDuplicates(["digest"])
     links = (met.join(sets, "digest").repartition("band", "value").sortWithinPartitions("band", "value", "digest")
              .mapInArrow(_links_of_runs(threshold), "a long, b long"))
