@@ -2,7 +2,7 @@
 
 The trees of a host's pages are merged: elements with the same chain of tags and
 names become one tree node.  A node's presentation (the sequence of its children) and its
-content (the text below it) are distributed over the pages that have it; the entropy of either,
+content (the text below it) are distributed over the different pages that have it (copies count once); the entropy of either,
 relative to the greatest possible, is 0 for what all pages share and 1 for what no two
 pages share.  Both are combined to the node's importance.  A branch that is nearly
 constant over the pages of a site whose articles differ is furniture and is removed from
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from tritmarts.llm import dom
 from tritmarts.llm.tables import in_small_batches, row_key, written
 
-#: pages of a host that must have a branch before it is judged
+#: different pages of a host that must have a branch before it is judged
 LEAST_PAGES = 5
 #: a branch below LOW is removed if the site's articles are above HIGH
 LOW = 0.1
@@ -135,15 +135,23 @@ class Page:
 
 def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(key, *b) for key, url, html in zip(batch.column("key").to_pylist(), batch.column("url"), batch.column("html"))
-                for b in Page(url.as_py(), html.as_py()).branches()]
+        rows = []
+        for key, url, html in zip(batch.column("key").to_pylist(), batch.column("url"), batch.column("html")):
+            branches = Page(url.as_py(), html.as_py()).branches()
+            page = _hash(*branches)  # copies of a page share it
+            rows += [(key, *b, page) for b in branches]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows)],
-                                             names=["key", "node", "root", "content", "shape", "kinds"])
+                                             names=["key", "node", "root", "content", "shape", "kinds", "page"])
 
 
 def style_tree(features: DataFrame) -> DataFrame:
-    """(node, root, pages, importance) of the merged tree, from one row (key, node, root, content, shape, kinds) a page and node."""
+    """(node, root, pages, importance) of the merged tree, from one row (node, root, content, shape, kinds, page) a page and node.
+
+    Copies of a page, equal in ``page``, count once.
+    """
+    features = features.select("node", "root", "content", "shape", "kinds", "page").distinct()
+
     def spread(value: str) -> DataFrame:
         counts = features.groupBy("node", "root", value).agg(F.count("*").alias("c"), F.sum("kinds").alias("k"))
         pages = F.sum("c")
@@ -160,7 +168,7 @@ def noise_of_pages(pages: DataFrame) -> DataFrame:
     """(key, noise): for pages with low-importance branches the tree nodes to remove."""
     features = written(in_small_batches(pages).select(row_key("page_id", "url", "html").alias("key"), F.col("url").cast("string"),
                                     F.col("html").cast("string")).mapInArrow(
-        _branches, "key long, node long, root long, content long, shape long, kinds long"), "branches")
+        _branches, "key long, node long, root long, content long, shape long, kinds long, page long"), "branches")
     tree = written(style_tree(features), "style_tree")
     roots = tree.where("node = root").where(F.col("importance") >= HIGH).select("root")
     low = tree.where("node <> root").where((F.col("importance") < LOW) & (F.col("pages") >= LEAST_PAGES))
