@@ -24,10 +24,13 @@ from tritmarts.llm.tables import in_small_batches
 GRAMS = 4
 BINS = 1 << 16
 #: bounds of the sample: rows a language is learned from at most, rows in all (but MIN_ROWS a language), landmarks
-MAX_ROWS = 500
-TOTAL_ROWS = 2000
+MAX_ROWS = 800
+TOTAL_ROWS = 3200
 MIN_ROWS = 20
-LANDMARKS = 160
+LANDMARKS = 256
+#: with many languages LANDMARKS grows to this many a language, to MOST_LANDMARKS (of BINS x 4 bytes) at most
+LANGUAGE_LANDMARKS = 4
+MOST_LANDMARKS = 1024
 RIDGE = 0.3
 FOLDS = 5
 #: texts scored at once
@@ -77,6 +80,7 @@ def fit(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge: f
     for i, (lang, _) in enumerate(rows):
         order.append((place[lang], lang, i))
         place[lang] += 1
+    landmarks = max(landmarks, min(LANGUAGE_LANDMARKS * len(languages), MOST_LANDMARKS))
     marks = [i for _, _, i in sorted(order)[:landmarks]]
 
     def unit(part: list[int]) -> np.ndarray:
