@@ -138,12 +138,24 @@ def learn(docs: DataFrame) -> Model:
     return fit([(lang, np.frombuffer(b, np.uint8)) for lang, place, b in sorted(rows, key=lambda r: (r[1], r[0], r[2]))])
 
 
-def _predicted(model: Model, names: list[str]):
+def sureness(values: np.ndarray) -> np.ndarray:
+    """How far the best of a text's values (a row each) stands out, whatever the number of languages.
+
+    0 if all languages are alike to the text, 1 if the best is at its target and the others at theirs (1
+    and -1).  With one language it is the value itself, 0 for a text of which it has seen nothing.
+    """
+    n = values.shape[1]
+    best = values.max(axis=1).astype(np.float64)
+    ahead = best if n == 1 else (best - values.mean(axis=1, dtype=np.float64)) * n / (2 * (n - 1))
+    return np.clip(ahead, 0, 1)
+
+
+def _predicted(model: Model, names: list[str], sure_too: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages = np.array([*model.languages, UNKNOWN], object)
         for batch in batches:
             best = np.full(batch.num_rows, len(model.languages))
-            score = np.zeros(batch.num_rows)
+            score, sure = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             texts = batch.column("text")
             for at in range(0, batch.num_rows if model.languages else 0, BATCH):
                 found = [(i, p) for i in range(at, min(at + BATCH, batch.num_rows))
@@ -153,22 +165,23 @@ def _predicted(model: Model, names: list[str]):
                     block = np.stack([p for _, p in found]).astype(np.float32)
                     values = block @ model.weights / np.sqrt(block.sum(axis=1, keepdims=True))
                     best[rows] = values.argmax(axis=1)
+                    sure[rows] = sureness(values)
                     score[rows] = np.clip((1 + values.max(axis=1).astype(np.float64)) / 2, 0, 1)
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names],
-                                              pa.array(languages[best], pa.string()), pa.array(score)],
-                                             names=[*names, "lang_pred", "score"])
+                                              pa.array(languages[best], pa.string()), pa.array(score), *[pa.array(sure)] * sure_too],
+                                             names=[*names, "lang_pred", "score", *["sure"] * sure_too])
 
     return run
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """(row, lang_pred, score): the whole document with its language; a text that is null or has no letters is ``und``, 0.
+    """(row, lang_pred, score, sure): the whole document with its language; a text that is null or has no letters is ``und``, 0, 0.
 
     Only the text is used.  Texts are read whole; equal texts get equal answers.
     """
     rows = in_small_batches(docs).select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_predicted(model, ["row"]), f"row {kind}, lang_pred string, score double")
+    return rows.mapInArrow(_predicted(model, ["row"], True), f"row {kind}, lang_pred string, score double, sure double")
 
 
 def report(docs: DataFrame) -> DataFrame:
