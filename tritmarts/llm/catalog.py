@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tritmarts.llm import embedding_dedup, language, mixing, oracles, packing, passages, rabitq, runs, secrets, simhash, sitetree, warc
+from tritmarts.llm import bpe, embedding_dedup, language, mixing, oracles, packing, passages, rabitq, runs, secrets, simhash, sitetree, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,8 @@ def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.repeated_runs(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
