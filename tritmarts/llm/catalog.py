@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tritmarts.llm import bpe, embedding_dedup, language, mixing, oracles, packing, passages, rabitq, runs, secrets, simhash, sitetree, spellings, warc
+from tritmarts.llm import bpe, divergence, embedding_dedup, language, mixing, oracles, packing, passages, rabitq, runs, secrets, simhash, sitetree, spellings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,8 @@ def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracles.OP12)
 def op12_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spellings.variants(table(spark, sf_dir, "documents"))
+
+
+@query(oracles.OP11)
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))

@@ -187,3 +187,39 @@ walk(word, place, step) AS (
 roots AS (SELECT word, max_by(place, step) AS root FROM walk GROUP BY word)
 SELECT word, form, root, n, n_near, form_n FROM told JOIN roots USING (word)
 """
+
+#: runs of letters A to Z in either case and of all that is not ASCII
+_TERM = "[^" + "".join(rf"\x{c:02X}" for c in range(0x80) if not chr(c).isalpha()) + "]+"
+
+OP11 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}') AS terms
+  FROM documents),
+t AS (SELECT rid, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT rid) >= 3),
+lang_sizes AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+cells AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+grp AS (
+  SELECT lang, source, coalesce(x.n, 0) AS n, coalesce(v, 0) AS v
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS n FROM cells GROUP BY ALL) x USING (lang, source)
+  LEFT JOIN lang_sizes USING (lang)),
+p AS (
+  SELECT grp.lang, grp.source, kept.term, coalesce(cells.n, 0) AS n,
+         1 + 1000000000::HUGEINT * (coalesce(cells.n, 0) + 1) // (grp.n + grp.v)::HUGEINT AS p,
+         1 + 1000000000::HUGEINT * (kept.n + 1) // (s.n + s.v)::HUGEINT AS usual
+  FROM grp JOIN kept ON grp.lang = kept.lang JOIN lang_sizes s ON s.lang = grp.lang
+  LEFT JOIN cells ON cells.lang = grp.lang AND cells.source = grp.source AND cells.term = kept.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  UNION ALL
+  SELECT a.lang, a.source, b.source, 0 FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source WHERE a.v = 0),
+told AS (
+  SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - usual) * (p - usual) // usual)::BIGINT FROM p WHERE n > 0 AND p > usual),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM told)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
