@@ -4,8 +4,8 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 from tests.llm.test_packing import check_layout, one_by_one
+from tests.llm.test_near_texts import plain_groups
 from tests.llm.test_secrets import plain as plain_secrets
-from tests.llm.test_simhash import plain_components, plain_fingerprint
 from tritmarts.llm import secrets
 from tritmarts.llm.tables import written
 
@@ -26,9 +26,7 @@ def test_stages(spark):
     assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in kept.collect()} == {9001, 9002, 9003}
 
     single = written(stages["near_duplicates"](spark, kept, SF), "test_single")
-    rows = [r for r in kept.collect() if r.doc_id is not None]
-    prints = {r.doc_id: plain_fingerprint(r.text) for r in rows}
-    roots = plain_components(prints, 4)
+    roots = plain_groups({r.doc_id: r.text for r in kept.collect() if r.doc_id is not None})
     assert single.columns == docs.columns
     assert Counter(r.doc_id for r in single.collect() if r.doc_id is not None) == Counter(set(roots.values()))
 
