@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tritmarts.operators.marts import failures
 from tritmarts.settings import Labelling
 
+NO_FAILURE = 2**31 - 1
+
 
 def sweep_days(fact: DataFrame, dim: DataFrame, cfg: Labelling = Labelling()) -> DataFrame:
     """Days on which many channels of one controller fail together."""
@@ -69,6 +71,35 @@ def labels(days: DataFrame, fact: DataFrame, dim: DataFrame, sweeps: DataFrame,
             .select("channel_id", "d", F.coalesce("_hit", F.lit(0)).alias("y")))
 
 
+def days_to_failure(days: DataFrame, fact: DataFrame, dim: DataFrame, sweeps: DataFrame) -> DataFrame:
+    """(channel_id, d, ahead): days until the channel fails next outside sweeps, ``NO_FAILURE`` if it never does.
+
+    One pass over the channel's days from the last to the first carries the
+    nearest failing day, so every horizon is a comparison: y = 1 when ahead <= its
+    days.  Failing days off the grid count, repeated days of the grid stay.
+    """
+    own = (fact.filter(failures() > 0).select("channel_id", "d")
+           .join(dim.select("channel_id", "tag_base"), "channel_id")
+           .join(sweeps.select("tag_base", "d"), ["tag_base", "d"], "left_anti"))
+    both = days.select("channel_id", "d", F.lit(True).alias("_grid")).unionByName(
+        own.select("channel_id", "d", F.lit(False).alias("_grid")))
+    # days are compared as numbers, so that rows of one day do not see each other
+    later = (Window.partitionBy("channel_id").orderBy(F.unix_date("d").desc())
+             .rangeBetween(Window.unboundedPreceding, -1))
+    failing = F.min(F.when(~F.col("_grid"), F.col("d"))).over(later)
+    ahead = F.coalesce(F.datediff(failing, "d"), F.lit(NO_FAILURE))
+    return both.select("channel_id", "d", "_grid", ahead.alias("ahead")).filter("_grid").drop("_grid")
+
+
+def labels_within(ahead: DataFrame, cfg: Labelling = Labelling()) -> DataFrame:
+    """Labels of one horizon from ``days_to_failure``."""
+    return ahead.select("channel_id", "d", within(F.col("ahead"), cfg.horizon_days).alias("y"))
+
+
+def within(ahead: Column, days: int) -> Column:
+    return (ahead <= days).cast("int")
+
+
 def label_balance(y: DataFrame) -> DataFrame:
     weekend = F.dayofweek("d").isin(1, 7)
     hits = F.sum("y")

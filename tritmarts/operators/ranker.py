@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     LogisticRegression, RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -11,6 +15,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tritmarts import fixed_values as fv
 from tritmarts.functions.attach import with_row
+from tritmarts.functions.written import written
+from tritmarts.operators.labels import within
 from tritmarts.settings import Modelling
 from tritmarts.sources.literal import inline_table
 
@@ -70,12 +76,16 @@ def balanced(train: DataFrame) -> DataFrame:
 
 
 def train_forest(train: DataFrame, cfg: Modelling = Modelling()) -> RandomForestClassificationModel:
-    """Class-balanced random forest on prepared rows."""
+    """Class-balanced random forest on prepared rows.
+
+    Rows keep the node they have reached in each tree, so that no level walks the trees from
+    the root again or sends them along with its tasks.
+    """
     rows = balanced(assemble(train)).select("features", F.col("y").cast("double").alias("y"), "weight")
     return RandomForestClassifier(
         featuresCol="features", labelCol="y", weightCol="weight", numTrees=cfg.trees, maxDepth=cfg.depth,
         minInstancesPerNode=cfg.min_leaf, featureSubsetStrategy="sqrt", seed=cfg.seed,
-        maxMemoryInMB=1024).fit(rows)
+        maxMemoryInMB=1024, cacheNodeIds=True).fit(rows)
 
 
 def train_linear(train: DataFrame) -> PipelineModel:
@@ -87,6 +97,54 @@ def train_linear(train: DataFrame) -> PipelineModel:
     return Pipeline(stages=[scale, fit]).fit(rows)
 
 
+def horizon_matrix(features: DataFrame, horizon_days: Sequence[int], cfg: Modelling = Modelling()) -> DataFrame:
+    """One prepared matrix for all horizons, from features whose y is the days to the next failure.
+
+    Per horizon of n days a label ``y_n`` and, in ``train_n``, whether the row is
+    trained on: the split and the thinning of ``temporal_split`` for that label.
+    The rates of all horizons come from one aggregate of one row.
+    """
+    train, test = _between(cfg.train_from, cfg.train_to), _between(cfg.test_from, cfg.test_to)
+    hits = {n: within(F.col("y"), n) for n in horizon_days}
+
+    def limit(hit: Column) -> Column:
+        pos, neg = F.count_if(hit == 1), F.count_if(hit == 0)
+        rate = F.least(pos * cfg.negatives_per_positive, neg) / F.nullif(neg, F.lit(0))
+        return F.floor(rate * BUCKETS)
+
+    limits = features.filter(train).agg(*[limit(hit).alias(f"_limit_{n}") for n, hit in hits.items()])
+    bucket = sample_bucket()
+    told = with_row(features.filter(train | test), limits).select(
+        "channel_id", "d", *fv.FEATURE_NAMES, test.alias("is_test"), *[hit.alias(f"y_{n}") for n, hit in hits.items()],
+        *[(train & ((hit == 1) | (bucket < F.col(f"_limit_{n}")))).alias(f"train_{n}") for n, hit in hits.items()])
+    wanted = F.col("is_test")
+    for n in horizon_days:
+        wanted = wanted | F.coalesce(F.col(f"train_{n}"), F.lit(False))
+    return prepare(told.filter(wanted), cfg.missing)
+
+
+def horizon_sweep(features: DataFrame, horizon_days: Sequence[int], cfg: Modelling = Modelling(),
+                  train: Callable[[DataFrame, Modelling], object] | None = None) -> dict[int, DataFrame]:
+    """Scored test rows (channel_id, d, y, score) per horizon, one forest each, all from one written matrix.
+
+    The forests are fitted side by side: a level of a forest over a thinned sample is too small
+    a job to fill a cluster.
+    """
+    fit = train or train_forest
+    matrix = written(horizon_matrix(features, horizon_days, cfg), "horizon_matrix")
+
+    def one(n: int) -> DataFrame:
+        rows = matrix.withColumnRenamed(f"y_{n}", "y")
+        part = rows.filter(f"train_{n}").select("channel_id", "d", "y", *fv.FEATURE_NAMES).persist()
+        model = fit(part, cfg)
+        part.unpersist()
+        test = rows.filter("is_test").select("channel_id", "d", "y", *fv.FEATURE_NAMES)
+        return written(score(model, test).select("channel_id", "d", "y", "score"), f"scored_horizon_{n}")
+
+    with ThreadPool(len(horizon_days)) as pool:
+        return dict(zip(horizon_days, pool.map(inheritable_thread_target(features.sparkSession)(one), horizon_days)))
+
+
 def save_model(model: RandomForestClassificationModel, path: str) -> None:
     """Write a trained forest, so that later days are scored without training again."""
     model.write().overwrite().save(path)

@@ -65,6 +65,10 @@ class World:
         return self._stored("labels", lambda: labels.labels(
             self.grid, self.fact, self.dim, self.sweeps, self.cfg))
 
+    @property
+    def ahead(self):
+        return self._stored("days_to_failure", lambda: labels.days_to_failure(self.grid, self.fact, self.dim, self.sweeps))
+
     @property
     def features(self):
         return self._stored("features", lambda: features.feature_matrix(
@@ -597,27 +601,11 @@ HORIZONS = (24, 72, 168, 336)
 
 @query("m9_horizon_sweep", with_parts(" UNION ALL ".join(map(_horizon_sql, HORIZONS))))
 def m9(spark, sf):
-    return tidy(_stated(ranker_sweep(spark, sf)))
-
-
-def ranker_sweep(spark, sf, hours=HORIZONS):
-    """Relabel, retrain and measure for each horizon."""
-    out = None
-    for h in hours:
-        world = World(spark, sf, Labelling(**{**CFG.__dict__, "horizon_hours": h}))
-        rows = ranker.prepare(ranker.temporal_split(world.features, FIT))
-        train = rows.filter("part = 'train'").persist()
-        model = ranker.train_forest(train, FIT)
-        train.unpersist()
-        test = stored(spark, sf, world.name(f"scored_horizon_{h}"), lambda m=model, r=rows: ranker.score(m, r.filter("part = 'test'")).select("channel_id", "d", "y", "score"))
-        cut = scores.threshold_for_precision(test, FIT.target_precision)
-        more = cut.select(F.explode(F.create_map(
-            F.lit("target_precision_achieved"), F.col("achieved").cast("double"),
-            F.lit("best_precision"), F.col("precision"),
-            F.lit("recall_at_best"), F.col("recall"))).alias("metric", "value"))
-        one = scores.ranking_metrics(test).unionByName(more).withColumn("horizon_hours", F.lit(h))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Relabel, retrain and measure for each horizon, from one matrix."""
+    world = World(spark, sf)
+    matrix = features.feature_matrix(world.ahead.withColumnRenamed("ahead", "y"), world.fact, world.dim, world.profile, world.domains)
+    scored = ranker.horizon_sweep(matrix, [h // 24 for h in HORIZONS], FIT)
+    return tidy(_stated(scores.horizon_metrics(scored, FIT.target_precision)))
 
 
 @query("x1_path_contributions", with_parts(f"SELECT channel_id, d, true AS additive {TEST_KEYS}"))
