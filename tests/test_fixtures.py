@@ -82,7 +82,7 @@ def test_running_totals_at_two_partition_counts(spark):
     try:
         for parts in (1, 7):
             spark.conf.set("spark.sql.shuffle.partitions", parts)
-            out = running_totals(df, ["a", "b"], [F.col("i")], ["v"], key=["k"])
+            out = running_totals(df, [F.col("a"), F.col("b"), F.col("i")], ["v"], key=["k"])
             assert out.columns == [*df.columns, "v_cum"] and {r.i: r.v_cum for r in out.collect()} == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)

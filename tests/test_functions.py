@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from tritmarts import fixed_values as fv
 from tritmarts.functions import text, trits
 from tritmarts.functions.numbers import clock, measured, moment, to_number
-from tritmarts.functions.ordering import descending_cells, running_totals, with_neighbour
+from tritmarts.functions import ordering
+from tritmarts.functions.ordering import running_totals, with_neighbour
 
 
 def column(spark, rows, schema, *exprs):
@@ -98,11 +99,47 @@ def test_neighbour_across_segments_matches_brute_force(spark, parts):
 
 def test_running_totals_match_a_global_sort(spark):
     rows = [(i, (i * 7919 % 101) / 101.0, i % 3) for i in range(400)]
-    coarse, fine = descending_cells(F.col("s"), bits=3)
-    df = spark.createDataFrame(rows, "id int, s double, n int").withColumn("a", coarse).withColumn("b", fine)
-    got = {r.id: r.n_cum for r in running_totals(df, ["a", "b"], [F.col("s").desc(), F.col("id")], ["n"]).collect()}
+    df = spark.createDataFrame(rows, "id int, s double, n int")
+    got = {r.id: r.n_cum for r in running_totals(df, [F.col("s").desc(), F.col("id")], ["n"]).collect()}
     total, want = 0, {}
     for i, _, n in sorted(rows, key=lambda r: (-r[1], r[0])):
         total += n
         want[i] = total
     assert got == want
+
+
+def exchanges(df):
+    """Exchanges of the plan, and of the plans of tables written on the way."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange " in line]
+
+
+def test_running_totals_move_rows_twice(spark, monkeypatch):
+    """Dealt by ranges once and by slices once, for one sort column or five; the sums of slices move beside."""
+    plans = []
+    plain = ordering.written
+    monkeypatch.setattr(ordering, "written", lambda df, name: (plans.append(df), plain(df, name))[1])
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for width in (1, 5):
+            df = spark.range(1000).select("id", F.lit("k").alias("k"), *[F.pmod("id", F.lit(w + 2)).alias(f"o{w}") for w in range(width)])
+            out = running_totals(df, [F.col(f"o{w}") for w in range(width)] + [F.col("id")], ["id"], key=["k"])
+            assert len(exchanges(plans[-1])) == 1
+            # the rows by slice; the sums by slice, then by key to see what is before, then back to the rows
+            assert len(exchanges(out)) == 4
+            assert [r.id_cum for r in out.orderBy(F.desc("id_cum")).limit(1).collect()] == [999 * 500]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_one_hot_key_is_many_slices(spark):
+    rows = spark.range(20_000).select("id", F.lit("hot").alias("k"), F.lit(1).cast("long").alias("one"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dealt = running_totals(rows, [F.col("id")], ["one"], key=["k"])
+        assert dealt.where("one_cum <> id + 1").count() == 0
+        slices = rows.repartitionByRange("k", "id").withColumn("s", F.spark_partition_id()).groupBy("s").count().collect()
+        assert len(slices) == 4 and max(r["count"] for r in slices) < 10_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)

@@ -1,8 +1,8 @@
 """Ordered computations that stay distributed when one key is hot.
 
 A plain window over a hot key (or over no key at all) puts all of its rows in
-one task.  Both helpers here cut the order into deterministic segments, work
-inside a segment, and carry a small per-segment summary across.
+one task.  Both helpers here cut the order into segments, work inside a segment,
+and carry a small per-segment summary across.
 """
 
 from __future__ import annotations
@@ -36,51 +36,20 @@ def with_neighbour(df: DataFrame, key: Sequence[str], segment: str, order: Seque
             .drop("_near", "_carried"))
 
 
-def running_totals(df: DataFrame, levels: Sequence[str], order: Sequence[Column],
-                   measures: Sequence[str], key: Sequence[str] = (), suffix: str = "_cum") -> DataFrame:
-    """Inclusive running sums of ``measures`` per ``key`` in the order levels..., order...
+def running_totals(df: DataFrame, order: Sequence[Column], measures: Sequence[str], key: Sequence[str] = (),
+                   suffix: str = "_cum") -> DataFrame:
+    """Inclusive running sums of ``measures`` per ``key`` (non-null columns) in the given order.
 
-    ``levels`` and ``key`` are non-null columns from coarse to fine.  Rows are folded once to sums
-    per finest cell, a written table; the offsets of all levels come from it, and one
-    join brings them to the rows.  Only a finest cell is windowed row by row, so no task
-    sees more than one cell plus one row per sibling.
+    Rows are dealt by ranges of (key, order) and written with the number of their slice, so a hot
+    key is as many slices as its rows fill, and only rows that are equal in the whole order share one.
+    A slice is summed row by row in one task; what lies before it comes from the sums of slices, one
+    row per key and slice.  Two exchanges of the rows, whatever the order is made of.
     """
-    if not levels:
-        inside = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.select("*", *[F.sum(m).over(inside).alias(f"{m}{suffix}") for m in measures])
-    cell = [*key, *levels]
-    sums = written(df.groupBy(*cell).agg(*[F.sum(m).alias(f"_t_{m}") for m in measures]), "cells")
-    offsets = sums.select(*cell)
-    for depth in reversed(range(len(levels))):
-        keys = [*key, *levels[: depth + 1]]
-        siblings = (Window.partitionBy(*keys[:-1]).orderBy(levels[depth])
-                    .rowsBetween(Window.unboundedPreceding, -1))
-        before = [F.coalesce(F.sum(f"_t_{m}").over(siblings), F.lit(0)).alias(f"_o{depth}_{m}") for m in measures]
-        offsets = offsets.join(sums.select(*keys, *before), keys)
-        sums = sums.groupBy(*keys[:-1]).agg(*[F.sum(f"_t_{m}").alias(f"_t_{m}") for m in measures])
-    total = [sum((F.col(f"_o{d}_{m}") for d in range(len(levels))), F.lit(0)).alias(f"_o_{m}") for m in measures]
-    inside = Window.partitionBy(*cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = df.select("*", *[F.sum(m).over(inside).alias(f"_w_{m}") for m in measures]).join(offsets.select(*cell, *total), cell)
+    place = [*key, "_slice"]
+    dealt = written(df.repartitionByRange(*[F.col(k) for k in key], *order).withColumn("_slice", F.spark_partition_id()), "slices")
+    earlier = Window.partitionBy(*key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy(*place).agg(*[F.sum(m).alias(f"_t_{m}") for m in measures]).select(
+        *place, *[F.coalesce(F.sum(f"_t_{m}").over(earlier), F.lit(0)).alias(f"_o_{m}") for m in measures])
+    inside = Window.partitionBy(*place).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = dealt.select("*", *[F.sum(m).over(inside).alias(f"_w_{m}") for m in measures]).join(offsets, place)
     return rows.select(*df.columns, *[(F.col(f"_w_{m}") + F.col(f"_o_{m}")).alias(f"{m}{suffix}") for m in measures])
-
-
-def descending_cells(value: Column, bits: int = 12) -> tuple[Column, Column]:
-    """Two digit columns that order values of [0, 1] from high to low.
-
-    Each digit has at most 2**bits + 1 values, which bounds every offset window
-    built on it.
-    """
-    base = 1 << bits
-    key = F.lit(base * base) - F.floor(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)) * base * base)
-    key = key.cast("bigint")
-    return F.floor(key / base).cast("int"), F.pmod(key, F.lit(base)).cast("int")
-
-
-def spread_digits(value: Column, bits: int = 12) -> tuple[Column, Column, Column, Column, Column]:
-    """Digit columns that order a long from low to high, each with at most 2**bits (the first 2**(64 - 4 * bits)) values.
-
-    They split a run of ties on other columns by an id, so that no window sees a whole run.
-    """
-    base = 1 << bits
-    low = [F.shiftright(value, i * bits).bitwiseAND(F.lit(base - 1)).cast("int") for i in range(4)]
-    return (F.shiftright(value, 4 * bits).cast("int"), *reversed(low))

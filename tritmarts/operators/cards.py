@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tritmarts import fixed_values as fv
 from tritmarts.functions import text
 from tritmarts.functions.numbers import moment
-from tritmarts.functions.ordering import descending_cells, running_totals, spread_digits
+from tritmarts.functions.ordering import running_totals
 from tritmarts.operators.marts import failures
 from tritmarts.operators import cascades
 from tritmarts.operators.verdicts import said
@@ -196,16 +196,12 @@ def multicards(cards: DataFrame) -> DataFrame:
 def ranked_cards(cards: DataFrame, tie: str = "id") -> DataFrame:
     """Cards with their place inside the object, riskiest first.
 
-    Places are running totals over risk cells, then over the exact risk and the digits of
-    the integer ``tie``, so an object of any size, and any number of cards of one risk, is
-    ranked by many tasks.
+    Places are running totals over risk and ``tie``, so an object of any size, and any number
+    of cards of one risk, is ranked by many tasks.
     """
-    coarse, fine = descending_cells(F.col("probability"))
-    digits = spread_digits(F.col(tie).cast("long"))
-    levels = {"_c1": coarse, "_c2": fine, "_c3": -F.col("probability"), **{f"_d{i}": d for i, d in enumerate(digits)}}
-    rows = cards.withColumns({"object_name": _object_key(), **levels, "place": F.lit(1).cast("bigint")})
-    return (running_totals(rows, list(levels), [F.col("probability").desc(), F.col(tie)], ["place"], key=["object_name"])
-            .drop(*levels, "place").withColumnRenamed("place_cum", "place"))
+    rows = cards.withColumns({"object_name": _object_key(), "place": F.lit(1).cast("bigint")})
+    return (running_totals(rows, [F.col("probability").desc(), F.col(tie)], ["place"], key=["object_name"])
+            .drop("place").withColumnRenamed("place_cum", "place"))
 
 
 def card_pages(cards: DataFrame, tie: str = "id", page_size: int = Cards.page_size) -> DataFrame:
@@ -271,13 +267,10 @@ def multicard_documents(cards: DataFrame, cfg: Cards = Cards()) -> DataFrame:
 def _paged(rows: DataFrame, fields: list[str], size: int, name: str) -> DataFrame:
     """Rows of each object gathered in time order into lists of at most ``size``, by part.
 
-    Places are running totals over days, then hours of the stamps, never over a whole object.
+    Places are running totals over slices of the order, never over a whole object.
     """
-    stamp = F.coalesce(F.col(fields[0]), F.lit(""))
-    levels = {"_day": F.substring(stamp, 1, 10), "_hour": F.substring(stamp, 12, 2), "_rest": F.substring(stamp, 15, 5)}
     order = [F.col(f) for f in fields if f != "pickets"]
-    placed = running_totals(rows.withColumns({**levels, "_one": F.lit(1).cast("bigint")}), list(levels), order, ["_one"],
-                            key=["object_name"])
+    placed = running_totals(rows.withColumn("_one", F.lit(1).cast("bigint")), order, ["_one"], key=["object_name"])
     return (placed.withColumn("part", F.floor((F.col("_one_cum") - 1) / size).cast("int")).groupBy("object_name", "part")
             .agg(F.transform(F.sort_array(F.collect_list(F.struct("_one_cum", F.struct(*fields).alias("e")))),
                              lambda x: x["e"]).alias(name)))

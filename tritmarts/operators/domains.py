@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tritmarts import fixed_values as fv
-from tritmarts.functions.ordering import descending_cells, running_totals
+from tritmarts.functions.ordering import running_totals
 from tritmarts.functions.written import written
 from tritmarts.settings import Cards
 
@@ -36,8 +36,8 @@ def twin_synchrony(dim: DataFrame, fact: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("d")).alias("h1"), F.bit_xor(F.xxhash64("d", F.lit(1))).alias("h2"))
     same_days = ["twin_group", "k", "h1", "h2"]
     classes = (days_of.groupBy(*same_days).agg(F.count(F.lit(1)).alias("size"), F.min("channel_id").alias("channel_id"))
-               .withColumn("one", F.lit(1).cast("bigint")).withColumn("cell", F.pmod("h1", F.lit(1024))))
-    numbered = written(running_totals(classes, ["cell"], [F.col("k"), F.col("h1"), F.col("h2")], ["one"], key=["twin_group"])
+               .withColumn("one", F.lit(1).cast("bigint")))
+    numbered = written(running_totals(classes, [F.col("k"), F.col("h1"), F.col("h2")], ["one"], key=["twin_group"])
                        .select("twin_group", "channel_id", "size", F.floor((F.col("one_cum") - 1) / _BLOCK).alias("block"),
                                F.pmod(F.col("one_cum") - 1, F.lit(_BLOCK)).cast("int").alias("bit")), "twin_classes")
     active = days.select("twin_group", "channel_id", "d").join(numbered, ["twin_group", "channel_id"])
@@ -60,16 +60,14 @@ def twin_synchrony(dim: DataFrame, fact: DataFrame) -> DataFrame:
 
 
 def synchrony_buckets(sync: DataFrame) -> DataFrame:
-    """Groups, pairs and the median rate per bucket; the median is picked by rank over rate cells."""
+    """Groups, pairs and the median rate per bucket; the median is picked by rank over distinct rates."""
     bucket = None
     for floor, label in fv.SYNC_BUCKETS:
         bucket = (F if bucket is None else bucket).when(F.col("sync_rate") >= floor, F.lit(label))
     rows = sync.select(F.coalesce(bucket, F.lit("")).alias("bucket"), "sync_rate", "n_pairs")
     totals = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("groups"), F.sum("n_pairs").alias("pairs"))
-    coarse, fine = descending_cells(F.col("sync_rate"))
-    folded = (rows.groupBy("bucket", "sync_rate").agg(F.count(F.lit(1)).alias("n"))
-              .withColumn("_c1", coarse).withColumn("_c2", fine))
-    ranked = running_totals(folded, ["_c1", "_c2"], [F.col("sync_rate").desc()], ["n"], key=["bucket"]).join(totals, "bucket")
+    folded = rows.groupBy("bucket", "sync_rate").agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_totals(folded, [F.col("sync_rate").desc()], ["n"], key=["bucket"]).join(totals, "bucket")
     holds = lambda place: (F.col("n_cum") >= place) & (F.col("n_cum") - F.col("n") < place)
     low, high = F.floor((F.col("groups") + 1) / 2), F.floor(F.col("groups") / 2) + 1
     middle = ranked.groupBy("bucket").agg(((F.max(F.when(holds(low), F.col("sync_rate"))) + F.max(F.when(holds(high), F.col("sync_rate"))))

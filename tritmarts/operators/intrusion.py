@@ -10,9 +10,6 @@ from tritmarts.functions.numbers import epoch_second
 from tritmarts.functions.ordering import running_totals, with_neighbour
 from tritmarts.settings import Guarding
 
-DAY = 86400
-
-
 def armed_intervals(journal: DataFrame, dim: DataFrame) -> DataFrame:
     """Half-open intervals of guard mode; the open last one is dropped.
 
@@ -59,8 +56,8 @@ def _guard_states(triggers: DataFrame, intervals: DataFrame, health: DataFrame)
     none = [F.lit(0).alias(s) for s in _STATES]
     asked = triggers.filter("object_id IS NOT NULL").select("object_id", "ts", *none, F.lit(True).alias("asked"))
     steps = marks.unionByName(asked).groupBy("object_id", "ts").agg(
-        *[F.sum(s).alias(s) for s in _STATES], F.bool_or("asked").alias("asked")).withColumn("day", F.floor(F.col("ts") / DAY))
-    swept = running_totals(steps, ["day"], [F.col("ts")], _STATES, key=["object_id"])
+        *[F.sum(s).alias(s) for s in _STATES], F.bool_or("asked").alias("asked"))
+    swept = running_totals(steps, [F.col("ts")], _STATES, key=["object_id"])
     return swept.filter("asked").select("object_id", "ts", *[F.col(f"{s}_cum").alias(s) for s in _STATES])
 
 

@@ -34,21 +34,12 @@ def channel_dimension(channels: DataFrame, objects: DataFrame) -> DataFrame:
 def with_twins(dim: DataFrame) -> DataFrame:
     """Channels sharing object, name and type: group size and group number.
 
-    The number is a dense rank in (object, name, type) order.  It is built from
-    distinct keys with running totals per object and growing parts of the name, so no
-    task ranks a whole object even if all of its names begin alike.
+    The number is a dense rank in (object, name, type) order: a running total over distinct
+    keys, so no task ranks a whole object.
     """
-    last = "\U0010ffff"
-    name = F.coalesce("sensor_name", F.lit(last))
-    parts = {"_objs": F.floor(F.coalesce("object_id", F.lit(2 ** 63 - 1)) / 4096), "_obj": F.coalesce("object_id", F.lit(2 ** 63 - 1)),
-             "_p4": F.substring(name, 1, 4), "_p8": F.substring(name, 5, 4), "_p16": F.substring(name, 9, 8)}
-    groups = (dim.groupBy("object_id", "sensor_name", "sensor_type")
-              .agg(F.count(F.lit(1)).alias("twin_count"))
-              .withColumns({**parts, "_one": F.lit(1).cast("bigint")}))
-    groups = written(groups, "twin_groups")
-    ranked = running_totals(groups, list(parts),
-                            [F.col("sensor_name").asc_nulls_last(), F.col("sensor_type").asc_nulls_last()],
-                            ["_one"])
+    groups = dim.groupBy("object_id", "sensor_name", "sensor_type").agg(F.count(F.lit(1)).alias("twin_count"))
+    ranked = running_totals(groups.withColumn("_one", F.lit(1).cast("bigint")),
+                            [F.col(c).asc_nulls_last() for c in ("object_id", "sensor_name", "sensor_type")], ["_one"])
     g = ranked.select(F.col("object_id").alias("_o"), F.col("sensor_name").alias("_n"),
                       F.col("sensor_type").alias("_t"), "twin_count",
                       F.col("_one_cum").alias("twin_group"))
