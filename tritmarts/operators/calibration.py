@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tritmarts import fixed_values as fv
+from tritmarts.functions.quantiles import grouped_quantiles
+from tritmarts.functions.written import written
 
 PROBES = (1, 3, 7, 14, 30)
 
@@ -14,15 +16,23 @@ def _from(day: str) -> Column:
 
 
 def sensor_behaviour(fact: DataFrame, dim: DataFrame, labels: DataFrame, test_from: str) -> DataFrame:
-    """Activity and daily failure rate of each sensor type."""
+    """Activity and daily failure rate of each sensor type.
+
+    A channel's median is over its days, which a calendar bounds; that of a type is over all of
+    its channels and picked by rank.
+    """
     kinds = dim.select("channel_id", "sensor_type")
     life = F.datediff(F.max("d"), F.min("d")) + 1
     span = fact.groupBy("channel_id").agg(
         F.count(F.lit(1)).alias("active"), life.alias("life"), F.avg("n_ev").alias("mean"), F.median("n_ev").alias("med"))
-    activity = (span.join(kinds, "channel_id").groupBy("sensor_type")
+    span = written(span.join(kinds, "channel_id"), "channel_spans")
+    middle = grouped_quantiles(span, ["sensor_type"], F.col("med"), {"median": 0.5})
+    activity = (span.groupBy("sensor_type")
                 .agg(F.count(F.lit(1)).alias("channels"), F.round(F.avg("mean"), 2).alias("events_per_active_day"),
-                     F.round(F.median("med"), 1).alias("median_events"),
-                     F.round(F.avg(F.col("active") / F.col("life")), 4).alias("active_share")))
+                     F.round(F.avg(F.col("active") / F.col("life")), 4).alias("active_share"))
+                .join(middle.withColumnRenamed("sensor_type", "_type"), F.col("sensor_type").eqNullSafe(F.col("_type")), "left")
+                .select("sensor_type", "channels", "events_per_active_day", F.round("median", 1).alias("median_events"),
+                        "active_share"))
     rates = (labels.filter(_from(test_from)).groupBy("channel_id")
              .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).join(kinds, "channel_id").groupBy("sensor_type")
              .agg(F.sum("n").alias("channel_days"), F.sum("y").alias("failures"),
@@ -60,11 +70,18 @@ def instrumentation(dim: DataFrame) -> DataFrame:
     return per.groupBy("n_types").agg(F.count(F.lit(1)).alias("points"), F.sum("n").alias("channels"))
 
 
+def _beside(row: DataFrame, quantiles: DataFrame) -> DataFrame:
+    """The one row of an aggregate with that of its quantiles, which is absent where there are no values."""
+    one = F.lit(1)
+    return row.withColumn("_one", one).join(quantiles.withColumn("_one", one), "_one", "left").drop("_one")
+
+
 def pump_statistics(days: DataFrame) -> DataFrame:
-    return days.filter("n_starts > 0").agg(
-        F.round(F.avg("n_starts"), 2).alias("mean"), F.median("n_starts").alias("median"),
-        F.percentile("n_starts", 0.90).alias("p90"), F.percentile("n_starts", 0.99).alias("p99"),
-        F.max("n_starts").alias("max"))
+    """Starts per active day of all pumps."""
+    active = days.filter("n_starts > 0").select("n_starts")
+    row = active.agg(F.round(F.avg("n_starts"), 2).alias("mean"), F.max("n_starts").alias("max"))
+    ranks = grouped_quantiles(active, [], F.col("n_starts"), {"median": 0.5, "p90": 0.9, "p99": 0.99})
+    return _beside(row, ranks).select("mean", "median", "p90", "p99", "max")
 
 
 def pump_months(days: DataFrame) -> DataFrame:
@@ -81,10 +98,12 @@ def smoke_statistics(candidates: DataFrame) -> DataFrame:
 
 def intrusion_statistics(episodes: DataFrame) -> DataFrame:
     minutes = F.floor(F.col("last_t") / 60) - F.floor(F.col("first_t") / 60)
-    return episodes.agg(
-        F.round(F.avg("n_triggers"), 2).alias("triggers"), F.median("n_triggers").alias("median"),
+    row = episodes.agg(
+        F.round(F.avg("n_triggers"), 2).alias("triggers"),
         F.round(F.avg("n_types"), 2).alias("types"), F.round(F.avg(minutes), 1).alias("minutes"),
         F.round(F.avg(F.when(F.col("is_night"), 1.0).otherwise(0.0)), 4).alias("night_share"))
+    middle = grouped_quantiles(episodes, [], F.col("n_triggers"), {"median": 0.5})
+    return _beside(row, middle).select("triggers", "median", "types", "minutes", "night_share")
 
 
 def temperature_statistics(days: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tritmarts import fixed_values as fv
 from tritmarts.functions.ordering import running_totals
+from tritmarts.functions.quantiles import grouped_quantiles
 from tritmarts.functions.written import written
 from tritmarts.settings import Cards
 
@@ -60,18 +61,13 @@ def twin_synchrony(dim: DataFrame, fact: DataFrame) -> DataFrame:
 
 
 def synchrony_buckets(sync: DataFrame) -> DataFrame:
-    """Groups, pairs and the median rate per bucket; the median is picked by rank over distinct rates."""
+    """Groups, pairs and the median rate per bucket; the median is picked by rank."""
     bucket = None
     for floor, label in fv.SYNC_BUCKETS:
         bucket = (F if bucket is None else bucket).when(F.col("sync_rate") >= floor, F.lit(label))
     rows = sync.select(F.coalesce(bucket, F.lit("")).alias("bucket"), "sync_rate", "n_pairs")
     totals = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("groups"), F.sum("n_pairs").alias("pairs"))
-    folded = rows.groupBy("bucket", "sync_rate").agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_totals(folded, [F.col("sync_rate").desc()], ["n"], key=["bucket"]).join(totals, "bucket")
-    holds = lambda place: (F.col("n_cum") >= place) & (F.col("n_cum") - F.col("n") < place)
-    low, high = F.floor((F.col("groups") + 1) / 2), F.floor(F.col("groups") / 2) + 1
-    middle = ranked.groupBy("bucket").agg(((F.max(F.when(holds(low), F.col("sync_rate"))) + F.max(F.when(holds(high), F.col("sync_rate"))))
-                                           / 2).alias("median_sync"))
+    middle = grouped_quantiles(rows, ["bucket"], F.col("sync_rate"), {"median_sync": 0.5})
     return totals.join(middle, "bucket").select(F.nullif("bucket", F.lit("")).alias("bucket"), "groups", "pairs", "median_sync")
 
 
