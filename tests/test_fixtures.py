@@ -50,6 +50,39 @@ def test_cascades_walk_long_islands_like_one_pass(spark, seed):
     assert sorted((dt.datetime.fromisoformat(r.at), r.n_signs, r.span_seconds) for r in got) == plain_cascades(stamps)
 
 
+def test_an_island_of_many_hours_is_no_group(spark, monkeypatch):
+    """2,000 hours without a gap beyond the window, walked in blocks; the groups handed to Python are blocks."""
+    draw = random.Random(5)
+    at, stamps = dt.datetime(2024, 1, 1), []
+    while at < dt.datetime(2024, 1, 1) + dt.timedelta(hours=2000):
+        at += dt.timedelta(seconds=draw.randint(60, 120))
+        stamps.append(at)
+    sizes = spark.sparkContext.accumulator(0)
+    plain = cascades._exits
+
+    def counted(window, block):
+        inner = plain(window, block)
+
+        def run(pdf):
+            if len(pdf) > 70:
+                sizes.add(1)
+            return inner(pdf)
+        return run
+    monkeypatch.setattr(cascades, "_exits", counted)
+    df = spark.createDataFrame([("o", t.isoformat(), i % 3) for i, t in enumerate(stamps)], "object_name string, ts string, picket int")
+    cfg = Cards(cascade_pickets=1, cascade_points=2)
+    got = cascades.detect_cascades(df, cfg).collect()
+    assert sorted((dt.datetime.fromisoformat(r.at), r.n_signs, r.span_seconds) for r in got) == plain_cascades(stamps, least=2)
+    assert sizes.value == 0 and not hasattr(cascades, "_chain")
+
+
+def test_a_window_longer_than_an_hour(spark):
+    stamps = [dt.datetime(2024, 1, 1) + dt.timedelta(minutes=37 * i) for i in range(60)]
+    df = spark.createDataFrame([("o", t.isoformat(), i) for i, t in enumerate(stamps)], "object_name string, ts string, picket int")
+    got = cascades.detect_cascades(df, Cards(cascade_seconds=5400, cascade_points=2)).collect()
+    assert sorted((dt.datetime.fromisoformat(r.at), r.n_signs, r.span_seconds) for r in got) == plain_cascades(stamps, 5400, 2)
+
+
 def test_due_dates_far_ahead_and_outside_the_calendar(spark):
     rows = spark.createDataFrame([(dt.date(2026, 3, 1), dt.date(2026, 5, 5)), (dt.date(2027, 1, 2), dt.date(2027, 1, 5)), (None, None)], "d date, due date")
     got = {r.d: r.due for r in calendar.adjust_due_dates(rows, calendar.calendar_of(rows)).collect()}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tritmarts.functions import text
 from tritmarts.functions.ordering import with_neighbour
+from tritmarts.functions.written import written
 from tritmarts.operators.verdicts import said
 from tritmarts.settings import Cards
 
@@ -16,6 +17,7 @@ SECOND = 1_000_000
 DAY = 86400 * SECOND
 #: a long island is walked in pieces of this length at once
 BLOCK = 3600 * SECOND
+_PIECE = ["object_name", "island", "block"]
 
 
 def moment(ts: Column) -> Column:
@@ -58,7 +60,7 @@ def _walk(us: np.ndarray, start: int, window: int) -> np.ndarray:
     return anchor
 
 
-def _exits(window: int):
+def _exits(window: int, block: int):
     """For every moment of a block at which the walk can enter it: the last anchor before the walk leaves."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         us = np.sort(pdf["us"].to_numpy())
@@ -68,26 +70,45 @@ def _exits(window: int):
             if after[i] < len(us):
                 last[i] = last[after[i]]
         # an earlier anchor reaches at most one window into the block
-        n = max(1, int(np.searchsorted(us, us[0] - us[0] % BLOCK + window, side="right")) + 1)
-        return pdf.iloc[[0], :][["object_name", "island", "block"]].merge(
-            pd.DataFrame({"entry": us[:n], "last": last[:n]}), how="cross")
+        n = max(1, int(np.searchsorted(us, us[0] - us[0] % block + window, side="right")) + 1)
+        return pdf.iloc[[0], :][_PIECE].merge(pd.DataFrame({"entry": us[:n], "last": last[:n]}), how="cross")
     return run
 
 
-def _chain(window: int):
-    """The moment at which the walk of an island enters each of its blocks, and the anchor it comes with."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, carry = [], None
-        for block, rows in pdf.sort_values(["block", "entry"]).groupby("block"):
-            entry, last = rows["entry"].to_numpy(), rows["last"].to_numpy()
-            at = 0 if carry is None else int(np.searchsorted(entry, carry + window, side="right"))
-            inside = at < len(entry)
-            out.append((block, int(entry[at]) if inside else None, carry))
-            carry = int(last[at]) if inside else carry
-        return pd.DataFrame({"object_name": pdf["object_name"].iloc[0], "island": pdf["island"].iloc[0],
-                             "block": [b for b, *_ in out], "entry": pd.array([e for _, e, _ in out], "Int64"),
-                             "carry": pd.array([c for *_, c in out], "Int64")})
-    return run
+def _with_next(exits: DataFrame, window: int) -> DataFrame:
+    """Where the walk goes on: the first entry of the next block beyond the window of the last anchor, if any.
+
+    Last anchors and the entries of the block behind them stand in one order, and the nearest
+    entry is carried back from its end.
+    """
+    asked = exits.select("object_name", "island", (F.col("block") + 1).alias("block"), (F.col("last") + window).alias("at"),
+                         "entry", "last", F.lit(None).cast("long").alias("opens"))
+    opened = exits.select(*_PIECE, F.col("entry").alias("at"), F.lit(None).cast("long").alias("entry"),
+                          F.lit(None).cast("long").alias("last"), F.col("entry").alias("opens"))
+    beyond = Window.partitionBy(*_PIECE).orderBy("at").rangeBetween(1, Window.unboundedFollowing)
+    return (asked.union(opened).withColumn("next", F.min("opens").over(beyond)).filter("entry IS NOT NULL")
+            .select("object_name", "island", (F.col("block") - 1).alias("block"), "entry", "last", "next"))
+
+
+def _entered(exits: DataFrame, window: int) -> DataFrame:
+    """The entries that the walk of each island really takes, one a block.
+
+    Every entry leads to one of the next block.  From the island's first moment the walk is
+    found by doubling: what is reached in 2**k steps is joined to steps of 2**k, which are
+    then joined to themselves, so a run of any number of blocks takes logarithmically many
+    rounds of equi joins and is never in one group.
+    """
+    island = ["object_name", "island"]
+    nodes = written(_with_next(exits, window), "cascade_entries")
+    reached = nodes.filter("entry = island").select(*island, "entry")
+    steps = nodes.filter("next IS NOT NULL").select(*island, "entry", F.col("next").alias("to"))
+    while True:
+        more = written(reached.join(steps, [*island, "entry"]).select(*island, F.col("to").alias("entry")), "cascade_reached")
+        if more.isEmpty():
+            return nodes.drop("next").join(reached, [*island, "entry"], "left_semi")
+        reached = reached.union(more)
+        on = steps.select(*island, F.col("entry").alias("to"), F.col("to").alias("end"))
+        steps = written(steps.join(on, [*island, "to"]).select(*island, "entry", F.col("end").alias("to")), "cascade_steps")
 
 
 def _anchored(window: int):
@@ -108,23 +129,25 @@ def detect_cascades(signs: DataFrame, cfg: Cards = Cards()) -> DataFrame:
     Signs are folded to distinct moments and cut into islands.  An island no
     longer than the window is one group already.  The walk over a longer one is cut
     into hours: an anchor reaches at most one window into an hour, so only the moments
-    there can be entered; all hours find the exit of every such entry at once, a short
-    chain of entries and exits tells which entry is real, and all hours place their anchors.
+    there can be entered; all hours find the exit of every such entry at once, doubling tells
+    which entries are real, and all hours place their anchors.
     """
     window = cfg.cascade_seconds * SECOND
+    block = max(BLOCK, 2 * window)
     timed = signs.withColumn("us", moment(F.col("ts"))).filter("us IS NOT NULL")
-    folded = timed.groupBy("object_name", "us", "picket").agg(F.count(F.lit(1)).alias("n"))
-    moments = _islands(folded.select("object_name", "us").distinct(), window)
+    folded = written(timed.groupBy("object_name", "us", "picket").agg(F.count(F.lit(1)).alias("n")), "signs_by_moment")
+    moments = written(_islands(folded.select("object_name", "us").distinct(), window), "sign_islands")
     ends = moments.groupBy("object_name", "island").agg(F.max("us").alias("last"))
     placed = moments.join(ends, ["object_name", "island"])
     is_long = F.col("last") - F.col("island") > window
     short = placed.filter(~is_long).select("object_name", "us", F.col("island").alias("anchor"))
-    pieces = placed.filter(is_long).select("object_name", "island", F.floor(F.col("us") / BLOCK).alias("block"), "us")
-    piece = ["object_name", "island", "block"]
-    exits = pieces.groupBy(*piece).applyInPandas(_exits(window), "object_name string, island long, block long, entry long, last long")
-    entries = exits.groupBy("object_name", "island").applyInPandas(
-        _chain(window), "object_name string, island long, block long, entry long, carry long")
-    walked = pieces.join(entries, piece).groupBy(*piece).applyInPandas(
+    pieces = written(placed.filter(is_long).select(
+        "object_name", "island", F.floor(F.col("us") / block).alias("block"), "us"), "cascade_pieces")
+    exits = pieces.groupBy(*_PIECE).applyInPandas(_exits(window, block), "object_name string, island long, block long, entry long, last long")
+    entered = written(_entered(exits, window), "cascade_walk")
+    carried = entered.select("object_name", "island", (F.col("block") + 1).alias("block"), F.col("last").alias("carry"))
+    entries = entered.select(*_PIECE, "entry").join(carried, _PIECE, "full")
+    walked = pieces.join(entries, _PIECE).groupBy(*_PIECE).applyInPandas(
         _anchored(window), "object_name string, us long, anchor long")
     anchors = short.unionByName(walked)
     found = (folded.join(anchors, ["object_name", "us"]).groupBy("object_name", "anchor")
