@@ -152,6 +152,21 @@ def test_forest_explanations_add_up(spark):
     assert eased.filter("counterfactual IS NOT NULL AND after > before - 0.01").count() == 0
     plain = explain.group_ablation(model, ranker.prepare(df), (50, 100)).collect()
     assert {r.group for r in plain} == {"исходно", *fv.ABLATION_GROUPS}
+    # partial rescoring against scoring all changed rows from the start
+    names = [n for n, _, up in fv.FEATURES if up]
+    lead = told.filter(F.size("evidence") > 0).select("channel_id", F.col("evidence")[0]["feature"].alias("lead"))
+    zeroed = ranker.prepare(df).join(lead, "channel_id").withColumns(
+        {n: F.when(F.col("lead") == n, F.lit(0.0)).otherwise(F.col(n)) for n in names})
+    full = {r.channel_id: r.score for r in ranker.score(model, zeroed).collect()}
+    assert {r.channel_id for r in eased.collect()} == set(full)
+    assert all(abs(r.after - full[r.channel_id]) < 1e-12 and r.walked <= 5 for r in eased.collect())
+    assert any(0 < r.walked < 5 for r in eased.collect())
+    for group, features in fv.ABLATION_GROUPS.items():
+        quiet = {n: F.lit(1.0 if n == "domain_size" else -1.0 if n in fv.MUTED_AS_MISSING else 0.0) for n in features}
+        best = ranker.score(model, ranker.prepare(df).withColumns(quiet)).orderBy(F.col("score").desc(), "channel_id").limit(50)
+        row = next(r for r in plain if r.group == group)
+        assert row.precision_50 == best.agg(F.sum("y") / 50).first()[0] and 0 <= row.walked < 5 * 600
+    assert next(r for r in plain if r.group == "исходно").walked == 0
 
 
 def test_fire_scores(spark):

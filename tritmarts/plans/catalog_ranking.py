@@ -571,10 +571,14 @@ def m4(spark, sf):
     return tidy(_stated(scores.ranking_metrics(rows)))
 
 
-@query("m5_forest_scores", with_parts(f"SELECT channel_id, d, y, true AS plausible {TEST_KEYS}"))
+@query("m5_forest_scores", with_parts(f"SELECT channel_id, d, y, true AS is_mean_leaf_share {TEST_KEYS}"))
 def m5(spark, sf):
-    rows = ranker.score(_fitted(spark, sf)[0], ranker.prepare(_test_rows(spark, sf)))
-    return tidy(rows.select("channel_id", "d", "y", F.col("score").between(0, 1).alias("plausible")))
+    """Scores of the trained forest, each the mean share of the leaves its row falls to in the node table."""
+    model = _fitted(spark, sf)[0]
+    rows = ranker.score(model, ranker.prepare(_test_rows(spark, sf)))
+    told = explain.leaf_share(explain.node_table(model, spark), rows, explain.node_bound(model))
+    return tidy(rows.join(told, ["channel_id", "d"]).select(
+        "channel_id", "d", "y", (F.abs(F.col("score") - F.col("leaf_share")) < 1e-9).alias("is_mean_leaf_share")))
 
 
 @query("m6_forest_metrics", with_parts(metrics_sql(TEST_KEYS)))
@@ -643,7 +647,7 @@ def x4(spark, sf):
 
 
 @query("x5_group_ablation", with_parts(
-    f"SELECT unnest({['исходно', *fv.ABLATION_GROUPS]}) AS \"group\", true AS plausible, true AS loss_adds_up"))
+    f"SELECT unnest({[explain.UNCHANGED, *fv.ABLATION_GROUPS]}) AS \"group\", true AS plausible, true AS loss_adds_up"))
 def x5(spark, sf):
     rows = explain.group_ablation(_fitted(spark, sf)[0], ranker.prepare(_test_rows(spark, sf)))
     base = rows.filter(F.col("group") == "исходно").agg(F.first("precision_50").alias("base"))
@@ -720,12 +724,84 @@ def x3_small(spark, sf):
         "~", e["feature"], F.format_string("%.3f", e["contribution"]))), "|").alias("evidence"))
 
 
+#: the strongest raising feature of a row, ties by the order of features
+_LEAD = """CASE WHEN top <= 0 THEN NULL WHEN c_silence = top THEN 'silence_days' WHEN c_fault = top THEN 'fault_ev_7d'
+  WHEN c_since = top THEN 'days_since_fault' ELSE 'domain_size' END"""
+
+
 @query("x4_small_trees", with_parts(f"""
-SELECT channel_id, d, lead, round(score + 1e-9, 6) AS before, round(0.275 + c_fault + c_silence + c_since + c_size + 1e-9, 6) AS after FROM (
+SELECT channel_id, d, lead, round(score + 1e-9, 6) AS before, round(0.275 + c_fault + c_silence + c_since + c_size + 1e-9, 6) AS after, walked FROM (
   SELECT channel_id, d, lead, score, {_small_sql("CASE WHEN lead = 'fault_ev_7d' THEN 0 ELSE fault_ev_7d END",
-                                                 "CASE WHEN lead = 'silence_days' THEN 0 ELSE silence_days END")}
-  FROM (SELECT s.* EXCLUDE (c_fault, c_silence, c_since, c_size), t.feature AS lead FROM q_small s JOIN q_small_told t ON t.channel_id = s.channel_id AND t.d = s.d AND t.r = 1))"""))
+                                                 "CASE WHEN lead = 'silence_days' THEN 0 ELSE silence_days END")},
+         CASE WHEN lead = 'fault_ev_7d' THEN fault_ev_7d <> 0 WHEN lead = 'silence_days' THEN fault_ev_7d > 1 AND silence_days <> 0
+              ELSE false END::BIGINT AS walked
+  FROM (SELECT * EXCLUDE (c_fault, c_silence, c_since, c_size), {_LEAD} AS lead
+        FROM (SELECT *, greatest(c_fault, c_silence, c_since, c_size) AS top FROM q_small)) WHERE lead IS NOT NULL)"""))
 def x4_small(spark, sf):
     told = explain.top_evidence(_small_told(spark, sf), _test_rows(spark, sf))
-    rows = explain.counterfactual(lambda r: _small_scores(spark, sf, r), ranker.prepare(_test_rows(spark, sf)), told)
-    return tidy(rows.select("channel_id", "d", "lead", "before", "after"))
+    rows = explain.counterfactual_of(_small_nodes(spark, sf), ranker.prepare(_test_rows(spark, sf)), told, len(SMALL_TREES))
+    return tidy(rows.select("channel_id", "d", "lead", "before", "after", "walked"))
+
+
+#: per ablation group: the features of the small trees after muting, and the walks that met a changed one
+_ABLATED = {
+    "исходно": ("fault", "silence", "since", "size", "0"),
+    "окружение": ("fault", "silence", "since", "1", "(since > 10 AND size <> 1)::INT"),
+    "инфраструктура": ("fault", "silence", "since", "size", "0"), "связь": ("fault", "silence", "since", "size", "0"),
+    "молчание": ("fault", "0", "since", "size", "(fault > 1 AND silence <> 0)::INT"),
+    "самодиагностика": ("0", "silence", "0", "size", "(fault <> 0)::INT + (since <> 0)::INT"),
+}
+
+
+def _ablated_sql() -> str:
+    rows = " UNION ALL ".join(f"""
+  SELECT '{g}' AS "group", channel_id, d, y, {walked} AS walked,
+         (CASE WHEN {fault} <= 1 THEN 0.1 WHEN {silence} <= 3 THEN 0.5 ELSE 0.9 END::DOUBLE
+          + CASE WHEN {since} <= 10 THEN 0.4 WHEN {size} <= 2 THEN 0.05 ELSE 0.2 END::DOUBLE) / 2 AS score FROM x"""
+                             for g, (fault, silence, since, size, walked) in _ABLATED.items())
+    return f"""
+SELECT "group", precision_50, precision_100, round(max(CASE WHEN "group" = 'исходно' THEN precision_50 END) OVER () - precision_50 + 1e-9, 4) AS loss, walked
+FROM (SELECT "group", sum(y) FILTER (place <= 50) / 50 AS precision_50, sum(y) FILTER (place <= 100) / 100 AS precision_100, sum(walked)::BIGINT AS walked
+      FROM (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY score DESC, channel_id, d) AS place
+            FROM (WITH x AS MATERIALIZED (SELECT channel_id, d, y, fault_ev_7d AS fault, silence_days AS silence, since, size FROM q_small) {rows}))
+      GROUP BY "group")"""
+
+
+@query("x5_small_trees", with_parts(_ablated_sql()))
+def x5_small(spark, sf):
+    """Ablation over the small trees: precision, loss and the tree walks that were needed again."""
+    return tidy(explain.group_ablation_of(_small_nodes(spark, sf), ranker.prepare(_test_rows(spark, sf)), len(SMALL_TREES)))
+
+
+#: stumps on eight features that are supported at any amount: (feature, threshold, share below, share above), root share 0.3
+WIDE_TREES = [("fault_ev_7d", 0.0, 0.1, 0.60), ("silence_days", 0.0, 0.2, 0.48), ("undefined_ev_7d", 0.0, 0.25, 0.54),
+              ("dev_days_7d", 0.0, 0.15, 0.42), ("unknown_days_7d", 0.0, 0.2, 0.46), ("active_days_7d", 1.0, 0.45, 0.36),
+              ("ev_7d", 2.0, 0.388, 0.332), ("domain_size", 1.0, 0.38, 0.516)]
+
+
+def _wide_nodes(spark):
+    rows = []
+    for t, (f, cut, below, above) in enumerate(WIDE_TREES):
+        rows += [(t, 0, 1, 2, fv.FEATURE_NAMES.index(f), cut, 0.3), (t, 1, -1, -1, -1, 0.0, below), (t, 2, -1, -1, -1, 0.0, above)]
+    return inline_table(spark, rows, ["tree", "node", "left", "right", "feature", "threshold", "share"])
+
+
+def _wide_sql() -> str:
+    each = ", ".join(f"CASE WHEN coalesce({f}, -1) <= {cut} THEN ({below} - 0.3) / 8 ELSE ({above} - 0.3) / 8 END::DOUBLE" for f, cut, below, above in WIDE_TREES)
+    return f"""
+SELECT channel_id, d, n_raising, string_agg(feature || '~' || printf('%.4f', c), '|' ORDER BY r) AS evidence FROM (
+  SELECT *, row_number() OVER (PARTITION BY channel_id, d ORDER BY c DESC, i) AS r, count(*) OVER (PARTITION BY channel_id, d)::INT AS n_raising FROM (
+    SELECT channel_id, d, unnest({[fv.FEATURE_NAMES.index(f) for f, *_ in WIDE_TREES]}) AS i, unnest({[f for f, *_ in WIDE_TREES]}) AS feature,
+           unnest([{each}]) AS c FROM q_features WHERE d BETWEEN DATE '2000-01-01' AND DATE '2001-12-31') WHERE c > 0)
+WHERE r <= 4 GROUP BY ALL"""
+
+
+@query("x3_wide_trees", with_parts(_wide_sql()))
+def x3_wide(spark, sf):
+    """Four of up to eight raising features are told."""
+    rows = _test_rows(spark, sf)
+    told = explain.contributions_of(_wide_nodes(spark), ranker.prepare(rows).withColumn("score", F.lit(0.0)), 3 * len(WIDE_TREES))
+    best = explain.top_evidence(told, rows).filter(F.size("evidence") > 0)
+    raising = told.select("channel_id", "d", F.size(F.filter("contrib", lambda c: c > 0)).alias("n_raising"))
+    return best.join(raising, ["channel_id", "d"]).select("channel_id", "d", "n_raising", F.array_join(F.transform("evidence", lambda e: F.concat_ws(
+        "~", e["feature"], F.format_string("%.4f", e["contribution"]))), "|").alias("evidence"))
