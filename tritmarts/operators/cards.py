@@ -219,6 +219,18 @@ def signs(cards: DataFrame) -> DataFrame:
     return rows.select(*keep, F.posexplode("timeline").alias("pos", "e")).select(*keep, "pos", "e.ts", "e.kind", "e.text")
 
 
+def with_cascade(cards: DataFrame, cfg: Cards = Cards()) -> DataFrame:
+    """Cards with a ``cascade`` flag: whether one of their signs belongs to a cascade of their object.
+
+    ``cards`` has an ``id``; signs meet cascades by object and moment, never by ranges.
+    """
+    own = cards.select("id", _object_key().alias("object_name"), F.explode("timeline").alias("e")).select(
+        "id", "object_name", cascades.moment(F.col("e.ts")).alias("us"))
+    hit = own.join(cascades.moments_in_cascades(signs(cards), cfg), ["object_name", "us"], "left_semi").select("id").distinct()
+    return (cards.drop("cascade").join(hit.withColumn("cascade", F.lit(True)), "id", "left")
+            .withColumn("cascade", F.coalesce("cascade", F.lit(False))))
+
+
 def merged_timeline(cards: DataFrame) -> DataFrame:
     """Entries with equal day, kind and text become one with its sources.
 

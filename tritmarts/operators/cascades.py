@@ -122,16 +122,8 @@ def _anchored(window: int):
     return run
 
 
-def detect_cascades(signs: DataFrame, cfg: Cards = Cards()) -> DataFrame:
-    """Greedy groups anchored at their first sign, over (object_name, ts, picket).
-
-    Any ISO stamp counts to the microsecond, zones are brought to UTC and other texts are passed over.
-    Signs are folded to distinct moments and cut into islands.  An island no
-    longer than the window is one group already.  The walk over a longer one is cut
-    into hours: an anchor reaches at most one window into an hour, so only the moments
-    there can be entered; all hours find the exit of every such entry at once, doubling tells
-    which entries are real, and all hours place their anchors.
-    """
+def _anchored_groups(signs: DataFrame, cfg: Cards) -> tuple[DataFrame, DataFrame]:
+    """(object_name, us, anchor) of every moment, and the groups that are cascades."""
     window = cfg.cascade_seconds * SECOND
     block = max(BLOCK, 2 * window)
     timed = signs.withColumn("us", moment(F.col("ts"))).filter("us IS NOT NULL")
@@ -150,10 +142,30 @@ def detect_cascades(signs: DataFrame, cfg: Cards = Cards()) -> DataFrame:
     walked = pieces.join(entries, _PIECE).groupBy(*_PIECE).applyInPandas(
         _anchored(window), "object_name string, us long, anchor long")
     anchors = short.unionByName(walked)
-    found = (folded.join(anchors, ["object_name", "us"]).groupBy("object_name", "anchor")
-             .agg(F.sum("n").alias("n_signs"), ((F.max("us") - F.col("anchor")) / SECOND).alias("span_seconds"),
-                  F.sort_array(F.collect_set("picket")).alias("pickets"))
-             .filter((F.col("n_signs") >= cfg.cascade_points) & (F.size("pickets") >= cfg.cascade_pickets)))
+    groups = (folded.join(anchors, ["object_name", "us"]).groupBy("object_name", "anchor")
+              .agg(F.sum("n").alias("n_signs"), ((F.max("us") - F.col("anchor")) / SECOND).alias("span_seconds"),
+                   F.sort_array(F.collect_set("picket")).alias("pickets"))
+              .filter((F.col("n_signs") >= cfg.cascade_points) & (F.size("pickets") >= cfg.cascade_pickets)))
+    return anchors, groups
+
+
+def moments_in_cascades(signs: DataFrame, cfg: Cards = Cards()) -> DataFrame:
+    """(object_name, us): the moments of signs that belong to a cascade."""
+    anchors, groups = _anchored_groups(signs, cfg)
+    return anchors.join(groups.select("object_name", "anchor"), ["object_name", "anchor"], "left_semi").select("object_name", "us")
+
+
+def detect_cascades(signs: DataFrame, cfg: Cards = Cards()) -> DataFrame:
+    """Greedy groups anchored at their first sign, over (object_name, ts, picket).
+
+    Any ISO stamp counts to the microsecond, zones are brought to UTC and other texts are passed over.
+    Signs are folded to distinct moments and cut into islands.  An island no
+    longer than the window is one group already.  The walk over a longer one is cut
+    into hours: an anchor reaches at most one window into an hour, so only the moments
+    there can be entered; all hours find the exit of every such entry at once, doubling tells
+    which entries are real, and all hours place their anchors.
+    """
+    _, found = _anchored_groups(signs, cfg)
     at = F.timestamp_micros("anchor")
     a, b = F.element_at("pickets", 1), F.element_at("pickets", -1)
     words = said(text.counted(F.col("n_signs"), SIGN_FORMS), " на ", F.size("pickets").cast("string"),

@@ -775,7 +775,7 @@ def x5_small(spark, sf):
 
 #: stumps on eight features that are supported at any amount: (feature, threshold, share below, share above), root share 0.3
 WIDE_TREES = [("fault_ev_7d", 0.0, 0.1, 0.60), ("silence_days", 0.0, 0.2, 0.48), ("undefined_ev_7d", 0.0, 0.25, 0.54),
-              ("dev_days_7d", 0.0, 0.15, 0.42), ("unknown_days_7d", 0.0, 0.2, 0.46), ("active_days_7d", 1.0, 0.45, 0.36),
+              ("dev_days_7d", 0.0, 0.15, 0.42), ("unknown_days_7d", 0.0, 0.2, 0.46), ("active_days_7d", 1.0, 0.452, 0.36),
               ("ev_7d", 2.0, 0.388, 0.332), ("domain_size", 1.0, 0.38, 0.516)]
 
 

@@ -47,10 +47,21 @@ def read_journal_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def import_journal(spark: SparkSession, sources: str | list[str], target: str) -> DataFrame:
-    """Yearly CSV to Parquet partitioned by year; returns the row count per year."""
+    """Yearly CSV to Parquet partitioned by year; returns (year, rows) of the years that were imported.
+
+    The years in ``sources`` replace what ``target`` had of them; its other years stay as they are.
+    """
     rows = read_journal_csv(spark, sources).withColumn("year", F.year("d"))
-    (rows.write.mode("overwrite").partitionBy("year").option("compression", "zstd").parquet(target))
-    return spark.read.parquet(target).groupBy("year").agg(F.count(F.lit(1)).alias("rows"))
+    years = [r.year for r in rows.select("year").distinct().collect()]  # one row a year
+    write_years(rows, target)
+    return read_journal(spark, target).filter(F.col("year").isin(years)).groupBy("year").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def write_years(df: DataFrame, path: str) -> str:
+    """Write ``df``, which has a ``year``, over the partitions of its years only."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year")
+     .option("compression", "zstd").parquet(path))
+    return path
 
 
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
