@@ -1,5 +1,7 @@
 """Hand-computed cases for trits, numbers, wording and ordered helpers."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +9,8 @@ from tritmarts import fixed_values as fv
 from tritmarts.functions import text, trits
 from tritmarts.functions.numbers import clock, measured, moment, to_number
 from tritmarts.functions import ordering
-from tritmarts.functions.ordering import running_totals, with_neighbour
+from tritmarts.functions.ordering import running_totals, with_nearest, with_neighbour
+from tritmarts.operators import geometry
 
 
 def column(spark, rows, schema, *exprs):
@@ -143,3 +146,36 @@ def test_one_hot_key_is_many_slices(spark):
         assert len(slices) == 4 and max(r["count"] for r in slices) < 10_000
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+@pytest.mark.parametrize("reach", [0, 3, 50])
+def test_nearest_marks_of_both_sides(spark, reach):
+    draw = random.Random(reach)
+    marks = sorted({(draw.choice("ab"), draw.randrange(60)) for _ in range(25)})
+    points = sorted({(draw.choice("abc"), draw.randrange(60)) for _ in range(120)})
+    got = with_nearest(spark.createDataFrame(points, "k string, at int"),
+                       spark.createDataFrame([(k, p, f"{k}{p}") for k, p in marks], "k string, at int, label string"), ["k"], "at", ["label"], reach)
+    want = {}
+    for k, p in points:
+        near = min(((abs(q - p), q) for j, q in marks if j == k and abs(q - p) <= reach), default=None)
+        want[k, p] = near and (*near, f"{k}{near[1]}")
+    rows = got.collect()
+    assert len(rows) == len(points) and {(r.k, r["at"]): r.nearest and tuple(r.nearest) for r in rows} == want
+
+
+def test_place_stems_are_counted_in_one_pass(spark):
+    stems = [stem.lower() for stem, _, _ in fv.DISTRICT_ANCHORS]
+    assert not any(a != b and b.startswith(a) for a in stems for b in stems)
+    assert not any(s[:n] == s[-n:] for s in stems for n in range(1, len(s)))
+    draw = random.Random(1)
+    rows = [(draw.choice("xyz"), "".join(draw.choice([draw.choice(stems), draw.choice(stems)[:-1].upper(), " ", "-", "1"]) for _ in range(8)))
+            for _ in range(300)] + [("none", "nothing"), ("none", None)]
+    dim = spark.createDataFrame([(n, n, s, 1) for n, s in rows], "parent_name string, object_name string, sensor_name string, picket int")
+    counts = {}
+    for n, s in rows:
+        for i, stem in enumerate(stems):
+            counts.setdefault(n, [0] * len(stems))[i] += (s or "").lower().count(stem)
+    want = {n: fv.DISTRICT_ANCHORS[max(range(len(c)), key=lambda i: (c[i], -i))][0] if max(c) else None for n, c in counts.items()}
+    out = geometry.toponyms(dim)
+    assert {r.object_name: r.toponym for r in out.collect()} == want
+    assert "replace(" not in out._jdf.queryExecution().optimizedPlan().toString().lower()

@@ -36,6 +36,33 @@ def with_neighbour(df: DataFrame, key: Sequence[str], segment: str, order: Seque
             .drop("_near", "_carried"))
 
 
+def with_nearest(asked: DataFrame, marks: DataFrame, key: Sequence[str], at: str, value: Sequence[str], reach: int,
+                 name: str = "nearest") -> DataFrame:
+    """``asked`` (key..., at) with a struct ``name`` of the nearest mark of its key: dist, at and ``value``.
+
+    Both stand in one order per key; the last mark is carried from either side and the nearer one kept, of
+    equals the smaller.  Beyond ``reach`` there is none.  Every asked row is one row, however far it sees;
+    ``asked`` is distinct, ``marks`` has one row per key and place.
+    """
+    mark = F.struct(F.col(at).alias("at"), *value)
+    both = asked.select(*key, at, F.lit(True).alias("_asked")).unionByName(
+        marks.select(*key, at, F.lit(False).alias("_asked"), mark.alias("_mark")), allowMissingColumns=True)
+
+    def carried(order: Column) -> Column:
+        side = Window.partitionBy(*key).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        return F.last("_mark", ignorenulls=True).over(side)
+
+    def told(side: str) -> Column:
+        dist = F.abs(F.col(side)["at"] - F.col(at))
+        fields = [F.col(side)[v].alias(v) for v in ["at", *value]]
+        return F.when(dist <= reach, F.struct(dist.alias("dist"), *fields))
+
+    rows = both.withColumn("_below", carried(F.col(at))).withColumn("_above", carried(F.col(at).desc())).filter("_asked")
+    below, above = told("_below"), told("_above")
+    nearer = F.when(above.isNull() | (below["dist"] <= above["dist"]), below).otherwise(above)
+    return rows.select(*key, at, nearer.alias(name))
+
+
 def running_totals(df: DataFrame, order: Sequence[Column], measures: Sequence[str], key: Sequence[str] = (),
                    suffix: str = "_cum") -> DataFrame:
     """Inclusive running sums of ``measures`` per ``key`` (non-null columns) in the given order.

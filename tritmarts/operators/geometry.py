@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -17,18 +18,28 @@ def _named(dim: DataFrame) -> DataFrame:
     return dim.select(name.alias("object_name"), "sensor_name", "picket").filter("object_name IS NOT NULL")
 
 
+def _stems(text: Column) -> Column:
+    """All place stems in a text, in one pass: each place of the text is tried once against all of them.
+
+    No stem begins another and none can overlap itself, so what is found at every place are the same
+    occurrences as those of each stem alone.
+    """
+    any_stem = "|".join(re.escape(stem.lower()) for stem, _, _ in fv.DISTRICT_ANCHORS)
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"(?=({any_stem}))"), F.lit(1))
+
+
 def toponyms(dim: DataFrame) -> DataFrame:
     """Place name found most often in an object's sensor names; earlier entries win ties."""
-    low = F.lower(F.coalesce("sensor_name", F.lit("")))
-    counts = []
-    for i, (stem, _, _) in enumerate(fv.DISTRICT_ANCHORS):
-        key = stem.lower()
-        times = (F.length(low) - F.length(F.replace(low, F.lit(key), F.lit("")))) / len(key)
-        counts.append(F.sum(times.cast("bigint")).alias(f"_{i}"))
-    sums = _named(dim).groupBy("object_name").agg(*counts)
-    best = F.array_max(F.array(*[F.struct(F.col(f"_{i}").alias("n"), F.lit(-i).alias("i"), F.lit(stem).alias("stem"))
-                                 for i, (stem, _, _) in enumerate(fv.DISTRICT_ANCHORS)]))
-    return sums.select("object_name", F.when(best["n"] > 0, best["stem"]).alias("toponym"))
+    order = {stem.lower(): i for i, (stem, _, _) in reversed(list(enumerate(fv.DISTRICT_ANCHORS)))}
+    hits = (_named(dim).select("object_name", F.explode_outer(_stems(F.col("sensor_name"))).alias("key"))
+            .groupBy("object_name", "key").agg(F.count("key").alias("n")))
+    rank, name = None, None
+    for key, i in order.items():
+        found = F.col("key") == key
+        rank = (F if rank is None else rank).when(found, F.lit(-i))
+        name = (F if name is None else name).when(found, F.lit(fv.DISTRICT_ANCHORS[i][0]))
+    best = F.max(F.when(F.col("n") > 0, F.struct("n", rank.alias("rank"), name.alias("stem"))))
+    return hits.groupBy("object_name").agg(best.alias("_best")).select("object_name", F.col("_best.stem").alias("toponym"))
 
 
 def bearing(name: Column) -> Column:

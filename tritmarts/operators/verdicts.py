@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tritmarts import fixed_values as fv
 from tritmarts.functions import text
+from tritmarts.functions.ordering import with_nearest
 from tritmarts.functions.numbers import clock, moment
 from tritmarts.operators import fire, intrusion, pumps, thermal
 from tritmarts.operators.marts import failures
@@ -93,19 +94,13 @@ def failure_blind_spots() -> Column:
 def temperature_evidence(points: DataFrame, state: DataFrame, cfg: Thermal = Thermal()) -> DataFrame:
     """Evidence and blind spots of points (object_id, picket, d) from the nearest thermometer.
 
-    A point is spread over the pickets in reach, so the nearest one is found by
-    an equi join and a minimum, with no pairwise distances.
+    Points and thermometers of an object and day stand in one order of pickets, and the nearer
+    of the two neighbours is kept.
     """
     key = ["object_id", "picket", "d"]
     asked = points.select(*key).filter("object_id IS NOT NULL AND picket IS NOT NULL").distinct()
-    reach = cfg.search_pickets
-    spread = asked.withColumn("at", F.explode(F.sequence(F.col("picket") - reach, F.col("picket") + reach)))
-    seen = state.withColumnRenamed("picket", "at").withColumn(
-        "phrases", thermal.thermal_phrases(cfg)).withColumn("own_blind", thermal.thermal_blind_spots())
-    nearest = (spread.join(seen.select("object_id", "d", "at", "t_avg", "phrases", "own_blind"), ["object_id", "d", "at"])
-               .groupBy(*key)
-               .agg(F.min(F.struct(F.abs(F.col("at") - F.col("picket")).alias("dist"), "at", "t_avg", "phrases",
-                                   "own_blind")).alias("m")))
+    seen = state.withColumn("phrases", thermal.thermal_phrases(cfg)).withColumn("own_blind", thermal.thermal_blind_spots())
+    nearest = with_nearest(asked, seen, ["object_id", "d"], "picket", ["t_avg", "phrases", "own_blind"], cfg.search_pickets, "m")
     any_here = state.select("object_id").distinct().withColumn("_any", F.lit(True))
     m = F.col("m")
     where = F.when(m["dist"] == 0, F.lit("")).otherwise(said(" (датчик в ", (m["dist"] * 10).cast("string"), " м)"))
@@ -119,7 +114,7 @@ def temperature_evidence(points: DataFrame, state: DataFrame, cfg: Thermal = The
              .when(F.col("_any"), F.array(F.lit(
                  "ближайший температурный датчик дальше 100 м — тепловой режим этой точки не контролируется")))
              .otherwise(F.array(F.lit("температурных датчиков на объекте нет — тепловой режим не контролируется"))))
-    return (asked.join(nearest, key, "left").join(any_here, "object_id", "left")
+    return (nearest.join(any_here, "object_id", "left")
             .select(*key, F.when(speaks, found).otherwise(empty).alias("temp_evidence"),
                     blind.alias("temp_blind")))
 
