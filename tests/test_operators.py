@@ -146,6 +146,12 @@ def test_forest_explanations_add_up(spark):
     scored = ranker.score(model, ranker.prepare(df))
     contrib = explain.contributions(model, scored)
     assert explain.additivity_gap(contrib).first().max_gap < 1e-12
+    gained = {r.feature: r.importance for r in explain.importance_of(explain.node_table(model, spark)).collect()}
+    given = {r.feature: r.importance for r in ranker.feature_importance(model, df).collect()}
+    assert all(abs(gained.get(n, 0.0) - v) < 1e-12 for n, v in given.items()) and abs(sum(gained.values()) - 1) < 1e-9
+    linear = ranker.train_linear(ranker.prepare(df))
+    off = F.max(F.abs(F.col("score") - ranker.linear_score(linear)))
+    assert ranker.score(linear, ranker.prepare(df)).agg(off).first()[0] < 1e-12
     told = explain.top_evidence(contrib, df, k=4)
     assert told.filter(F.size("evidence") > 4).count() == 0
     eased = explain.counterfactual(model, ranker.prepare(df), told)

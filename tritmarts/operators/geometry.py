@@ -21,8 +21,7 @@ def _named(dim: DataFrame) -> DataFrame:
 def _stems(text: Column) -> Column:
     """All place stems in a text, in one pass: each place of the text is tried once against all of them.
 
-    No stem begins another and none can overlap itself, so what is found at every place are the same
-    occurrences as those of each stem alone.
+    No stem begins another, so what is found at every place are the occurrences of each stem alone.
     """
     any_stem = "|".join(re.escape(stem.lower()) for stem, _, _ in fv.DISTRICT_ANCHORS)
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"(?=({any_stem}))"), F.lit(1))

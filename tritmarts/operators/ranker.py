@@ -161,6 +161,16 @@ def score(model, prepared: DataFrame) -> DataFrame:
     return out.withColumn("score", vector_to_array("probability")[1]).drop(*extra)
 
 
+def linear_score(model: PipelineModel) -> Column:
+    """Score of the control model as an expression over prepared features, from its scale and weights alone."""
+    scale, fit = model.stages
+    total = F.lit(float(fit.intercept))
+    for name, weight, mean, std in zip(fv.FEATURE_NAMES, fit.coefficients.toArray(), scale.mean.toArray(), scale.std.toArray()):
+        if std > 0:
+            total = total + F.lit(float(weight)) * (F.col(name) - F.lit(float(mean))) / F.lit(float(std))
+    return 1.0 / (1.0 + F.exp(-total))
+
+
 def feature_importance(model: RandomForestClassificationModel, like: DataFrame) -> DataFrame:
     """Global importance per feature; ``like`` only lends its session."""
     rows = [(n, float(v)) for n, v in zip(fv.FEATURE_NAMES, model.featureImportances.toArray())]

@@ -529,7 +529,7 @@ def _test_rows(spark, sf):
 
 def _scored_test(spark, sf):
     """Scores of the test period, written once for the queries that explain them."""
-    return stored(spark, sf, "scored_test", lambda: ranker.score(
+    return stored(spark, sf, f"scored_test-{settings_digest(CFG, FIT)}", lambda: ranker.score(
         _fitted(spark, sf)[0], ranker.prepare(_test_rows(spark, sf))))
 
 
@@ -587,11 +587,23 @@ def m6_forest(spark, sf):
 
 
 @query("m8_feature_importance", with_parts(
-    f"SELECT unnest({fv.FEATURE_NAMES}) AS feature, true AS plausible, 1.0::DOUBLE AS total"))
+    f"SELECT unnest({fv.FEATURE_NAMES}) AS feature, true AS is_node_gain, 1.0::DOUBLE AS total"))
 def m8(spark, sf):
-    rows = ranker.feature_importance(_fitted(spark, sf)[0], samples.table(spark, sf, "supplier"))
-    return tidy(with_row(rows, rows.agg(F.sum("importance").alias("total"))).select(
-        "feature", F.col("importance").between(0, 1).alias("plausible"), "total"))
+    """Importances of the trained forest, each what the gains in its node table add up to."""
+    model = _fitted(spark, sf)[0]
+    rows = ranker.feature_importance(model, samples.table(spark, sf, "supplier"))
+    told = explain.importance_of(explain.node_table(model, spark)).withColumnRenamed("importance", "gained")
+    both = with_row(rows, rows.agg(F.sum("importance").alias("total"))).join(told, "feature", "left")
+    near = F.abs(F.col("importance") - F.coalesce("gained", F.lit(0.0))) < 1e-9
+    return tidy(both.select("feature", near.alias("is_node_gain"), "total"))
+
+
+@query("m4_linear_scores", with_parts(f"SELECT channel_id, d, y, true AS is_logistic {TEST_KEYS}"))
+def m4_scores(spark, sf):
+    """Scores of the control model, each the logistic of its scaled and weighted features."""
+    model = _fitted(spark, sf)[1]
+    rows = ranker.score(model, ranker.prepare(_test_rows(spark, sf)))
+    return tidy(rows.select("channel_id", "d", "y", (F.abs(F.col("score") - ranker.linear_score(model)) < 1e-9).alias("is_logistic")))
 
 
 def _horizon_sql(hours: int) -> str:
@@ -626,7 +638,7 @@ def x2(spark, sf):
 
 
 def _evidence(spark, sf):
-    return stored(spark, sf, "evidence", lambda: explain.top_evidence(
+    return stored(spark, sf, f"evidence-{settings_digest(CFG, FIT)}", lambda: explain.top_evidence(
         explain.contributions(_fitted(spark, sf)[0], _scored_test(spark, sf)), _test_rows(spark, sf)))
 
 
