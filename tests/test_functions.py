@@ -178,3 +178,17 @@ def test_place_stems_are_counted_in_one_pass(spark):
     out = geometry.toponyms(dim)
     assert {r.object_name: r.toponym for r in out.collect()} == want
     assert "replace(" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_scratch_is_removed_when_asked(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from tritmarts.functions import written as scratch
+    monkeypatch.setattr(scratch, "shared_dir", lambda _: str(tmp_path))
+    monkeypatch.setattr(scratch, "_MADE", {})
+    df = scratch.written(spark.range(10), "numbers")
+    kept = tmp_path / "of-others"
+    kept.mkdir()
+    assert df.count() == 10 and len(list(Path(tmp_path).glob("numbers-*"))) == 1
+    assert scratch.remove_scratch(spark) == 1 and list(tmp_path.iterdir()) == [kept]
+    assert scratch.remove_scratch(spark) == 0
