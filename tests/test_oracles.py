@@ -36,7 +36,9 @@ PICKED = ["c1_classify", "c4_refine_normal", "e2_twin_groups", "e3_fact_channel_
           "f6_feature_matrix", "p3_pump_anomaly",
           "h5_fire_verdicts", "h8_intrusion_events", "t4_temperature_state", "k4_due_dates", "v5_temperature_evidence",
           "v6_precedents", "d1_sign_onsets", "d7_merged_timeline", "d8_cascades", "o4_drafts", "g3_picket_positions",
-          "r2_summary", "q11_incident_metrics", "s6_verdict_csv"]
+          "r2_summary", "q11_incident_metrics", "s6_verdict_csv",
+          "e7_synchrony_buckets", "q1_sensor_behaviour", "q5_pump_statistics",
+          "q5_intrusion_statistics", "g1_toponyms", "d6_ranked_cards", "x3_wide_trees", "x4_small_trees", "x5_small_trees"]
 
 
 @pytest.mark.parametrize("name", PICKED)

@@ -773,7 +773,8 @@ def _ablated_sql() -> str:
                              for g, (fault, silence, since, size, walked) in _ABLATED.items())
     return f"""
 SELECT "group", precision_50, precision_100, round(max(CASE WHEN "group" = 'исходно' THEN precision_50 END) OVER () - precision_50 + 1e-9, 4) AS loss, walked
-FROM (SELECT "group", sum(y) FILTER (place <= 50) / 50 AS precision_50, sum(y) FILTER (place <= 100) / 100 AS precision_100, sum(walked)::BIGINT AS walked
+FROM (SELECT "group", CASE WHEN sum(y) > 0 THEN sum(y) FILTER (place <= 50) / 50 END AS precision_50,
+             CASE WHEN sum(y) > 0 THEN sum(y) FILTER (place <= 100) / 100 END AS precision_100, sum(walked)::BIGINT AS walked
       FROM (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY score DESC, channel_id, d) AS place
             FROM (WITH x AS MATERIALIZED (SELECT channel_id, d, y, fault_ev_7d AS fault, silence_days AS silence, since, size FROM q_small) {rows}))
       GROUP BY "group")"""
