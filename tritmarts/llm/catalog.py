@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tritmarts.llm import bpe, divergence, embedding_dedup, language, mixing, oracles, packing, passages, rabitq, runs, secrets, simhash, sitetree, spellings, warc
+from tritmarts.llm import (bpe, divergence, embedding_dedup, language, mixing, oracles, packing, passages, rabitq, runs, secrets,
+                           shared_passages, simhash, sitetree, spellings, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,8 +71,13 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitetree.main_text(table(spark, sf_dir, "pages"))
 
 
-@query(oracles.OP7)
+@query(oracles.OP7_PASSAGES)
 def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_passages.shared_passages(table(spark, sf_dir, "documents"))
+
+
+@query(oracles.OP7)
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 

@@ -148,6 +148,35 @@ SELECT doc_id, paragraph, start, start + length(line) AS "end", n_words, kept[1]
 FROM m JOIN k USING (root)
 """
 
+# every window of 50 words is looked up in all documents; a word belongs to the least first place of the windows over it
+OP7_RUNS = r"""
+WITH t AS (
+  SELECT doc_id, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w,
+         regexp_split_to_array(text, '[^\x20\x09-\x0D]+') AS gaps FROM documents WHERE text IS NOT NULL),
+win AS (SELECT doc_id, i AS pos, md5(array_to_string(w[i + 1:i + 50], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS i FROM t WHERE len(w) >= 50)),
+firsts AS (SELECT h, min((doc_id, pos)) AS f FROM win GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+hit AS (SELECT doc_id, pos, f[1] AS first_id, f[2] AS first_at, f[1] = doc_id AND pos - f[2] < 50 AS stays FROM win JOIN firsts USING (h)),
+word AS (
+  SELECT doc_id, x, min((stays, first_id, step)) AS k FROM (
+    SELECT doc_id, stays, CASE WHEN stays THEN doc_id ELSE first_id END AS first_id, CASE WHEN stays THEN 0 ELSE first_at - pos END AS step,
+           unnest(range(pos, pos + 50)) AS x FROM hit) GROUP BY doc_id, x),
+stretch AS (
+  SELECT doc_id, k, min(x) AS word, count(*) AS n FROM (SELECT *, x - row_number() OVER (PARTITION BY doc_id, k ORDER BY x) AS island FROM word)
+  GROUP BY doc_id, k, island),
+spot AS (
+  SELECT doc_id, word, n, k, list_sum(list_transform(gaps[1:word + 1], lambda g: len(g))) + coalesce(list_sum(list_transform(w[1:word], lambda g: len(g))), 0) AS start,
+         list_sum(list_transform(gaps[1:word + n], lambda g: len(g))) + list_sum(list_transform(w[1:word + n], lambda g: len(g))) AS stop
+  FROM stretch JOIN t USING (doc_id))
+SELECT doc_id, 'run' AS unit, word::INT AS place, start::BIGINT AS start, stop::BIGINT AS "end", n::INT AS n_words, k[2] AS kept_doc_id,
+       (word + k[3])::INT AS kept_place, NOT k[1] AS removed
+FROM spot
+"""
+
+OP7_PASSAGES = f"""
+SELECT doc_id, 'line' AS unit, paragraph AS place, start, "end", n_words::INT AS n_words, kept_doc_id, kept_paragraph AS kept_place, removed FROM ({OP7})
+UNION ALL SELECT * FROM ({OP7_RUNS})
+"""
+
 _RUN = f"[A-Za-z{chr(0xC0)}-{chr(0xFF)}]+"
 
 OP12 = f"""

@@ -22,6 +22,8 @@ from tritmarts.llm.tables import in_small_batches, row_key, written
 #: odd bases of the polynomial hashes of pieces and of windows
 PIECE_BASE = 0x9E3779B97F4A7C15
 WINDOW_BASE = 0xC2B2AE3D27D4EB4D
+#: keys of rows that are sent to all executors; where there are more, texts meet their keys by a join alone
+MAX_SENT_KEYS = 1_000_000
 _WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
 
@@ -143,6 +145,12 @@ def _across(df: DataFrame, key: str, first: Column) -> DataFrame:
     return least.where("first.doc_id < high or unnamed > 1 or (unnamed > 0 and high is not null)").select(key, "first")
 
 
+def _rows_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose key is not in ``rows``, before their texts travel; all of them if the keys are too many to send."""
+    keys = rows.select("row").distinct()
+    return docs.join(F.broadcast(keys), "row", "left_semi") if rows.count() <= MAX_SENT_KEYS else docs
+
+
 def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """Runs of at least ``least_words`` equal words of ``docs`` (doc_id, text) that more than one document has.
 
@@ -157,7 +165,8 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     anchors = kept.select("doc_id", "row", F.explode("anchors").alias("anchor"))
     shared = _across(anchors, "anchor", F.struct("doc_id"))
     by_row = anchors.join(shared, "anchor", "left_semi").groupBy("row").agg(F.collect_set("anchor").alias("anchors"))
-    windows = written(keyed.join(by_row, "row").select("doc_id", "row", "text", "anchors").mapInArrow(
+    by_row = written(by_row, "run_candidates")
+    windows = written(_rows_of(keyed, by_row).join(by_row, "row").select("doc_id", "row", "text", "anchors").mapInArrow(
         _windows(least_words), "doc_id long, row long, starts array<int>, hashes array<long>"), "run_windows")
     each = windows.select("doc_id", "row", F.explode(F.arrays_zip("starts", "hashes")).alias("w")).select(
         "doc_id", "row", F.col("w.starts").alias("at"), F.col("w.hashes").alias("hash"))
@@ -165,5 +174,6 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     own = (F.col("row") == F.col("first.first_row"))
     places = each.select("row", "at", "hash").join(first, "hash").groupBy("row").agg(
         F.collect_set(F.struct("at", "first.doc_id", "first.first_at", own.alias("own"))).alias("places"))
-    return keyed.join(written(places, "run_places"), "row").select("doc_id", "row", "text", "places").mapInArrow(
+    places = written(places, "run_places")
+    return _rows_of(keyed, places).join(places, "row").select("doc_id", "row", "text", "places").mapInArrow(
         _rows(least_words), "doc_id long, word int, start long, end long, n_words int, kept_doc_id long, kept_word int, removed boolean")
