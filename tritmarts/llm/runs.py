@@ -65,8 +65,8 @@ def _anchors(least_words: int):
                 width = least_words - piece + 1
                 kept.append(np.unique(_least_of(grams, width)).view(np.int64) if len(grams) >= width else np.empty(0, np.int64))
             if kept:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), _lists(kept, pa.int64())],
-                                                 names=["doc_id", "row", "anchors"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("body"), _lists(kept, pa.int64())],
+                                                 names=["doc_id", "body", "anchors"])
     return run
 
 
@@ -85,8 +85,8 @@ def _windows(least_words: int):
                 starts.append(at.astype(np.int32))
                 hashes.append(value[at].view(np.int64))
             if starts:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), _lists(starts, pa.int32()),
-                                                  _lists(hashes, pa.int64())], names=["doc_id", "row", "starts", "hashes"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "several", "body")), _lists(starts, pa.int32()),
+                                                  _lists(hashes, pa.int64())], names=["doc_id", "several", "body", "starts", "hashes"])
     return run
 
 
@@ -124,13 +124,15 @@ def _rows(least_words: int):
         for batch in batches:
             rows = []
             places = batch.column("places")
-            at, first, first_at, own = (places.values.field(i) for i in range(4))
-            columns = [at.to_numpy().astype(np.int64), first.is_valid().to_numpy(zero_copy_only=False),
-                       first.fill_null(0).to_numpy(), first_at.to_numpy().astype(np.int64), own.to_numpy(zero_copy_only=False)]
+            starts, ids, first_starts, same = (places.values.field(i) for i in range(4))
+            columns = [starts.to_numpy().astype(np.int64), ids.is_valid().to_numpy(zero_copy_only=False),
+                       ids.fill_null(0).to_numpy(), first_starts.to_numpy().astype(np.int64), same.to_numpy(zero_copy_only=False)]
             offsets = places.offsets.to_pylist()
             for i, (doc_id, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text"))):
                 spans = [m.span() for m in _WORD.finditer(text.as_py())]
-                found = segments(*(c[offsets[i]:offsets[i + 1]] for c in columns), doc_id, least_words)
+                at, named, first, first_at, own = (c[offsets[i]:offsets[i + 1]] for c in columns)
+                own = own & (~named if doc_id is None else named & (first == doc_id))
+                found = segments(at, named, first, first_at, own, doc_id, least_words)
                 rows += [(doc_id, word, spans[word][0], spans[word + n - 1][1], n, kept, kept_word, removed)
                          for word, n, kept, kept_word, removed in found]
             if rows:
@@ -147,8 +149,8 @@ def _across(df: DataFrame, key: str, first: Column) -> DataFrame:
 
 def _rows_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """``docs`` without the rows whose key is not in ``rows``, before their texts travel; all of them if the keys are too many to send."""
-    keys = rows.select("row").distinct()
-    return docs.join(F.broadcast(keys), "row", "left_semi") if rows.count() <= MAX_SENT_KEYS else docs
+    keys = rows.select("body")
+    return docs.join(F.broadcast(keys), "body", "left_semi") if rows.count() <= MAX_SENT_KEYS else docs
 
 
 def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -159,21 +161,28 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     (doc_id, word) with the window; the others stay and name themselves.  A run over several
     first places is several stretches in a row.  Null ids are each a document, rows of one doc_id are one.
     """
-    keyed = in_small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn(
-        "row", row_key("doc_id", "text"))
-    kept = written(keyed.mapInArrow(_anchors(least_words), "doc_id long, row long, anchors array<long>"), "run_anchors")
-    anchors = kept.select("doc_id", "row", F.explode("anchors").alias("anchor"))
+    keyed = in_small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("body", row_key("text"))
+    kept = written(keyed.mapInArrow(_anchors(least_words), "doc_id long, body long, anchors array<long>"), "run_anchors")
+    anchors = kept.select("doc_id", "body", F.explode("anchors").alias("anchor"))
     shared = _across(anchors, "anchor", F.struct("doc_id"))
-    by_row = anchors.join(shared, "anchor", "left_semi").groupBy("row").agg(F.collect_set("anchor").alias("anchors"))
-    by_row = written(by_row, "run_candidates")
-    windows = written(_rows_of(keyed, by_row).join(by_row, "row").select("doc_id", "row", "text", "anchors").mapInArrow(
-        _windows(least_words), "doc_id long, row long, starts array<int>, hashes array<long>"), "run_windows")
-    each = windows.select("doc_id", "row", F.explode(F.arrays_zip("starts", "hashes")).alias("w")).select(
-        "doc_id", "row", F.col("w.starts").alias("at"), F.col("w.hashes").alias("hash"))
-    first = _across(each, "hash", F.struct("doc_id", F.col("at").alias("first_at"), F.col("row").alias("first_row")))
-    own = (F.col("row") == F.col("first.first_row"))
-    places = each.select("row", "at", "hash").join(first, "hash").groupBy("row").agg(
-        F.collect_set(F.struct("at", "first.doc_id", "first.first_at", own.alias("own"))).alias("places"))
-    places = written(places, "run_places")
-    return _rows_of(keyed, places).join(places, "row").select("doc_id", "row", "text", "places").mapInArrow(
+    by_body = anchors.join(shared, "anchor", "left_semi").groupBy("body").agg(F.collect_set("anchor").alias("anchors"))
+    # equal texts are one body, led by their least doc_id
+    high, unnamed = F.max("doc_id"), F.count_if(F.col("doc_id").isNull())
+    bodies = kept.groupBy("body").agg(F.min(F.struct("doc_id")).alias("least"), (
+        (F.min("doc_id") < high) | (unnamed > 1) | ((unnamed > 0) & high.isNotNull())).alias("several"))
+    candidates = written(by_body.join(bodies, "body").select("body", "least.doc_id", F.coalesce("several", F.lit(False)).alias("several"),
+                                                             "anchors"), "run_candidates")
+    texts = _rows_of(keyed.select("body", "text"), candidates).dropDuplicates(["body"])
+    windows = written(texts.join(candidates, "body").select("doc_id", "several", "body", "text", "anchors").mapInArrow(
+        _windows(least_words), "doc_id long, several boolean, body long, starts array<int>, hashes array<long>"), "run_windows")
+    each = windows.select("doc_id", "several", "body", F.explode(F.arrays_zip("starts", "hashes")).alias("w")).select(
+        "doc_id", "several", "body", F.col("w.starts").alias("at"), F.col("w.hashes").alias("hash"))
+    nameless = F.when(F.col("doc_id").isNull(), F.col("body"))
+    first = each.groupBy("hash").agg(
+        F.min(F.struct("doc_id", F.col("at").alias("first_at"), F.col("body").alias("first_body"))).alias("first"), F.max("doc_id").alias("high"),
+        F.min(nameless).alias("a"), F.max(nameless).alias("b"), F.bool_or("several").alias("several")).where(
+        "first.doc_id < high or a < b or (a is not null and high is not null) or several").select("hash", "first")
+    places = written(each.select("body", "at", "hash").join(first, "hash").groupBy("body").agg(F.collect_list(F.struct(
+        "at", "first.doc_id", "first.first_at", (F.col("body") == F.col("first.first_body")).alias("same"))).alias("places")), "run_places")
+    return _rows_of(keyed, places).join(places, "body").select("doc_id", "text", "places").mapInArrow(
         _rows(least_words), "doc_id long, word int, start long, end long, n_words int, kept_doc_id long, kept_word int, removed boolean")
