@@ -29,10 +29,13 @@ def good(v):
     return v is not None and len(v) > 0 and all(x is not None and math.isfinite(x) for x in v) and any(v)
 
 
-@pytest.mark.parametrize("blocks", [(1024, 8192), (3, 40)])
-def test_search(spark, monkeypatch, blocks):
+@pytest.mark.parametrize("blocks, cell, sample", [((16384, 8192), 4096, 1 << 20), ((3, 40), 4096, 640), ((3, 40), 30, 1600),
+                                                  ((1024, 8192), 10, 1 << 20)])
+def test_search(spark, monkeypatch, blocks, cell, sample):
     monkeypatch.setattr(rabitq, "QUERY_BLOCK", blocks[0])
     monkeypatch.setattr(rabitq, "VECTOR_BLOCK", blocks[1])
+    monkeypatch.setattr(rabitq, "CELL", cell)
+    monkeypatch.setattr(rabitq, "SAMPLE_NUMBERS", sample)
     rows = vectors(1)
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in rabitq.search(frame(spark, rows)).collect())
     known = {i: v for i, v, _ in rows if i is not None and good(v)}
@@ -58,6 +61,40 @@ def test_estimates_stay_within_bounds():
     assert (slack / (length * np.linalg.norm(query))).mean() < 0.5
 
 
+@pytest.mark.parametrize("dim", [3, 64, 100, 130])
+def test_bit_counts_give_the_products_with_rounded_queries(dim):
+    draw = np.random.default_rng(dim)
+    values, asked = draw.standard_normal((200, dim)), draw.standard_normal((9, dim))
+    asked /= np.linalg.norm(asked, axis=1)[:, None]
+    bits, _, _ = rabitq.encode(values)
+    code = rabitq.words(bits)
+    got, left = rabitq.estimates(asked, code, np.bitwise_count(code).sum(axis=1).astype(np.float32))
+    signs = np.unpackbits(bits, axis=1, count=dim).astype(float) * 2 - 1
+    step = np.ptp(asked, axis=1, keepdims=True) / (2 ** rabitq.QUERY_BITS - 1)
+    low = asked.min(axis=1, keepdims=True)
+    rounded = low + step * np.rint((asked - low) / step)
+    assert np.allclose(got, rounded @ signs.T, atol=1e-4)
+    assert np.allclose(left, np.linalg.norm(asked - rounded, axis=1))
+
+
+def test_queries_visit_only_cells_that_can_hold_a_neighbour(spark, monkeypatch):
+    monkeypatch.setattr(rabitq, "CELL", 30)
+    draw = np.random.default_rng(8)
+    centres = 3 * draw.standard_normal((10, 16))
+    rows = [(i, [float(x) for x in centres[i % 10] + 0.1 * draw.standard_normal(16)], 0) for i in range(600)]
+    met = []
+    searched = rabitq.written
+    monkeypatch.setattr(rabitq, "written", lambda df, name: met.append((name, searched(df, name))) or met[-1][1])
+    got = {(r.query_id, r.vec_id) for r in rabitq.search(frame(spark, rows)).collect()}
+    values = np.array([r[1] for r in rows])
+    for q in range(0, 600, 20):
+        score = values @ values[q]
+        score[q] = -np.inf
+        assert {(q, int(i)) for i in np.argsort(-score)[:20]} <= got
+    tables = dict(met)
+    assert tables["visits"].count() < 0.5 * 30 * tables["cells"].count()
+
+
 @pytest.mark.parametrize("cell, block", [(2048, 1024), (20, 8), (6, 1024)])
 def test_near_duplicates(spark, monkeypatch, cell, block):
     monkeypatch.setattr(embedding_dedup, "CELL", cell)
