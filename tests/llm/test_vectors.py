@@ -122,6 +122,15 @@ def test_near_duplicates(spark, monkeypatch, cell, block):
     assert max(len(x) for x in links.values()) > 5
 
 
+@pytest.mark.parametrize("kind", ["string", "long", "date"])
+def test_labels_of_any_type(spark, kind):
+    rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (3, [1.0, 0.0], 2), (4, [1.0, 0.0], None), (5, [1.0, 0.02], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr(
+        "vec_id", "embedding", f"cast({'date_from_unix_date(label)' if kind == 'date' else 'label'} as {kind}) as label")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (0, 4), 5: (2, 1)}
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert rabitq.search(empty).collect() == []

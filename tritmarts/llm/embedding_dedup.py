@@ -148,7 +148,7 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sample = sample / np.maximum(np.linalg.norm(sample, axis=1), 1e-300)[:, None]
     centroids = spherical_kmeans(sample, min(MAX_CELLS, -(-total // CELL))) if len(sample) else np.eye(1)
     visits = written(classes.mapInArrow(
-        _visits(centroids, reach), "label int, rep long, n long, cell int, home int, unit array<double>"), "visits")
+        _visits(centroids, reach), f"label {dict(rows.dtypes)['label']}, rep long, n long, cell int, home int, unit array<double>"), "visits")
     guest = F.col("cell") != F.col("home")
     cells = visits.groupBy("label", "cell").agg(
         F.ceil(F.count_if(~guest) / BLOCK).cast("int").alias("homes"),
