@@ -2,11 +2,12 @@
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 
-from tritmarts.llm import mixing
+from tritmarts.llm import mixing, oracles
 
 
 def reshared(sizes):
@@ -60,6 +61,36 @@ def test_targets_and_draws(spark, seed):
     assert sorted(map(str, mixing.report(df.repartition(7)).collect())) == sorted(map(str, got))
 
 
+@pytest.mark.parametrize("make", [lambda i, s: (None, "w " * 50), lambda i, s: (7, "w " * 50), lambda i, s: (None, f"{i} " * 50),
+                                  lambda i, s: (7, "w " * (40 if i % 3 else 60))])
+def test_rows_that_are_alike_meet_the_target(spark, make):
+    """Null ids, one id repeated, equal texts: the words taken come within a document of the target."""
+    rows = [(*make(i, s), "abcd"[s]) for s, n in enumerate([600, 1000, 1400, 1000]) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.report(df).collect()
+    assert len(got) == len(rows)
+    taken, target = defaultdict(int), {}
+    sources = {}
+    for _, text, source in rows:
+        sources.setdefault(source, 0)
+        sources[source] += len(text.split())
+    want = reshared(sources)
+    for r in got:
+        assert r.taken in (0, r.size, 2 * r.size)
+        taken[round(r.target, 3)] += r.taken
+        target[round(r.target, 3)] = r.target
+    goal = defaultdict(float)
+    for w in want.values():
+        goal[round(w, 3)] += w
+    assert set(taken) == set(goal)
+    for t in goal:
+        assert abs(taken[t] - goal[t]) <= 60 * 2
+    assert sorted(map(str, mixing.report(df.repartition(3)).collect())) == sorted(map(str, got))
+    documents = df.toArrow()  # noqa: F841, the SQL reads it
+    stated = duckdb.sql(f"SELECT doc_id, size, source_size, target, taken FROM ({oracles.OP1})").fetchall()
+    assert Counter((r.doc_id, r.size, r.source_size, r.target, r.taken) for r in got) == Counter(stated)
+
+
 def test_mixture_holds_the_draws(spark):
     _, df = table(spark, 3, 150)
     want = defaultdict(int)

@@ -2,8 +2,8 @@
 
 Every source is dealt into blocks by a seeded hash, which permutes its documents.
 A source's quota is an exact number of blocks: whole epochs, then the first blocks
-of one more epoch, the last of them cut by a second hash digit so that the words
-meet the target.  A binary tree then splits the quotas of all sources among the
+of one more epoch, the last of them cut by a second hash digit, and where equal rows
+share that digit by their number, so that the words meet the target.  A binary tree then splits the quotas of all sources among the
 output shards: a node with half of the shards below it on the left draws from its
 remaining blocks without replacement, so the left counts of all sources are
 multivariate hypergeometric and add up exactly.  A shard's counts are disjoint
@@ -36,17 +36,17 @@ MAX_SENT_ROWS = 1 << 18
 def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """(row, size, skey, spot, fine): the whole document, its words, a non-null form of its source, and its place.
 
-    Spot (24 bits, of which a block is the low ones) and fine (16 bits inside a block) come from
-    one digest of doc_id and size.
+    Spot (24 bits, of which a block is the low ones) and fine (60 bits inside a block) come from
+    one digest of doc_id, size and text, so that only rows equal in all three share a place.
     """
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("null")),
-                               F.col("size").cast("string")))
+                               F.col("size").cast("string"), F.md5(F.coalesce(F.col("row.text").cast("string"), F.lit("")))))
     return (docs.select(F.struct("*").alias("row"), F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0))
                         .cast("long").alias("size"))
             .select("row", "size", F.coalesce(F.concat(F.lit("="), "row.source"), F.lit("")).alias("skey"),
                     digest.alias("digest"))
             .select("row", "size", "skey", F.conv(F.substring("digest", 1, 6), 16, 10).cast("int").alias("spot"),
-                    F.conv(F.substring("digest", 7, 4), 16, 10).cast("int").alias("fine")))
+                    F.conv(F.substring("digest", 7, 15), 16, 10).cast("long").alias("fine")))
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE,
@@ -138,6 +138,8 @@ def block_plan(narrow: DataFrame, levels: int = LEVELS, seed: int = SEED) -> Dat
 
     ``narrow`` are documents with skey, source, block, fine and size.  Only sums
     per block (and per fine digit inside one block of each source) are ordered.
+    The cut draw takes all rows up to the digit ``cut``, and ``tie_rows`` of the equal
+    rows at the digit ``tie``.
     """
     blocks = written(narrow.groupBy("skey", "source", "block").agg(F.sum("size").alias("words")), "mix_blocks")
     goal = targets(blocks.groupBy("skey", "source").agg(F.sum("words").alias("source_size")))
@@ -152,10 +154,14 @@ def block_plan(narrow: DataFrame, levels: int = LEVELS, seed: int = SEED) -> Dat
                                        .when((F.col("ahead") < F.col("rest")) & (F.col("words") > 0), F.lit(1)).otherwise(F.lit(0))),
                      "mix_placed")
     edge = placed.where("extra = 1").select("skey", "block", (F.col("rest") - F.col("ahead")).alias("missing"))
-    fines = narrow.join(edge, ["skey", "block"]).groupBy("skey", "fine", "missing").agg(F.sum("size").alias("words"))
+    fines = narrow.join(edge, ["skey", "block"]).groupBy("skey", "fine", "missing").agg(
+        F.sum("size").alias("words"), F.count("*").alias("n"))
     upto = Window.partitionBy("skey").orderBy("fine").rowsBetween(Window.unboundedPreceding, 0)
-    cuts = (fines.withColumn("middle", F.sum("words").over(upto) - F.col("words") / 2)
-            .where("middle <= missing").groupBy("skey").agg(F.max("fine").alias("cut")))
+    room = F.col("missing") - F.sum("words").over(upto) + F.col("words")
+    fits = F.when(F.col("words") > 0, F.floor(room * F.col("n") / F.col("words") + 0.5)).when(room >= 0, F.col("n")).otherwise(0)
+    cuts = (fines.withColumn("fits", F.least(F.greatest(fits, F.lit(0)), "n")).where("fits > 0").groupBy("skey").agg(
+        F.max(F.when(F.col("fits") == F.col("n"), F.col("fine"))).alias("cut"),
+        F.max(F.when(F.col("fits") < F.col("n"), F.struct("fine", "fits"))).alias("tied")))
     quotas = placed.groupBy("skey").agg(F.sum(F.col("epochs") + F.when(F.col("extra") > 0, 1).otherwise(0)).cast("long").alias("quota"))
     tree = splitting_tree(quotas, levels, seed)
     draw = F.transform(F.sequence(F.lit(0), F.col("epochs").cast("int")), lambda e: F.when(
@@ -165,7 +171,8 @@ def block_plan(narrow: DataFrame, levels: int = LEVELS, seed: int = SEED) -> Dat
             .select("skey", "block", "source_size", "target",
                     F.expr("array_compact(slice(draws, 1, cast(epochs as int)))").alias("whole"),
                     F.expr("draws[cast(epochs as int)]").alias("last"),
-                    F.when(F.col("extra") == 1, F.coalesce("cut", F.lit(-1))).alias("cut")))
+                    F.when(F.col("extra") == 1, F.coalesce("cut", F.lit(-1))).alias("cut"),
+                    F.when(F.col("extra") == 1, F.col("tied.fine")).alias("tie"), F.col("tied.fits").alias("tie_rows")))
 
 
 def levels_for(words: int | None) -> int:
@@ -177,7 +184,8 @@ def drawn(docs: DataFrame, levels: int | None = None, seed: int = SEED) -> DataF
     """(row, size, source_size, target, shards): ``shards`` has one output shard for each time the mix draws the row.
 
     A null text has size 0; null sources form one source, ordered last.  Rows that
-    agree in doc_id and size are drawn together, so repeated rows stay equal.
+    agree in doc_id and text are drawn together, but where the target falls between
+    them: there as many of them are drawn as meet it, and which does not matter.
     Rows of size 0 are drawn like others and cost no words.
     """
     narrow = written(sized(docs, seed).select("skey", F.col("row.source").alias("source"), "spot", "fine", "size"),
@@ -188,8 +196,28 @@ def drawn(docs: DataFrame, levels: int | None = None, seed: int = SEED) -> DataF
     few = plan.count() <= MAX_SENT_ROWS
     taken = F.when(F.col("last").isNotNull() & (F.col("cut").isNull() | (F.col("fine") <= F.col("cut"))),
                    F.concat("whole", F.array("last"))).otherwise(F.col("whole"))
-    return (sized(docs, seed).withColumn("block", block).join(F.broadcast(plan) if few else plan, ["skey", "block"])
-            .select("row", "size", "source_size", "target", taken.alias("shards")))
+    rows = sized(docs, seed).withColumn("block", block).join(F.broadcast(plan) if few else plan, ["skey", "block"])
+    found = ["row", "size", "source_size", "target", taken.alias("shards")]
+    if plan.where("tie is not null").isEmpty():
+        return rows.select(*found)
+    return rows.where(~F.col("fine").eqNullSafe(F.col("tie"))).select(*found).union(_of_ties(rows.where("fine = tie")))
+
+
+def _of_ties(rows: DataFrame) -> DataFrame:
+    """As ``drawn``, for the equal rows of each source of which only tie_rows are drawn once more.
+
+    They are numbered inside the part that wrote them and behind the parts before it, so no task holds them all.
+    """
+    parts = written(rows.select("skey", "row", "size", "source_size", "target", "whole", "last", "tie_rows",
+                                F.spark_partition_id().alias("part")), "mix_ties")
+    before = Window.partitionBy("skey").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = parts.groupBy("skey", "part").count().select(
+        "skey", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
+    inside = F.row_number().over(Window.partitionBy("skey", "part").orderBy("size"))
+    return parts.withColumn("nth", inside).join(ahead, ["skey", "part"]).select(
+        "row", "size", "source_size", "target",
+        F.when(F.col("nth") + F.col("ahead") <= F.col("tie_rows"), F.concat("whole", F.array("last"))).otherwise(F.col("whole"))
+        .alias("shards"))
 
 
 def mixture(docs: DataFrame, levels: int | None = None, seed: int = SEED) -> DataFrame:

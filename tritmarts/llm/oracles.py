@@ -2,11 +2,14 @@
 
 OP1 = r"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+  SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+  FROM documents),
 hashed AS (
-  SELECT *, md5('17|' || coalesce(doc_id::VARCHAR, 'null') || '|' || size::VARCHAR) AS h FROM sized),
+  SELECT *, md5('17|' || coalesce(doc_id::VARCHAR, 'null') || '|' || size::VARCHAR || '|' || md5(coalesce(text, ''))) AS h
+  FROM sized),
 d AS (
-  SELECT doc_id, source, size, ('0x' || substr(h, 1, 6))::BIGINT % 1024 AS block, ('0x' || substr(h, 7, 4))::BIGINT AS fine
+  SELECT doc_id, source, size, ('0x' || substr(h, 1, 6))::BIGINT % 1024 AS block, ('0x' || substr(h, 7, 15))::BIGINT AS fine,
+         row_number() OVER (PARTITION BY source, h) AS nth
   FROM hashed),
 s0 AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
@@ -37,18 +40,18 @@ blocks AS (
   SELECT NULL, block, words, target - epochs * source_size, sum(words) OVER (ORDER BY block) - words
   FROM (SELECT block, sum(size) AS words FROM d WHERE source IS NULL GROUP BY ALL), parts WHERE source IS NULL),
 fines AS (
-  SELECT d.source, d.fine, b.rest - b.ahead AS missing,
-         sum(sum(d.size)) OVER (PARTITION BY d.source ORDER BY d.fine) - sum(d.size) / 2 AS middle
+  SELECT d.source, d.fine, count(*) AS n, sum(d.size) AS words,
+         b.rest - b.ahead - sum(sum(d.size)) OVER (PARTITION BY d.source ORDER BY d.fine) + sum(d.size) AS room
   FROM d JOIN blocks b ON d.block = b.block AND d.source IS NOT DISTINCT FROM b.source
-  WHERE b.ahead < b.rest AND b.ahead + b.words > b.rest GROUP BY d.source, d.fine, missing),
+  WHERE b.ahead < b.rest AND b.ahead + b.words > b.rest GROUP BY d.source, d.fine, b.rest, b.ahead),
 cuts AS (
-  SELECT source, max(fine) AS cut FROM fines WHERE middle <= missing GROUP BY source)
+  SELECT source, fine, CASE WHEN words > 0 THEN floor(room * n / words + 0.5) WHEN room >= 0 THEN n ELSE 0 END AS fits FROM fines)
 SELECT d.doc_id, d.size, p.source_size, p.target,
        (d.size * (p.epochs + CASE WHEN b.ahead + b.words <= b.rest THEN 1
-                                  WHEN b.ahead < b.rest AND d.fine <= c.cut THEN 1 ELSE 0 END))::BIGINT AS taken
+                                  WHEN b.ahead < b.rest AND d.nth <= c.fits THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source
 JOIN blocks b ON d.block = b.block AND d.source IS NOT DISTINCT FROM b.source
-LEFT JOIN cuts c ON d.source IS NOT DISTINCT FROM c.source
+LEFT JOIN cuts c ON d.source IS NOT DISTINCT FROM c.source AND d.fine = c.fine
 """
 
 
