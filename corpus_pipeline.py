@@ -31,7 +31,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group: that of the smallest doc_id (a null id comes last), of several the least row key.
 
-    Groups are linked by Jaccard similarity of 0.8 or more of five-word shingles, not by the digests of op2.
+    Candidates meet by SimHash fingerprints, as in op2 but over five words, and by MinHash bands; groups are
+    linked by their Jaccard similarity of 0.8 or more of five-word shingles.
     Rows of one doc_id with different texts are in different groups, and each counts for its own.
     """
     groups = written(near_texts.near_texts(docs), "text_groups")

@@ -45,3 +45,22 @@ def test_blank_texts_are_alike(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, " \n"), (4, "a b"), (5, "A\tb"), (None, "c")], "doc_id long, text string")
     assert {(r.doc_id, r.component_id) for r in near_texts.near_texts(docs).collect()} == {
         (1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (None, None)}
+
+
+def test_linked_fingerprints_meet_without_a_common_band(spark, monkeypatch):
+    """Of texts that share no band the linked fingerprints alone bring the pair to the comparison, which still decides."""
+    words = [f"w{i}" for i in range(400)]
+    edited = [*words[:-1], "x"]
+    texts = {1: " ".join(words), 2: " ".join(edited), 3: " ".join(f"v{i}" for i in range(400)), 4: "\t".join(words).upper(),
+             5: " ".join(words[:200] * 40 + words[200:300]), 6: " ".join(words[:200] * 40 + words[300:])}
+    print_of = lambda t: near_texts.fingerprint(t.encode(), near_texts.SHINGLE_WORDS)
+    assert 0 < (print_of(texts[1]) ^ print_of(texts[2])).bit_count() <= 4
+    assert (print_of(texts[5]) ^ print_of(texts[6])).bit_count() <= 4 and plain_groups({i: texts[i] for i in (5, 6)}) == {5: 5, 6: 6}
+    monkeypatch.setattr(near_texts, "shared_buckets", lambda classes: near_texts_none(classes))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_texts.near_texts(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 6}
+
+
+def near_texts_none(classes):
+    return classes.selectExpr("0 AS band", "0L AS value", "digest").where("false")

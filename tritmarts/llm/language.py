@@ -134,8 +134,10 @@ def learn(docs: DataFrame) -> Model:
             .groupBy("lang", "place").agg(F.min("text").alias("text")))
     bits = near.mapInArrow(_featured, "lang string, place long, bits binary")
     kept = bits.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("place", "bits"))), 1, each).alias("rows"))
-    rows = [(r.lang, p.place, p.bits) for r in kept.collect() for p in r.rows]
-    return fit([(lang, np.frombuffer(b, np.uint8)) for lang, place, b in sorted(rows, key=lambda r: (r[1], r[0], r[2]))])
+    # as Arrow, whose buffers are read in place: plain rows stand in the driver as objects of the JVM and again of Python
+    sample = kept.select("lang", F.explode("rows").alias("r")).select("lang", "r.place", "r.bits").toArrow()
+    rows = zip(sample["place"].to_pylist(), sample["lang"].to_pylist(), sample["bits"])
+    return fit([(lang, np.frombuffer(b.as_buffer(), np.uint8)) for _, lang, b in sorted(rows, key=lambda r: r[:2])])
 
 
 def sureness(values: np.ndarray) -> np.ndarray:
