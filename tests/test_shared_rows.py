@@ -1,0 +1,59 @@
+"""Rows that a query needs twice are made once."""
+
+import datetime
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from tritmarts import fixed_values as fv
+from tritmarts.operators import explain
+from tritmarts.plans import catalog_ranking
+from tritmarts.sources.literal import inline_table
+
+
+def _days(spark):
+    return spark.range(60).select(
+        (F.col("id") % 4).alias("channel_id"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") / 4).cast("int")).alias("d"),
+        F.lit(0).alias("y"), *[(F.col("id") * (i + 3) % 5).cast("double").alias(n) for i, n in enumerate(fv.FEATURE_NAMES)])
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_wide_evidence_walks_the_trees_once(spark, monkeypatch):
+    monkeypatch.setattr(catalog_ranking, "_test_rows", lambda spark, sf: _days(spark))
+    told = catalog_ranking.x3_wide(spark, "")
+    assert "MapIn" not in _plan(told)
+    rows = {(r.channel_id, r.d): r.asDict() for r in _days(spark).collect()}
+    for r in told.collect():
+        x = rows[r.channel_id, r.d]
+        raising = {f for f, cut, below, above in catalog_ranking.WIDE_TREES if (below if x[f] <= cut else above) > 0.3}
+        assert r.n_raising == len(raising)
+        assert {e.split("~")[0] for e in r.evidence.split("|")} <= raising
+
+
+def test_population_rows_are_made_once(spark, monkeypatch):
+    rows = _days(spark).select("channel_id", "d", (F.col("channel_id") % 2).cast("int").alias("y"), (F.col("ev_7d") / 10).alias("score"),
+                               (F.col("channel_id") * 1.0).alias("fault_ev_7d"), (F.col("channel_id") % 3).alias("own_fault_7d"))
+    monkeypatch.setattr(catalog_ranking, "_strata_rows", lambda spark, sf: rows)
+    told = catalog_ranking.q9(spark, "")
+    assert "Range (" not in _plan(told)
+    assert {r.population: (r.n, r.positives) for r in told.collect()} == {
+        "fresh": (15, 0), "own_fault": (30, 15), "sweep_only": (15, 15), "ongoing": (45, 30), "all": (60, 30)}
+
+
+def test_contributions_travel_as_arrow(spark):
+    nodes = inline_table(spark, [(0, 0, 1, 2, 0, 1.0, 0.3), (0, 1, -1, -1, -1, 0.0, 0.1), (0, 2, -1, -1, -1, 0.0, 0.6)],
+                         ["tree", "node", "left", "right", "feature", "threshold", "share"])
+    first = fv.FEATURE_NAMES[0]
+    rows = inline_table(spark, [(1, "2020-01-01", 0.5, 1.0), (2, "2020-01-02", None, 1.5), (None, None, 0.0, None)],
+                        ["channel_id", "d", "score", first]).select(
+        F.col("channel_id").cast("int").alias("channel_id"), F.col("d").cast("date").alias("d"), F.col("score").cast("double").alias("score"),
+        F.col(first).cast("double").alias(first), *[F.lit(0).alias(n) for n in fv.FEATURE_NAMES[1:]])
+    out = explain.contributions_of(nodes, rows, 3)
+    assert "MapInArrow" in _plan(out)
+    told = {r.channel_id: r for r in out.collect()}
+    assert told[1].d == datetime.date(2020, 1, 1) and told[2].score is None and told[None].d is None
+    assert {k: round(r.contrib[0], 9) for k, r in told.items()} == {1: -0.2, 2: 0.3, None: 0.3}
+    assert all(np.isclose(r.bias, 0.3) and not any(r.contrib[1:]) and len(r.contrib) == len(fv.FEATURE_NAMES) for r in told.values())
