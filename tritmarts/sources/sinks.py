@@ -36,8 +36,8 @@ def _lines(df: DataFrame, header: list[str], sep: str = ";") -> DataFrame:
     return title.union(body)
 
 
-def write_lines(lines: DataFrame, path: str, line_end: str = "\r\n") -> str:
-    lines.write.mode("overwrite").option("lineSep", line_end).text(path)
+def write_lines(lines: DataFrame, path: str, line_end: str = "\r\n", compression: str = "none") -> str:
+    lines.write.mode("overwrite").option("lineSep", line_end).option("compression", compression).text(path)
     return path
 
 
@@ -62,14 +62,14 @@ def verdict_xml(cards: DataFrame) -> DataFrame:
         F.when(F.size(marks) > 0, F.struct(marks.alias("mark"))).alias("timeline"))
 
 
-def write_xml(cards: DataFrame, path: str) -> str:
+def write_xml(cards: DataFrame, path: str, compression: str = "none") -> str:
     """One document: head with the number of verdicts, a line per verdict, tail; part files join in name order."""
     shaped = verdict_xml(cards)
     rows = shaped.select(F.to_xml(F.struct(*shaped.columns), {"rowTag": "verdict", "indent": ""}).alias("value"))
     flat = F.regexp_replace("value", r"[\r\n]+", " ")
     head = cards.agg(F.count(F.lit(1)).alias("n")).select(
         said('<?xml version="1.0" encoding="UTF-8"?><verdicts count="', F.col("n").cast("string"), '">').alias("value"))
-    return write_lines(_framed(head, rows.select(flat.alias("value")), "</verdicts>"), path, "\n")
+    return write_lines(_framed(head, rows.select(flat.alias("value")), "</verdicts>"), path, "\n", compression)
 
 
 def _framed(head: DataFrame, body: DataFrame, tail: str) -> DataFrame:
@@ -135,6 +135,6 @@ def wkt_csv(geometry: DataFrame, points: DataFrame) -> DataFrame:
     return _lines(rows, rows.columns)
 
 
-def write_json(cards: DataFrame, path: str) -> str:
-    cards.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+def write_json(cards: DataFrame, path: str, compression: str = "none") -> str:
+    cards.write.mode("overwrite").option("ignoreNullFields", "false").option("compression", compression).json(path)
     return path
