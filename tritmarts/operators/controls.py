@@ -45,10 +45,12 @@ def incident_metrics(truth: DataFrame, fact: DataFrame, dim: DataFrame, smoke: D
 
     ``truth`` has scenario, d, picket (one row per event).  Every scenario has a
     row, also without a true event, with its false alarms and the sensor types that
-    are in place for it.  The band join is an equi join: each true event is spread over the
-    pickets it can be seen from.
+    are in place for it.  The band join is an equi join: each place of true events is spread over the
+    pickets it can be seen from.  What is seen from a place, one bit per type of the scenario, then
+    meets all of its events, so rows of events are neither repeated nor gathered into sets.
     """
-    kinds = F.explode(F.array(*[F.struct(F.lit(s).alias("scenario"), F.lit(t).alias("sensor_type"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(s).alias("scenario"), F.lit(t).alias("sensor_type"),
+                                         F.lit(1 << list(ts).index(t)).cast("bigint").alias("bit"))
                                 for s, ts in fv.INCIDENT_TYPES.items() for t in ts])).alias("k")
     spec = truth.sparkSession.range(1).select(kinds).select("k.*")
     sweep = smoke.filter("is_sweep").select("d").distinct()
@@ -61,11 +63,14 @@ def incident_metrics(truth: DataFrame, fact: DataFrame, dim: DataFrame, smoke: D
 
     near = F.explode(F.sequence(F.col("picket") - reach, F.col("picket") + reach)).alias("picket")
     events = truth.select("event_no", "scenario", "d", "picket")
-    reachable = events.select("event_no", "scenario", "d", near)
-    caught = (reachable.join(seen, ["scenario", "d", "picket"])
-              .groupBy("scenario", "event_no").agg(F.collect_set("sensor_type").alias("types"))
+    reachable = events.select("scenario", "d", "picket").distinct().select(
+        "scenario", "d", F.col("picket").alias("_at"), near)
+    in_sight = (reachable.join(seen, ["scenario", "d", "picket"])
+                .groupBy("scenario", "d", F.col("_at").alias("picket")).agg(F.bit_or("bit").alias("types")))
+    caught = (events.hint("merge").join(in_sight, ["scenario", "d", "picket"])  # events are never sent whole to the places
+              .groupBy("scenario", "event_no").agg(F.bit_or("types").alias("types"))
               .groupBy("scenario")
-              .agg(F.count(F.lit(1)).alias("detected"), F.count_if(F.size("types") >= 2).alias("confirmed")))
+              .agg(F.count(F.lit(1)).alias("detected"), F.count_if(F.bit_count("types") >= 2).alias("confirmed")))
     covered = reachable.select("scenario", "d", "picket").distinct()
     wrong = seen.join(covered, ["scenario", "d", "picket"], "left_anti")
     false_points = wrong.groupBy("scenario", "d", "picket").agg(
