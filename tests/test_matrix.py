@@ -1,13 +1,16 @@
 """The feature matrix: what is moved and computed for it, and its shares against plain counting."""
 
 import datetime as dt
+import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tritmarts.operators import controls, features
-from tritmarts.plans import catalog_ranking, store
+from tritmarts import fixed_values as fv
+from tritmarts.operators import controls, features, ranker
+from tritmarts.plans import catalog_ranking, registry, store
 
 DAY0 = dt.date(2020, 1, 1)
 
@@ -62,3 +65,30 @@ def test_one_reading_writes_no_matrix(spark, world, monkeypatch):
     assert told == catalog_ranking.tidy(controls.busiest_failure_day(w.features)).collect()
     assert store.is_stored(spark, w.sf, w.name("features"))
     assert w.matrix.inputFiles() == w.features.inputFiles() and w.matrix.filter(F.col("y").isNull()).isEmpty()
+
+
+def test_prepared_and_rounded_code_is_short_enough_to_be_compiled(spark, world):
+    """The JVM never compiles a method of more than 8,000 bytes."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the plan shows no code before it runs
+    try:
+        rows = registry.tidy(ranker.prepare(features.feature_matrix(*world[2])))
+        explained = rows._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", explained)]
+    assert sizes and max(sizes) < 8000
+
+
+ODD = [None, math.nan, math.inf, -math.inf, 0.0, -0.0, -1.0, 3.0, 2.0 ** 60, 1e300, 0.1234565, -0.1234565, 0.5, 1 / 3, -2 / 3, 1234567.8912345, 5e-7, -1e-9]
+
+
+def test_rounding_and_filling_of_odd_numbers(spark):
+    rows = spark.createDataFrame([(i, *ODD[i:], *ODD[:i]) for i in range(len(ODD))], "i int, " + ", ".join(f"`x.{n}` double" for n in range(len(ODD))))
+    names = [f"x.{n}" for n in range(len(ODD))]
+    want = rows.select(F.col("i").cast("bigint"), *[F.round(F.col(f"`{n}`") + 1e-9, 6).alias(n) for n in names])
+    assert list(map(repr, registry.tidy(rows).collect())) == list(map(repr, want.collect()))
+    few = [f"`{n}`" for n in names[:registry.FEW]]
+    assert list(map(repr, registry.tidy(rows.select(*few)).collect())) == list(map(repr, want.select(*few).collect()))
+    named = spark.createDataFrame([(x,) * len(fv.FEATURE_NAMES) for x in ODD], ", ".join(f"{n} double" for n in fv.FEATURE_NAMES))
+    filled = [-1.0 if x is None or not math.isfinite(x) else x for x in ODD]
+    assert [tuple(r) for r in ranker.prepare(named).collect()] == [(x,) * len(fv.FEATURE_NAMES) for x in filled]
