@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 from dataclasses import replace
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tritmarts.functions.written import written
 from tritmarts.operators import labels, ranker, scores
+from tritmarts.operators.features import feature_matrix
 from tritmarts.plans.catalog_ranking import CFG, FIT, World
 from tritmarts.settings import Labelling
 
@@ -86,3 +88,17 @@ def test_matrix_holds_every_split(spark):
         got = told.agg(F.count_if(f"train_{n}").alias("train"), F.sum(F.when(F.col(f"train_{n}"), F.col(f"y_{n}"))).alias("train_y"),
                        F.count_if("is_test").alias("test"), F.sum(F.when(F.col("is_test"), F.col(f"y_{n}"))).alias("test_y")).first()
         assert {r.part: (r.n, r.y) for r in want} == {p: (got[p], got[f"{p}_y"]) for p in ("train", "test")}
+
+
+def test_code_of_the_choice_is_short_enough_to_be_compiled(spark):
+    """The JVM never compiles a method of more than 8,000 bytes."""
+    world = World(spark, SF)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the plan shows no code before it runs
+    try:
+        rows = feature_matrix(world.ahead.withColumnRenamed("ahead", "y"), world.fact, world.dim, world.profile, world.domains)
+        told = ranker.horizon_matrix(rows, [1, 3, 7, 14], FIT)
+        explained = told._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", explained)]
+    assert sizes and max(sizes) < 8000
